@@ -23,7 +23,10 @@ from corpusmill.llm.text import WHITE, whole_text, words_of
 SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 5
 STATISTICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-EXTRA = ["n_lines", "n_chars_text", "n_letters", "n_upper", "n_shouts"]
+EXTRA = ["n_lines", "n_letters", "n_upper", "n_shouts", "n_plain_chars", "n_sentences"]
+#: A word of letters with at most one mark behind it, and the mark that ends a sentence.
+PLAIN = r"(?<![^\x20\x09-\x0D])[\p{L}\p{M}'’-]++[.,;:!?]?+(?![^\x20\x09-\x0D])"
+ENDS = r"(?<=\p{L})[.!?](?![^\x20\x09-\x0D])"
 
 
 def with_statistics(docs: DataFrame) -> DataFrame:
@@ -50,10 +53,11 @@ def with_statistics(docs: DataFrame) -> DataFrame:
         "n_dup_lines": size("_lines") - size(F.array_distinct("_lines")),
         "n_repeat_words": repeat,
         "n_lines": size("_lines"),
-        "n_chars_text": long_length("_text"),
         "n_letters": long_length(F.regexp_replace("_text", r"[^\p{L}\p{M}]+", "")),
         "n_upper": long_length(F.regexp_replace("_text", r"[^\p{Lu}]+", "")),
         "n_shouts": long_length(F.regexp_replace("_text", r"[^!?]+", "")),
+        "n_plain_chars": long_length("_text") - long_length(F.regexp_replace("_text", PLAIN, "")),
+        "n_sentences": long_length("_text") - long_length(F.regexp_replace("_text", ENDS, "")),
     }).drop("_text", "_words", "_lines", "_hashes", "_windows", "_sorted", "_repeats")
 
 
@@ -66,18 +70,24 @@ def _vote(bad: Column, good: Column) -> Column:
 
 
 def rules() -> dict[str, Column]:
-    """Votes by rule; a condition that cannot be told abstains."""
+    """Votes by rule; a condition that cannot be told abstains.
+
+    Each kind of junk (symbols, tables, shouting, repetition) is seen by several rules, as expectation-maximisation
+    can only learn to trust a rule from the others.
+    """
     c, n = F.col, F.col("n_words")
     mean = F.when(n > 0, c("word_chars") / n)
     return {
-        "long_enough": _vote(n < 10, n >= 30),
+        "length": _vote(n < 10, n >= 50),
         "word_length": _vote((mean < 2.5) | (mean > 14), (mean >= 3.5) & (mean <= 9)),
-        "symbols": _vote(c("n_symbols") > 0.25 * n, c("n_symbols") <= 0.02 * n),
-        "duplicate_lines": _vote(c("n_dup_lines") > 0.3 * c("n_lines"), (c("n_dup_lines") == 0) & (c("n_lines") > 1)),
-        "repeated_words": _vote(c("n_repeat_words") > 0.2 * n, c("n_repeat_words") <= 0.05 * n),
-        "letters": _vote(c("n_letters") < 0.6 * c("word_chars"), c("n_letters") >= 0.85 * c("word_chars")),
-        "capitals": _vote(c("n_upper") > 0.4 * c("n_letters"), c("n_upper") <= 0.15 * c("n_letters")),
-        "shouting": _vote(c("n_shouts") > 0.25 * n, c("n_shouts") <= 0.05 * n),
+        "symbols": _vote(c("n_symbols") > 0.1 * n, c("n_symbols") == 0),
+        "plain_words": _vote(c("n_plain_chars") < 0.8 * c("word_chars"), c("n_plain_chars") >= 0.97 * c("word_chars")),
+        "sentences": _vote((n >= 30) & (c("n_sentences") < 0.01 * n), (n > 0) & (c("n_sentences") >= 0.03 * n)),
+        "duplicate_lines": _vote(c("n_dup_lines") > 0.3 * c("n_lines"), F.lit(False)),
+        "repeated_words": _vote(c("n_repeat_words") > 0.2 * n, F.lit(False)),
+        "letters": _vote(c("n_letters") < 0.75 * c("word_chars"), c("n_letters") >= 0.9 * c("word_chars")),
+        "capitals": _vote(c("n_upper") > 0.4 * c("n_letters"), F.lit(False)),
+        "shouting": _vote(c("n_shouts") > 0.25 * n, F.lit(False)),
     }
 
 
