@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import exact_dedup, packing, piece_codec, quality
+from corpusmill.llm import exact_dedup, packing, personal_data, piece_codec, quality
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_documents(spark, sf_dir))
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.digests(_documents(spark, sf_dir))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_documents(spark, sf_dir)).select("doc_id", *quality.STATISTICS, "base_failed", "kept", "quality")
 
@@ -44,7 +48,7 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_packing, op4_exact_dedup, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_packing, op4_exact_dedup, op8_personal_data, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
