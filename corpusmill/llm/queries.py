@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import exact_dedup, packing, personal_data, piece_codec, quality
+from corpusmill.llm import exact_dedup, near_dedup, packing, personal_data, piece_codec, quality
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir), _tokenizer("word_bpe_49k.json"))
 
 
+def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_documents(spark, sf_dir), near_dedup.Settings(words=2))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_documents(spark, sf_dir))
 
@@ -48,7 +52,7 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_packing, op4_exact_dedup, op8_personal_data, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_packing, op3_minhash_dedup, op4_exact_dedup, op8_personal_data, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
