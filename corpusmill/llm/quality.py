@@ -18,17 +18,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.checkpointing import cut
-from corpusmill.llm.text import WHITE, whole_text, words_of
+from corpusmill.llm.text import WORD, whole_text, words_of
 
-SYMBOLS = r"[#*$%&|<>]"
+SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 STATISTICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-EXTRA = ["n_lines", "n_letters", "n_upper", "n_shouts", "n_plain_chars", "n_sentences"]
-#: A word of letters with at most one mark behind it, and the mark that ends a sentence.
-PLAIN = r"(?<![^\x20\x09-\x0D])[\p{L}\p{M}'’-]++[.,;:!?]?+(?![^\x20\x09-\x0D])"
+EXTRA = ["n_lines", "n_upper", "n_shouts", "n_odd_words", "n_sentences"]
+#: A word that isn't letters with at most one mark behind them, and the mark that ends a sentence.
+ODD = r"(?<![^\x20\x09-\x0D])(?![\p{L}\p{M}'’-]++[.,;:!?]?+(?![^\x20\x09-\x0D]))[^\x20\x09-\x0D]++"
 ENDS = r"(?<=\p{L})[.!?](?![^\x20\x09-\x0D])"
 
 
+def _occurrences(text: str, characters: str) -> Column:
+    """How often any of ``characters`` occurs; a text without one is not copied."""
+    length = F.length(text).cast("long")
+    return sum((length - F.length(F.replace(F.col(text), F.lit(c), F.lit(""))) for c in characters[1:]), length - F.length(F.replace(F.col(text), F.lit(characters[0]), F.lit(""))))
+
+
 def with_statistics(docs: DataFrame) -> DataFrame:
     """``docs`` plus the statistics that the rules and the base rule read.
 
@@ -36,7 +42,7 @@ def with_statistics(docs: DataFrame) -> DataFrame:
     """
     text = whole_text()
     df = docs.withColumn("_text", text).withColumn("_words", words_of(F.col("_text")))
-    df = df.withColumn("_lines", F.filter(F.split("_text", "\n", -1), lambda line: F.length(F.regexp_replace(line, WHITE + "+", "")) > 0))
+    df = df.withColumn("_lines", F.filter(F.split("_text", "\n", -1), lambda line: line.rlike(WORD)))
     df = df.withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w)))
     parts = ", ".join(f"get(_hashes, i + {k})" for k in range(WINDOW))
     df = df.withColumn("_windows", F.expr(f"CASE WHEN size(_hashes) < {WINDOW} THEN CAST(array() AS array<bigint>) ELSE transform(sequence(0, size(_hashes) - {WINDOW}), i -> xxhash64({parts})) END"))
@@ -49,15 +55,14 @@ def with_statistics(docs: DataFrame) -> DataFrame:
     return df.withColumns({
         "n_words": size("_words"),
         "word_chars": long_length(F.array_join("_words", "")),
-        "n_symbols": long_length("_text") - long_length(F.regexp_replace("_text", SYMBOLS + "+", "")),
+        "n_symbols": _occurrences("_text", SYMBOLS),
         "n_dup_lines": size("_lines") - size(F.array_distinct("_lines")),
         "n_repeat_words": repeat,
         "n_lines": size("_lines"),
-        "n_letters": long_length(F.regexp_replace("_text", r"[^\p{L}\p{M}]+", "")),
-        "n_upper": long_length(F.regexp_replace("_text", r"[^\p{Lu}]+", "")),
-        "n_shouts": long_length(F.regexp_replace("_text", r"[^!?]+", "")),
-        "n_plain_chars": long_length("_text") - long_length(F.regexp_replace("_text", PLAIN, "")),
-        "n_sentences": long_length("_text") - long_length(F.regexp_replace("_text", ENDS, "")),
+        "n_upper": F.regexp_count("_text", F.lit(r"\p{Lu}")).cast("long"),
+        "n_shouts": _occurrences("_text", "!?"),
+        "n_odd_words": F.regexp_count("_text", F.lit(ODD)).cast("long"),
+        "n_sentences": F.regexp_count("_text", F.lit(ENDS)).cast("long"),
     }).drop("_text", "_words", "_lines", "_hashes", "_windows", "_sorted", "_repeats")
 
 
@@ -81,12 +86,11 @@ def rules() -> dict[str, Column]:
         "length": _vote(n < 10, n >= 50),
         "word_length": _vote((mean < 2.5) | (mean > 14), (mean >= 3.5) & (mean <= 9)),
         "symbols": _vote(c("n_symbols") > 0.1 * n, c("n_symbols") == 0),
-        "plain_words": _vote(c("n_plain_chars") < 0.8 * c("word_chars"), c("n_plain_chars") >= 0.97 * c("word_chars")),
-        "sentences": _vote((n >= 30) & (c("n_sentences") < 0.01 * n), (n > 0) & (c("n_sentences") >= 0.03 * n)),
+        "plain_words": _vote(c("n_odd_words") > 0.2 * n, (n > 0) & (c("n_odd_words") <= 0.03 * n)),
+        "sentences": _vote((n >= 80) & (c("n_sentences") < 0.004 * n), (n > 0) & (c("n_sentences") >= 0.03 * n)),
         "duplicate_lines": _vote(c("n_dup_lines") > 0.3 * c("n_lines"), F.lit(False)),
         "repeated_words": _vote(c("n_repeat_words") > 0.2 * n, F.lit(False)),
-        "letters": _vote(c("n_letters") < 0.75 * c("word_chars"), c("n_letters") >= 0.9 * c("word_chars")),
-        "capitals": _vote(c("n_upper") > 0.4 * c("n_letters"), F.lit(False)),
+        "capitals": _vote(c("n_upper") > 0.4 * c("word_chars"), (n > 0) & (c("n_upper") <= 0.15 * c("word_chars"))),
         "shouting": _vote(c("n_shouts") > 0.25 * n, F.lit(False)),
     }
 
