@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import exact_dedup, language_model, near_dedup, packing, personal_data, piece_codec, quality
+from corpusmill.llm import exact_dedup, language_model, near_dedup, packing, personal_data, piece_codec, quality, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_documents(spark, sf_dir))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score(_documents(spark, sf_dir))
 
@@ -56,7 +60,7 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_packing, op3_minhash_dedup, op4_exact_dedup, op7_lm_scoring, op8_personal_data, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_packing, op3_minhash_dedup, op4_exact_dedup, op5_toxicity, op7_lm_scoring, op8_personal_data, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
