@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import exact_dedup, language_model, near_dedup, packing, personal_data, piece_codec, quality, toxicity
+from corpusmill.llm import exact_dedup, language_model, licences, near_dedup, packing, passages, personal_data, piece_codec, quality, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +40,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(_documents(spark, sf_dir))
+
+
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score(_documents(spark, sf_dir))
 
@@ -48,6 +52,10 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.digests(_documents(spark, sf_dir))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(_documents(spark, sf_dir))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_documents(spark, sf_dir)).select("doc_id", *quality.STATISTICS, "base_failed", "kept", "quality")
 
@@ -60,8 +68,8 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_packing, op3_minhash_dedup, op4_exact_dedup, op5_toxicity, op7_lm_scoring, op8_personal_data, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_packing, op3_minhash_dedup, op4_exact_dedup, op5_toxicity, op6_substring_dedup, op7_lm_scoring, op8_personal_data, op9_license_scan, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL}
+    return {"op4_exact_dedup": OP4_SQL, "op9_license_scan": licences.sql()}
