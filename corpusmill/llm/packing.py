@@ -13,7 +13,10 @@ bounded whatever the corpus; a longer document fills whole sequences as it is re
 from __future__ import annotations
 
 import os
+import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,7 +26,7 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from corpusmill.llm.spancache import SpanCache, slices
+from corpusmill.llm.spancache import Memo, slices
 from corpusmill.llm.text import whole_text
 
 LENGTH = 4096
@@ -45,26 +48,28 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.runs: SpanCache[bytes] = SpanCache(self._runs)
-        self.units: SpanCache[bytes] = SpanCache(self._units)
         #: The tokenizer's splitting pattern (fixed value), and what is lower-cased alike everywhere and composed already.
-        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-        self.simple = regex.compile(r"[!-;=?-~À-ÖØ-öø-ÿ¡-§©-³¶-¿]*")
+        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
+        self.simple = re.compile(r"[!-;=?-~À-ÖØ-öø-ÿ¡-§©-³¶-¿]*").fullmatch
+        #: White space for str.split that isn't for the tokenizer.
+        self.kept = re.compile("[\x1c-\x1f]").search
+        self.runs, self.units = Memo(self._run, 900_000), Memo(self._unit, 600_000)
 
-    def _units(self, units: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+    def _unit(self, unit: str) -> bytes:
+        ids = self.tokenizer.encode(unit, add_special_tokens=False).ids
+        return array("I", ids).tobytes()
 
-    def _runs(self, runs: list[str]) -> list[bytes]:
-        simple = [self.simple.fullmatch(r) is not None for r in runs]
-        units = iter(self.units.values([self.split.findall(r.lower()) for r, s in zip(runs, simple) if s]))
-        rest = iter(self._units([r for r, s in zip(runs, simple) if not s]))
-        return [b"".join(next(units)) if s else next(rest) for s in simple]
+    def _run(self, run: str) -> bytes:
+        if self.simple(run):
+            return b"".join(map(self.units.__getitem__, self.split(run.lower())))
+        return self.units[run]
 
     def ids(self, text: str) -> Iterator[bytes]:
         """The ids of ``text``, slice by slice."""
         for part in slices(text):
-            words = part.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-            yield b"".join(self.runs.values([list(filter(None, words))])[0])
+            self.runs, self.units = self.runs.rotated(), self.units.rotated()
+            words = part.split() if self.kept(part) is None else re.findall(r"[^ \t\n\r]+", part)
+            yield b"".join(map(self.runs.__getitem__, words))
 
 
 @lru_cache(maxsize=2)
@@ -119,6 +124,9 @@ def assign(lengths: list[int], length: int = LENGTH) -> tuple[list[tuple[int, in
     return pieces, len(room)
 
 
+if sys.byteorder != "little" or array("I").itemsize != 4:  # pragma: no cover
+    raise ImportError("ids are kept as little-endian 32-bit integers")
+
 SCHEMA = "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, `offset` bigint"
 NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 

@@ -67,3 +67,26 @@ def groups(texts: Sequence[str], size: int = 1 << 20) -> Iterator[list[str]]:
         n += len(text)
     if run:
         yield run
+
+
+class Memo(dict):
+    """``make(key)`` by key, remembered for short keys in two generations of at most ``limit`` keys in all."""
+
+    def __init__(self, make: Callable[[str], V], limit: int, longest: int = 64, older: Memo | None = None):
+        super().__init__()
+        self.make, self.limit, self.longest, self.older = make, limit, longest, older
+
+    def __missing__(self, key: str) -> V:
+        value = self.older.get(key) if self.older is not None else None
+        if value is None:
+            value = self.make(key)
+        if len(key) <= self.longest:
+            self[key] = value
+        return value
+
+    def rotated(self) -> Memo:
+        """This one, or its successor where it is full."""
+        if 2 * len(self) < self.limit:
+            return self
+        self.older = None
+        return Memo(self.make, self.limit, self.longest, self)
