@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.checkpointing import cut
-from corpusmill.llm.text import whole_text
+from corpusmill.llm.text import boxed, whole_text
 
 BLOCK = 4096
 #: Names are dense within so many shares of the sorted keys: each share is sorted by itself.
@@ -92,7 +92,7 @@ def exact_duplicates(docs: DataFrame, block: int = BLOCK, fingerprint: Column |
 
 def keep_one(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """The rows of ``docs`` that stay, one for each different text, all columns unchanged."""
-    kept = exact_duplicates(docs, block).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    marked = docs.withColumn("_sha", F.sha2(whole_text(), 256))
-    stay = marked.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (marked["_sha"] == kept["_sha"]), "left_semi")
-    return stay.dropDuplicates(["doc_id", "_sha"]).drop("_sha")
+    kept = exact_duplicates(docs, block).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_kept"))
+    marked = boxed(docs).withColumn("_sha", F.sha2(whole_text(), 256))
+    stay = marked.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_kept")), "left_semi")
+    return stay.dropDuplicates(["doc_id", "_sha"]).select("_row.*")

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.checkpointing import cut
-from corpusmill.llm.text import whole_text
+from corpusmill.llm.text import boxed, whole_text
 
 KINDS = ["email", "ip", "card", "phone"]
 #: The base patterns, written so that a run of characters is tried once: a match can begin only where a run begins,
@@ -163,10 +163,11 @@ def mask(docs: DataFrame, rounds: int = 2) -> DataFrame:
     """``docs`` with each span replaced by its kind in brackets; overlapping spans become one. A missing text stays so."""
     found = find_personal_data(docs, rounds).filter(F.size("spans") > 0)
     found = found.groupBy("doc_id", "_hash").agg(F.first("spans").alias("_spans")).withColumnsRenamed({"doc_id": "_id", "_hash": "_h"})
-    marked = docs.withColumn("_hash", F.xxhash64(whole_text()))
+    marked = boxed(docs).withColumn("_hash", F.xxhash64(whole_text()))
     both = marked.join(found, marked["doc_id"].eqNullSafe(found["_id"]) & (marked["_hash"] == found["_h"]), "left")
     masked = F.expr("""aggregate(array_sort(transform(_spans, s -> named_struct('start', s.start, 'less', -s.end, 'kind', s.kind))), named_struct('at', 0L, 'out', CAST(array() AS array<string>)),
         (a, s) -> CASE WHEN s.start < a.at THEN named_struct('at', greatest(a.at, -s.less), 'out', a.out)
                   ELSE named_struct('at', -s.less, 'out', concat(a.out, array(substring(text, CAST(a.at + 1 AS int), CAST(s.start - a.at AS int)), '[', s.kind, ']'))) END,
         a -> concat(array_join(a.out, ''), substring(text, CAST(a.at + 1 AS int))))""")
-    return both.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(masked)).select(*docs.columns)
+    new = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(masked)
+    return both.select(*[new.alias(c) if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns])

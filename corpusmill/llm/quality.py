@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.checkpointing import cut
-from corpusmill.llm.text import WORD, whole_text, words_of
+from corpusmill.llm.text import WORD, boxed, whole_text, words_of
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -169,9 +169,7 @@ def keep_good(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     Two narrow passes and no join: the second computes the statistics again beside the columns that stay. Rows go by a
     generator that gives none, as a filter would be pushed down and the statistics put into it over and over.
     """
-    columns = docs.columns
     model = fit(with_votes(with_statistics(docs.select("text"))))
-    inner = docs.select(F.col("text"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"))
-    scored = with_votes(with_statistics(inner))
+    scored = with_votes(with_statistics(boxed(docs).drop("doc_id")))
     kept = F.when(~base_failed() & (model.posterior() >= threshold), F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>"))
     return scored.select("_row", F.explode(kept).alias("_kept")).select("_row.*")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: White space of the word definition: space and the controls tab to carriage return.
@@ -18,3 +18,8 @@ def whole_text(column: str = "text") -> Column:
 def words_of(text: Column) -> Column:
     """All words of a text, in order."""
     return F.array_remove(F.split(text, WHITE + "+", -1), "")
+
+
+def boxed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, _row): the whole row in one column, so that no name of the table meets a name used inside."""
+    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
