@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import records as R
 from corpusmill.operators import ranking as K
+from corpusmill.operators import review
 from corpusmill.operators.authors import dedupe_authors
+from corpusmill.operators.matching import match
 from corpusmill.operators.tree import agglomerate
 from corpusmill.plans.queries import _CENTROIDS, REFERENCE, _p, query
 from corpusmill.plans.retrieve import RefineLoop
@@ -145,3 +147,39 @@ def retrieve_loop(spark, d):
     catalog = papers(spark, d)
     seeds = catalog.join(spark.read.parquet(f"{d}/labels.parquet").filter("quality = 1").select("doc_id"), "doc_id", "left_semi").filter("doi IS NOT NULL")
     return RefineLoop(catalog, seeds.select("doi"), ["the and", "tion", "des"], ["er", "an"], REFERENCE).run()
+
+
+_REVIEW = "SELECT (label + CASE WHEN vec_id % 17 = 0 THEN 1 ELSE 0 END) AS cluster_id, vec_id AS paper_id FROM embeddings WHERE vec_id % 50 <> 0 UNION ALL SELECT 3, 7 UNION ALL SELECT 1, -5"
+
+
+@query(f"""WITH r AS ({_REVIEW}), o AS (SELECT label AS cluster_id, vec_id AS paper_id FROM embeddings) SELECT DISTINCT 'phantom' AS kind, paper_id FROM r WHERE paper_id NOT IN (SELECT paper_id FROM o)
+ UNION SELECT 'duplicate', paper_id FROM r GROUP BY paper_id HAVING count(*) > 1 UNION SELECT 'unassigned', paper_id FROM o WHERE paper_id NOT IN (SELECT paper_id FROM r)""")
+def review_violations(spark, d):
+    """What makes a review invalid."""
+    e = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("label").alias("cluster_id"), F.col("vec_id").alias("paper_id"))
+    r = e.filter("paper_id % 50 <> 0").withColumn("cluster_id", F.col("cluster_id") + F.when(F.col("paper_id") % 17 == 0, 1).otherwise(0))
+    return review.violations(e, r.unionByName(spark.createDataFrame([(3, 7), (1, -5)], "cluster_id int, paper_id long")))
+
+
+@query(_p("SELECT v.label AS cluster, v.vec_id AS paper, coalesce(p.title, f.text) AS title FROM embeddings v LEFT JOIN (SELECT * FROM papers WHERE doc_id % 4 <> 0) p ON p.doc_id = v.vec_id LEFT JOIN (SELECT doc_id, split_part(text, chr(10), 1) AS text FROM documents WHERE doc_id % 8 = 0) f ON f.doc_id = v.vec_id WHERE coalesce(p.title, f.text) IS NOT NULL"))
+def seed_resolution(spark, d):
+    """Enriched record, else the fallback, else dropped."""
+    p = papers(spark, d)
+    first, rest = p.filter("doc_id % 4 <> 0").select("doc_id", "title"), p.filter("doc_id % 8 = 0").select("doc_id", F.col("title").alias("other"))
+    both = vectors(spark, d).select("cluster", "doc_id").join(first, "doc_id", "left").join(rest, "doc_id", "left")
+    return both.select("cluster", F.col("doc_id").alias("paper"), F.coalesce("title", "other").alias("title")).filter("title IS NOT NULL")
+
+
+@query("SELECT coalesce(lang, 'ALL') AS lang, count(*) AS n, round(avg(n_chars), 6) AS mean_chars FROM documents GROUP BY ROLLUP (lang)")
+def focus_summary_rollup(spark, d):
+    """Groups and the total."""
+    return spark.read.parquet(f"{d}/documents.parquet").rollup("lang").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("n_chars"), 6).alias("mean_chars")).withColumn("lang", F.coalesce("lang", F.lit("ALL")))
+
+
+@query()
+def seed_match_cascade(spark, d):
+    """Labelled papers whose identifiers are partly gone, found again among the others by DOI, title or likeness."""
+    p = papers(spark, d)
+    seeds = p.join(spark.read.parquet(f"{d}/labels.parquet").filter("quality = 1").select("doc_id"), "doc_id", "left_semi")
+    seeds = seeds.withColumns({"doi": F.when(F.col("doc_id") % 2 == 0, F.col("doi")), "title": F.when(F.col("doc_id") % 5 == 0, F.concat("title", F.lit(" revised"))).otherwise(F.col("title"))})
+    return match(seeds, p)
