@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.checkpointing import cut
 from corpusmill.llm.spancache import slices
-from corpusmill.llm.text import whole_text
+from corpusmill.llm.text import boxed, whole_text
 from corpusmill.operators.graph import connected_components
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -44,6 +44,8 @@ class Settings:
     rate: float = 20.0
     #: A pair is given up unverified where its estimate is so many standard deviations below the threshold.
     deviations: float = 5.0
+    #: The table that puts rare shingles first has 2 ** order_bits counts.
+    order_bits: int = 18
 
     @property
     def registers(self) -> int:
@@ -168,12 +170,66 @@ def _verified(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     return both.mapInArrow(run, "rep bigint, hub bigint")
 
 
+def _rare_members(sets: DataFrame, s: Settings) -> DataFrame:
+    """(key, rep, n): members of the buckets of rare shingles.
+
+    Similar sets share one of the ``n - least + 1`` first shingles of either in any common order, where ``least`` is
+    the number of shingles that they must share. With the rare ones first, documents that merely have a common passage
+    share none. How rare a shingle is comes from counts in a table of fixed size, which only ever affects the order.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << s.order_bits, np.int64)
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                total += np.bincount((np.frombuffer(data, np.uint64) >> np.uint64(64 - s.order_bits)).astype(np.int64), minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "count"])
+
+    counts = np.zeros(1 << s.order_bits, np.int64)
+    for row in sets.select("hashes").mapInArrow(count, "at bigint, count bigint").groupBy("at").agg(F.sum("count").alias("count")).toLocalIterator():
+        counts[row["at"]] = row["count"]
+    order = sets.sparkSession.sparkContext.broadcast(counts)  # of a fixed size
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, keys = [], []
+            for data in batch.column(1).to_pylist():
+                h = np.frombuffer(data, np.uint64)
+                h = h[np.lexsort((h, order.value[(h >> np.uint64(64 - s.order_bits)).astype(np.int64)]))]
+                sizes.append(len(h))
+                keys.append(h[:len(h) + (-len(h) * s.percent // 100) + 1].view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["rep", "n", "keys"])
+
+    all_ = sets.select("rep", "hashes").mapInArrow(first, "rep bigint, n bigint, keys array<bigint>").select(F.explode("keys").alias("key"), "rep", "n")
+    shared = cut(all_.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low != high").select("key"))
+    return cut(all_.join(shared, "key"))
+
+
 def _components(members: DataFrame, registers: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     """(rep, component) for the members (key, rep) of buckets."""
     labels = cut(members.select("rep").distinct().withColumn("component", F.col("rep")))
-    size = registers.select("rep", "n")
-    members = cut(members.join(size, "rep"))
-    hubs_each, first = 1, True
+    members = cut(members.join(registers.select("rep", "n"), "rep"))
+    similar = 100 * F.least("n", "hub_n") >= s.percent * F.greatest("n", "hub_n")
+
+    def linked(labels: DataFrame, pairs: DataFrame) -> DataFrame:
+        """The labels after comparing ``pairs`` (rep, hub)."""
+        pairs = cut(pairs.groupBy(F.greatest("rep", "hub").alias("rep"), F.least("rep", "hub").alias("hub")).agg(F.lit(1).alias("_one")).drop("_one"))
+        links = _verified(cut(_likely(pairs, registers, s)), sets, s)
+        of = lambda k: labels.select(F.col("rep").alias(k), F.col("component").alias(f"c_{k}"))
+        joined = cut(links.join(of("rep"), "rep").join(of("hub"), "hub").select("c_rep", "c_hub").distinct())
+        if joined.isEmpty():
+            return labels
+        merged = connected_components(joined, "c_rep", "c_hub").select(F.col("node").alias("component"), F.col("component").alias("to"))
+        return cut(labels.join(cut(merged), "component", "left").select("rep", F.coalesce("to", "component").alias("component")))
+
+    # first each member with the one hub that it shares most buckets with: copies by the thousand then need no more
+    lows = cut(members.groupBy("key").agg(F.min("rep").alias("hub")))
+    votes = members.join(lows, "key").filter("rep != hub").groupBy("rep", "hub").agg(F.count(F.lit(1)).alias("votes"))
+    best = Window.partitionBy("rep").orderBy(F.col("votes").desc(), "hub")
+    labels = linked(labels, votes.withColumn("_order", F.row_number().over(best)).filter("_order = 1"))
+    members = _rare_members(sets, s)
+    hubs_each = 1
     while True:
         named = cut(members.join(labels, "rep"))
         # of each bucket its components; all but the largest give hubs, and a bucket of one component is done
@@ -182,28 +238,16 @@ def _components(members: DataFrame, registers: DataFrame, sets: DataFrame, s: Se
         open_ = cut(spread.filter("low != high").select("key", "most"))
         if open_.isEmpty():
             return labels
-        if first:  # all components are single members: the smallest is the hub
-            hubs = parts.join(open_, "key").groupBy("key").agg(F.min("first").alias("hub"))
-        else:
-            sized = parts.join(open_, "key")
-            largest = cut(sized.filter("size = most").groupBy("key").agg(F.min("component").alias("largest")))
-            others = sized.join(largest, "key").filter("component != largest")
-            order = F.row_number().over(Window.partitionBy("key").orderBy("first"))
-            hubs = others.withColumn("_order", order).filter(F.col("_order") <= hubs_each).select("key", F.col("first").alias("hub"))
-        hubs = cut(hubs)
+        sized = parts.join(open_, "key")
+        largest = cut(sized.filter("size = most").groupBy("key").agg(F.min("component").alias("largest")))
+        others = sized.join(largest, "key").filter("component != largest")
+        order = F.row_number().over(Window.partitionBy("key").orderBy("first"))
+        hubs = cut(others.withColumn("_order", order).filter(F.col("_order") <= hubs_each).select("key", F.col("first").alias("hub")))
         chosen = cut(hubs.join(named.select("key", F.col("rep").alias("hub"), F.col("component").alias("hub_component"), F.col("n").alias("hub_n")), ["key", "hub"]))
-        near = (F.col("component") != F.col("hub_component")) & (100 * F.least("n", "hub_n") >= s.percent * F.greatest("n", "hub_n"))
-        pairs = named.join(chosen, "key").filter(near).select("rep", "hub")
-        pairs = cut(pairs.groupBy(F.greatest("rep", "hub").alias("rep"), F.least("rep", "hub").alias("hub")).agg(F.lit(1).alias("_one")).drop("_one"))
-        links = _verified(cut(_likely(pairs, registers, s)), sets, s)
-        of = lambda k: labels.select(F.col("rep").alias(k), F.col("component").alias(f"c_{k}"))
-        joined = cut(links.join(of("rep"), "rep").join(of("hub"), "hub").select("c_rep", "c_hub").distinct())
-        if not joined.isEmpty():
-            merged = connected_components(joined, "c_rep", "c_hub").select(F.col("node").alias("component"), F.col("component").alias("to"))
-            labels = cut(labels.join(cut(merged), "component", "left").select("rep", F.coalesce("to", "component").alias("component")))
+        labels = linked(labels, named.join(chosen, "key").filter((F.col("component") != F.col("hub_component")) & similar).select("rep", "hub"))
         # hubs have been compared with, or are connected to, all others of their bucket
         members = cut(named.drop("component").join(open_.select("key"), "key", "left_semi").join(hubs.withColumnRenamed("hub", "rep"), ["key", "rep"], "left_anti"))
-        hubs_each, first = hubs_each * 8, False
+        hubs_each *= 8
 
 
 def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -238,4 +282,4 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
 def keep_one(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """The rows of ``docs`` that stay, one document of each component, all columns unchanged."""
     gone = near_duplicates(docs, settings).filter("NOT kept").select("doc_id").distinct()
-    return docs.join(gone.withColumnRenamed("doc_id", "_gone"), F.col("doc_id") == F.col("_gone"), "left_anti")
+    return boxed(docs).join(gone.withColumnRenamed("doc_id", "_gone"), F.col("doc_id") == F.col("_gone"), "left_anti").select("_row.*")
