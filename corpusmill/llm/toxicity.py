@@ -34,12 +34,12 @@ _WORDS = re.compile(r"[^\W\d_]+").findall
 @dataclass(frozen=True)
 class Settings:
     #: Labelled rows to learn from, and terms to keep: both bound the index.
-    examples: int = 20_000
+    examples: int = 12_000
     terms: int = 2_000
     #: A term is kept where its presence and the label differ from independence by so many standard deviations.
-    deviations: float = 5.0
+    deviations: float = 7.0
     neighbours: int = 15
-    block: int = 128
+    block: int = 256
     threshold: float = 0.3
     beginnings: tuple[int, ...] = (4, 5, 6)
 
@@ -57,6 +57,13 @@ def held_out(doc: int | None) -> bool:
     return doc is not None and zlib.crc32(str(doc).encode()) % 4 == 2
 
 
+def _unit(counts: Counter[int], idf: np.ndarray) -> dict[int, float]:
+    """The TF-IDF vector of length one; empty without terms."""
+    raw = {t: (1 + math.log(n)) * float(idf[t]) for t, n in counts.items()}
+    norm = math.sqrt(sum(w * w for w in raw.values()))
+    return {t: w / norm for t, w in raw.items()}
+
+
 @dataclass
 class Index:
     """Examples as unit vectors over ``vocabulary``; ``labels`` by example."""
@@ -71,6 +78,9 @@ class Index:
     none: float = 0.0
 
     def __post_init__(self) -> None:
+        # alike examples side by side, so that a block's bounds say much; those without terms last
+        order = sorted(range(len(self.vectors)), key=lambda e: (not self.vectors[e], sorted(self.vectors[e].items(), key=lambda x: (-x[1], x[0])), self.ids[e]))
+        self.vectors, self.ids, self.labels = [self.vectors[e] for e in order], [self.ids[e] for e in order], self.labels[order]
         postings: dict[int, list[tuple[int, float]]] = {}
         for e, vector in enumerate(self.vectors):
             for t, w in vector.items():
@@ -85,11 +95,6 @@ class Index:
             for b, i, j in zip(block[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(at)]):
                 self.postings[t, b] = at[i:j] - b * self.s.block, w[i:j]
 
-    def vector(self, counts: Counter[int]) -> dict[int, float]:
-        raw = {t: (1 + math.log(n)) * float(self.idf[t]) for t, n in counts.items()}
-        norm = math.sqrt(sum(w * w for w in raw.values()))
-        return {t: w / norm for t, w in raw.items()}
-
     def search(self, query: dict[int, float], k: int, without: int = -1) -> list[tuple[float, int]]:
         """The ``k`` examples of the largest positive cosine, ties by number, exactly."""
         if not query:
@@ -142,7 +147,7 @@ class Index:
         return float(np.clip(0.98 * np.interp(vote, [0.0, *x, 1.0], [0.0, *y, 1.0]) + 0.02 * vote, 0, 1))
 
     def score(self, counts: Counter[int]) -> tuple[float, list[int]]:
-        found = self.search(self.vector(counts), self.s.neighbours) if counts else []
+        found = self.search(_unit(counts, self.idf), self.s.neighbours) if counts else []
         if not found:
             return self.none, []
         return self.probability(self.vote(found)), [self.ids[e] for _, e in found[:3]]
@@ -161,6 +166,8 @@ def _examples(docs: DataFrame, labels: DataFrame, s: Settings) -> DataFrame:
             words = [list(Counter(w for part in _words(t) for w in part).items()) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(words, pa.map_(pa.string(), pa.int32()))], ["doc_id", "toxic", "words"])
 
+    # of equal texts one example, so that copies of a text don't make its words telling
+    texts = texts.withColumn("_same", F.sha2("text", 256)).dropDuplicates(["_same"])
     return texts.select("doc_id", "text", "toxic").mapInArrow(run, "doc_id bigint, toxic int, words map<string,int>")
 
 
@@ -229,9 +236,8 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Index:
     df, n = _document_frequencies(docs, vocabulary, s)
     idf = np.log((1 + n) / (1 + df)) + 1
     rows = examples.mapInArrow(_counted(vocabulary, s), "doc_id bigint, toxic int, terms array<int>, counts array<int>").orderBy("doc_id").collect()  # bounded by ``examples``
-    index = Index(vocabulary, idf, [], np.array([r["toxic"] for r in rows]), [r["doc_id"] for r in rows], s)
-    index.vectors = [index.vector(Counter(dict(zip(r["terms"], r["counts"])))) if r["terms"] else {} for r in rows]
-    index.__post_init__()
+    found = [_unit(Counter(dict(zip(r["terms"], r["counts"]))), idf) for r in rows]
+    index = Index(vocabulary, idf, found, np.array([r["toxic"] for r in rows], int), [r["doc_id"] for r in rows], s)
     index.calibrate()
     return index
 
