@@ -28,7 +28,7 @@ from corpusmill.llm.spancache import slices
 from corpusmill.llm.text import whole_text
 
 #: Characters of a block: bounds what a task holds at once.
-BLOCK = 8 << 20
+BLOCK = 12 << 20
 TEST, HELD = 1, 4  # of the remainders by 5: never learned from; counts for the weights only at first
 BUCKETS = 40
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -64,7 +64,7 @@ def blocks(docs: DataFrame, size: int = BLOCK) -> DataFrame:
             ids, rests, texts = zip(*open_[held])
             sink = pa.BufferOutputStream()
             batch = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rests, pa.int8()), pa.array(texts, pa.large_string())], ["doc_id", "rest", "text"])
-            with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+            with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 7))) as w:
                 w.write_batch(batch)
             open_[held], sizes[held], made = [], 0, made + 1
             return pa.RecordBatch.from_arrays([pa.array([place + made - 1], pa.int64()), pa.array([held]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "held", "payload"])
