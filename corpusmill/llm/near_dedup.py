@@ -45,7 +45,7 @@ class Settings:
     #: A pair is given up unverified where its estimate is so many standard deviations below the threshold.
     deviations: float = 5.0
     #: The table that puts rare shingles first has 2 ** order_bits counts.
-    order_bits: int = 18
+    order_bits: int = 16
 
     @property
     def registers(self) -> int:
@@ -187,8 +187,8 @@ def _rare_members(sets: DataFrame, s: Settings) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "count"])
 
     counts = np.zeros(1 << s.order_bits, np.int64)
-    for row in sets.select("hashes").mapInArrow(count, "at bigint, count bigint").groupBy("at").agg(F.sum("count").alias("count")).toLocalIterator():
-        counts[row["at"]] = row["count"]
+    table = sets.select("hashes").mapInArrow(count, "at bigint, count bigint").groupBy("at").agg(F.sum("count").alias("count")).toArrow()
+    counts[table.column("at").to_numpy()] = table.column("count").to_numpy()
     order = sets.sparkSession.sparkContext.broadcast(counts)  # of a fixed size
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
