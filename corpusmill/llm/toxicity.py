@@ -36,8 +36,9 @@ class Settings:
     #: Labelled rows to learn from, and terms to keep: both bound the index.
     examples: int = 12_000
     terms: int = 2_000
-    #: A term is kept where its presence and the label differ from independence by so many standard deviations.
-    deviations: float = 7.0
+    #: A term is kept where its presence and the label differ from independence by so many standard deviations, or,
+    #: where none does as labels are few, where it differs most.
+    deviations: float = 5.0
     neighbours: int = 15
     block: int = 256
     threshold: float = 0.3
@@ -193,7 +194,8 @@ def _vocabulary(examples: DataFrame, s: Settings) -> dict[str, int]:
     counts = examples.select("toxic", F.explode(_terms("words", s)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("c"), F.sum("toxic").alias("t"))
     expected = F.col("c") * p / n
     z = (F.col("t") - expected) / F.sqrt(expected * (1 - p / n) + 1)
-    rows = counts.withColumn("z", z).filter(F.abs("z") >= s.deviations).orderBy(F.abs("z").desc(), "term").limit(s.terms).collect()  # bounded by ``terms``
+    top = counts.withColumn("z", z).orderBy(F.abs("z").desc(), "term").limit(s.terms).select("term", "z").collect()  # bounded by ``terms``
+    rows = [r for r in top if abs(r["z"]) >= s.deviations] or top
     return {r["term"]: k for k, r in enumerate(sorted(rows, key=lambda r: r["term"]))}
 
 
