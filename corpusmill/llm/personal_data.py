@@ -28,6 +28,8 @@ PATTERNS = {
 }
 #: A run without white space that holds an at sign or five digits.
 CANDIDATE = r"(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D]*+(?<=[^\x20\x09-\x0D]))(?=[^@\x20\x09-\x0D]*+@|(?:[^0-9\x20\x09-\x0D]*+[0-9]){5})[^\x20\x09-\x0D]++"
+#: Groups of figures joined by single blanks, dots, hyphens and brackets, of seven figures at least.
+JOINED = r"(?<![A-Za-z0-9.-])[(\[]?+(?=(?:[\x20.()\[\]-]{0,2}+[0-9]){7})[0-9]++(?:(?:[\x20.-]|[)\]][\x20.-]?+|[\x20.-]?+[(\[])[0-9]++)++(?![A-Za-z0-9@])"
 _STEP = 256
 
 
@@ -42,7 +44,7 @@ def _spans(text: str, pattern: str, kind: str) -> Column:
         (a, i) -> named_struct('at', a.at + length(_g[i]) + length(_h[i]), 'out', concat(a.out, array(named_struct('start', a.at + length(_g[i]), 'i', i)))))"""
     offsets = f"""flatten(aggregate(transform(sequence(0, (size(_h) - 1) div {_STEP}), b -> {inner}), named_struct('at', 0L, 'outs', CAST(array() AS array<array<struct<start: bigint, i: bigint>>>)),
         (a, x) -> named_struct('at', a.at + x.at, 'outs', concat(a.outs, array(transform(x.out, s -> named_struct('start', a.at + s.start, 'i', s.i))))), a -> a.outs))"""
-    value = f"transform({offsets}, s -> named_struct('kind', '{kind}', 'start', s.start, 'end', s.start + length(_h[s.i]), 'value', _h[s.i], 'before', right(_g[s.i], 200)))"
+    value = f"transform({offsets}, s -> named_struct('kind', '{kind}', 'start', s.start, 'end', s.start + length(_h[s.i]), 'value', _h[s.i], 'before', right(concat(CASE WHEN s.i <= 2 THEN '^ ' ELSE '' END, CASE WHEN s.i >= 2 THEN concat(_g[s.i - 2], _h[s.i - 2]) ELSE '' END, CASE WHEN s.i >= 1 THEN concat(_g[s.i - 1], _h[s.i - 1]) ELSE '' END, _g[s.i]), 200)))"
     # one element arrays bind names: the matches, then the gaps
     bound = f"flatten(transform(array(regexp_extract_all({text}, {quoted}, 0)), _h -> CASE WHEN size(_h) = 0 THEN CAST(array() AS array<struct<kind: string, start: bigint, end: bigint, value: string, before: string>>) ELSE flatten(transform(array(split({text}, {quoted}, -1)), _g -> {value})) END))"
     return F.expr(bound)
@@ -86,31 +88,38 @@ def with_base_spans(docs: DataFrame) -> DataFrame:
         df = df.withColumn(f"_{kind}", F.filter(F.when(quick[kind], _spans("_text", pattern, kind)).otherwise(F.expr(none)), _holds(kind)))
     df = df.withColumn("_base", F.concat(*[f"_{k}" for k in KINDS])).drop(*[f"_{k}" for k in KINDS])
     df = df.withColumn("_other", F.when(F.col("_text").rlike(r"@|[0-9]"), _spans("_text", CANDIDATE, "")).otherwise(F.expr(none)))
+    joined = F.when(F.col("_text").rlike(r"[0-9][\x20.()\[\]-]{1,2}[0-9]"), _spans("_text", JOINED, "")).otherwise(F.expr(none))
+    df = df.withColumn("_other", F.concat("_other", joined))
     return df.withColumn("_other", F.expr("filter(_other, o -> NOT exists(_base, b -> b.start < o.end AND o.start < b.end))")).drop("_text")
 
 
 def _before(column: Column) -> Column:
-    """The two words before, in lower case, figures alike; missing where there are fewer."""
-    words = F.regexp_extract(column, r"([^\x20\x09-\x0D]{1,40}[\x20\x09-\x0D]+[^\x20\x09-\x0D]{1,40})[\x20\x09-\x0D]*$", 1)
-    plain = F.regexp_replace(F.regexp_replace(F.lower(words), r"[0-9]+", "0"), r"[\x20\x09-\x0D]+", " ")
-    return F.when(F.length(words) > 0, plain)
+    """The two words before, and the one, in lower case, figures alike; a text begins with the word ``^``."""
 
+    def last(n: int) -> Column:
+        words = F.regexp_extract(column, r"((?:[^\x20\x09-\x0D]{1,40}[\x20\x09-\x0D]+){%d}[^\x20\x09-\x0D]{1,40})[\x20\x09-\x0D]*$" % (n - 1), 1)
+        plain = F.regexp_replace(F.regexp_replace(F.lower(words), r"[0-9]+", "0"), r"[\x20\x09-\x0D]+", " ")
+        return F.when(F.length(words) > 0, plain)
 
-def patterns_and_values(found: DataFrame, rounds: int = 2, support: int = 3, trust: float = 0.8) -> DataFrame:
+    return F.array_compact(F.array(last(2), last(1)))
+
+
+def patterns_and_values(found: DataFrame, rounds: int | None = None, support: int = 3, trust: float = 0.8) -> DataFrame:
     """(before, value, kind) of values behind trusted patterns, from rows with ``_base`` and ``_other``.
 
     A pattern's score for a kind is the summed score of the different values behind it over their number, and it
     counts once ``support`` different values of the kind stand behind it and the score reaches ``trust``. A value's
-    score is the chance that not all patterns before it err. Copies of a text add nothing, as values count once.
+    score is the chance that not all patterns before it err. Turns end when no value is new, or after ``rounds``. Copies of a text add nothing, as values count once.
     """
-    each = lambda c, base: found.select(F.explode(c).alias("s")).select(_before(F.col("s.before")).alias("before"), F.lower("s.value").alias("value"), (F.col("s.kind") if base else F.lit(None).cast("string")).alias("seed"))
-    edges = each("_base", True).unionByName(each("_other", False)).filter("before IS NOT NULL")
+    each = lambda c, base: found.select(F.explode(c).alias("s")).select(F.explode(_before(F.col("s.before"))).alias("before"), F.lower("s.value").alias("value"), (F.col("s.kind") if base else F.lit(None).cast("string")).alias("seed"))
+    edges = each("_base", True).unionByName(each("_other", False))
     edges = cut(edges.groupBy("before", "value").agg(F.max("seed").alias("seed")))
     scores = edges.filter("seed IS NOT NULL").select("value", F.col("seed").alias("kind"), F.lit(1.0).alias("score")).distinct()
     sizes = edges.groupBy("before").agg(F.count(F.lit(1)).alias("n"))
     seeds = scores
-    new = None
-    for _ in range(rounds):
+    least = trust * (1 - 0.5 / support)
+    ever, turn = None, 0
+    while True:
         held = edges.join(scores, "value").groupBy("before", "kind").agg(F.sum("score").alias("held"), F.count(F.when(F.col("score") >= trust, 1)).alias("support"))
         patterns = cut(held.filter(F.col("support") >= support).join(sizes, "before").withColumn("trust", F.col("held") / F.col("n")).filter(F.col("trust") >= trust).select("before", "kind", "trust"))
         behind = edges.filter("seed IS NULL").join(patterns, "before")
@@ -121,11 +130,15 @@ def patterns_and_values(found: DataFrame, rounds: int = 2, support: int = 3, tru
             fits = fits | ((F.col("kind") == kind) & _looks_like(kind, F.col("value")))
         new = cut(new.filter(fits))
         scores = seeds.unionByName(new)
-    least = trust * (1 - 0.5 / support)
+        sure, turn = new.filter(F.col("score") >= least - 1e-9).select("value", "kind"), turn + 1
+        fresh = sure if ever is None else sure.join(ever, ["value", "kind"], "left_anti")
+        if turn == rounds or fresh.isEmpty():
+            break
+        ever = sure if ever is None else cut(ever.unionByName(fresh))
     return behind.join(new.filter(F.col("score") >= least - 1e-9), ["value", "kind"]).select("before", "value", "kind").distinct()
 
 
-def find_personal_data(docs: DataFrame, rounds: int = 2) -> DataFrame:
+def find_personal_data(docs: DataFrame, rounds: int | None = None) -> DataFrame:
     """(doc_id, _hash, spans): all spans of each row as structs (kind, start, end, base), by kind as listed, then start.
 
     Base spans are always there; spans that the contexts give away are added. A missing or empty text has none.
@@ -134,7 +147,7 @@ def find_personal_data(docs: DataFrame, rounds: int = 2) -> DataFrame:
     marked = docs.select("doc_id", "text").withColumn("_hash", F.xxhash64(whole_text()))
     found = cut(with_base_spans(marked).drop("text"))
     trusted = patterns_and_values(found, rounds)
-    other = found.select("doc_id", "_hash", F.explode("_other").alias("s")).withColumn("before", _before(F.col("s.before"))).withColumn("value", F.lower("s.value"))
+    other = found.select("doc_id", "_hash", F.explode("_other").alias("s")).withColumn("before", F.explode(_before(F.col("s.before")))).withColumn("value", F.lower("s.value"))
     added = other.join(trusted, ["before", "value"]).groupBy("doc_id", "_hash").agg(F.collect_set(F.struct("kind", F.col("s.start").alias("start"), F.col("s.end").alias("end"))).alias("_added"))
     added = cut(added.withColumnsRenamed({"doc_id": "_id", "_hash": "_h"}))
     both = found.join(added, found["doc_id"].eqNullSafe(added["_id"]) & (found["_hash"] == added["_h"]), "left")
@@ -150,7 +163,7 @@ def _written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def digests(docs: DataFrame, rounds: int = 2) -> DataFrame:
+def digests(docs: DataFrame, rounds: int | None = None) -> DataFrame:
     """doc_id, the number of base spans by kind, base_sha256 and all spans, written kind:start:end."""
     found = find_personal_data(docs, rounds)
     base = F.filter("spans", lambda s: s["base"])
@@ -159,7 +172,7 @@ def digests(docs: DataFrame, rounds: int = 2) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(_written(base), 256).alias("base_sha256"), _written(F.col("spans")).alias("spans"))
 
 
-def mask(docs: DataFrame, rounds: int = 2) -> DataFrame:
+def mask(docs: DataFrame, rounds: int | None = None) -> DataFrame:
     """``docs`` with each span replaced by its kind in brackets; overlapping spans become one. A missing text stays so."""
     found = find_personal_data(docs, rounds).filter(F.size("spans") > 0)
     found = found.groupBy("doc_id", "_hash").agg(F.first("spans").alias("_spans")).withColumnsRenamed({"doc_id": "_id", "_hash": "_h"})
