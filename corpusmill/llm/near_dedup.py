@@ -2,9 +2,11 @@
 
 A document is the set of its word shingles. Each of the sketch's registers holds the exponentially distributed
 minimum over the set, truncated to a power of the base: sketches of parts merge by taking maxima, and equal registers
-grow likelier with similarity. Bands of registers name buckets; documents that share a bucket are compared, first by
-the likelihood of the similarity given how many registers are larger, smaller and equal and the sizes of the sets,
-then on the full sets.
+grow likelier with similarity. Bands of registers decide which documents take part, and give each the one best hub that
+it is compared with first. All further candidates share a bucket of rare shingles, by a prefix filter on the full sets:
+it replaced the bands' own buckets, which made more pairs of documents that are alike without being similar enough.
+Candidates are compared first by the likelihood of the similarity given how many registers are larger, smaller and
+equal and the sizes of the sets, then on the full sets.
 
 Comparisons do not grow with the square of a bucket: in each round a few members, the hubs, are compared with the rest
 of their bucket and leave it. A member already connected to a hub needs no comparison with it, and a bucket whose
