@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.functions.checkpointing import cut
+from corpusmill.functions.checkpointing import cut, drop
 
 
 def connected_components(edges: DataFrame, source: str = "src", target: str = "dst") -> DataFrame:
@@ -24,6 +24,8 @@ def connected_components(edges: DataFrame, source: str = "src", target: str = "d
         lower = cut(labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "low").alias("label")))
         hop = lower.select(F.col("node").alias("label"), F.col("label").alias("far"))
         new = cut(lower.join(hop, "label").select("node", F.col("far").alias("label"), (F.col("far") != F.col("old")).alias("moved")))
-        labels = new.select("node", "label")
+        drop(labels, lower)
+        labels = new
         if new.filter("moved").isEmpty():
-            return labels.withColumnRenamed("label", "component")
+            drop(both)
+            return new.select("node", F.col("label").alias("component"))
