@@ -34,6 +34,8 @@ END = 2
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 #: Tokens of a group: bounds a task's memory (four bytes each) and the number of sequences to choose from.
 GROUP = 1 << 21
+#: Runs of characters whose ids a worker remembers, and two thirds as many units: about 300 bytes each.
+REMEMBERED = 900_000
 
 
 class WordTokenizer:
@@ -43,7 +45,7 @@ class WordTokenizer:
     encoded once. Runs of plain Latin letters, digits and marks are first split as the tokenizer splits them.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -53,7 +55,7 @@ class WordTokenizer:
         self.simple = re.compile(r"[!-;=?-~À-ÖØ-öø-ÿ¡-§©-³¶-¿]*").fullmatch
         #: White space for str.split that isn't for the tokenizer.
         self.kept = re.compile("[\x1c-\x1f]").search
-        self.runs, self.units = Memo(self._run, 900_000), Memo(self._unit, 600_000)
+        self.runs, self.units = Memo(self._run, remembered), Memo(self._unit, remembered * 2 // 3)
 
     def _unit(self, unit: str) -> bytes:
         ids = self.tokenizer.encode(unit, add_special_tokens=False).ids
@@ -73,8 +75,8 @@ class WordTokenizer:
 
 
 @lru_cache(maxsize=2)
-def _tokenizer(path: str) -> WordTokenizer:
-    return WordTokenizer(path)
+def _tokenizer(path: str, remembered: int) -> WordTokenizer:
+    return WordTokenizer(path, remembered)
 
 
 def cost(n: int) -> float:
@@ -131,12 +133,13 @@ SCHEMA = "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequ
 NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
-def pack(docs: DataFrame, path: str, length: int = LENGTH, group: int = GROUP, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, path: str, length: int = LENGTH, group: int = GROUP, with_ids: bool = False, remembered: int = REMEMBERED) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids, if asked for).
 
     Every id of every document, and the end id behind each, lies in exactly one piece. A missing or empty text has the
     end id only; a repeated row is packed as often as it comes, a missing doc_id is carried along, an empty table has
-    no pieces. ``length`` must be a power of two. Only doc_id and text are read.
+    no pieces. ``length`` must be a power of two. Only doc_id and text are read. ``remembered`` bounds a worker's memory
+    and changes no result.
     """
     if length & (length - 1):
         raise ValueError("the length of a sequence must be a power of two")
@@ -144,7 +147,7 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, group: int = GROUP, w
     names = NAMES + ["ids"] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizer(path)
+        tokenizer = _tokenizer(path, remembered)
         place, sequences = TaskContext.get().partitionId() << 40, 0
         docs_, data, totals, gone = [], [], [], []  # of the group: id, bytes not yet packed, all tokens, tokens packed before
         tokens = 0
