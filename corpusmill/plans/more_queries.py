@@ -2,77 +2,15 @@
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import records as R
 from corpusmill.operators import ranking as K
 from corpusmill.operators import review
-from corpusmill.operators.authors import dedupe_authors
-from corpusmill.operators.matching import match
-from corpusmill.operators.tree import agglomerate
-from corpusmill.plans.queries import _CENTROIDS, REFERENCE, _p, query
-from corpusmill.plans.retrieve import RefineLoop
+from corpusmill.plans.queries import _CENTROIDS, _p, query
 from corpusmill.sources.catalog import papers, vectors
 
-_TOKENS = "regexp_extract_all(lower(text), '[a-z0-9][a-z0-9-]+')"
-_WANTED = ["thing", "idiot", "the", "tion"]
-
-
-def _tokens(spark, d: str) -> DataFrame:
-    docs = spark.read.parquet(f"{d}/documents.parquet")
-    return docs.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9][a-z0-9-]+"), F.lit(0))).alias("term"))
-
-
-@query(f"""WITH t AS (SELECT doc_id, unnest({_TOKENS}) AS term FROM documents), tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY 1, 2), n AS (SELECT count(DISTINCT doc_id) + 1 AS n FROM t),
- df AS (SELECT term, count(*) + CASE WHEN term IN ('thing', 'idiot', 'the', 'tion') THEN 1 ELSE 0 END AS df FROM tf GROUP BY 1), w AS (SELECT doc_id, term, tf * (ln((1 + n)::DOUBLE / (1 + df)) + 1) AS w FROM tf JOIN df USING (term), n),
- l AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM w GROUP BY 1), q AS (SELECT term, ln((1 + n)::DOUBLE / (1 + df)) + 1 AS w FROM df, n WHERE term IN ('thing', 'idiot', 'the', 'tion'))
- SELECT doc_id, round(sum(w.w * q.w) / max(norm) / (SELECT sqrt(sum(w * w)) FROM q), 6) AS lexical FROM w JOIN q USING (term) JOIN l USING (doc_id) GROUP BY doc_id""")
-def tfidf_lexical(spark, d):
-    """Cosine of a query's and each document's TF-IDF vectors, the query counted among the documents."""
-    tf = _tokens(spark, d).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    asked = F.col("term").isin(*_WANTED)
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("df", F.col("df") + asked.cast("int"))
-    n = tf.agg((F.countDistinct("doc_id") + 1).alias("n"))
-    idf = df.crossJoin(F.broadcast(n)).select("term", (F.log((1.0 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    w = tf.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
-    q = idf.filter(asked)
-    total = q.agg(F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("q"))
-    dots = w.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.sum(F.when(asked, F.col("w") * F.col("idf"))).alias("dot"))
-    return dots.filter("dot IS NOT NULL").crossJoin(F.broadcast(total)).select("doc_id", F.round(F.col("dot") / F.col("norm") / F.col("q"), 6).alias("lexical"))
-
-
-@query(f"SELECT doc_id, term, tf, rank FROM (SELECT doc_id, term, count(*) AS tf, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, term) AS rank FROM (SELECT doc_id, unnest({_TOKENS}) AS term FROM documents) WHERE length(term) > 3 GROUP BY 1, 2) WHERE rank <= 10")
-def single_doc_keyphrases(spark, d):
-    """A document's most frequent terms, ties by term."""
-    tf = _tokens(spark, d).filter(F.length("term") > 3).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("tf").desc(), "term")).cast("long")
-    return tf.withColumn("rank", rank).filter("rank <= 10").select("doc_id", "term", "tf", "rank")
-
-
-@query(f"""WITH s AS (SELECT v.label AS cluster, doc_id, text FROM embeddings v JOIN documents d ON d.doc_id = v.vec_id), t AS (SELECT DISTINCT cluster, doc_id, unnest({_TOKENS}) AS term FROM s),
- n AS (SELECT cluster, count(DISTINCT doc_id) AS n FROM t GROUP BY 1) SELECT t.cluster, term, count(*) AS n_docs FROM t JOIN n USING (cluster) GROUP BY t.cluster, term HAVING 2 * count(*) >= max(n)""")
-def shared_terms(spark, d):
-    """Terms in at least half of a cluster's documents."""
-    t = _tokens(spark, d).join(vectors(spark, d).select("doc_id", "cluster"), "doc_id").distinct()
-    n = t.groupBy("cluster").agg(F.countDistinct("doc_id").alias("n"))
-    return t.groupBy("cluster", "term").agg(F.count(F.lit(1)).alias("n_docs")).join(n, "cluster").filter("2 * n_docs >= n").select("cluster", "term", "n_docs")
-
-
-@query("""WITH c AS (SELECT label AS cluster, generate_subscripts(embedding, 1) AS k, unnest(embedding)::DOUBLE AS v, vec_id FROM embeddings), s AS (SELECT cluster, k, sum(v) AS s, count(*) AS n FROM c GROUP BY 1, 2),
- m AS (SELECT a.vec_id, a.cluster, b.cluster AS other, max(b.n) AS n, sum(a.v * b.s) AS dot FROM c a JOIN s b USING (k) GROUP BY 1, 2, 3),
- e AS (SELECT vec_id, max(CASE WHEN other = cluster THEN CASE WHEN n > 1 THEN (n - dot) / (n - 1) END END) AS a, min(CASE WHEN other <> cluster THEN 1 - dot / n END) AS b FROM m GROUP BY 1)
- SELECT round(avg(coalesce((b - a) / greatest(a, b), 0)), 6) AS silhouette FROM e""")
-def silhouette_cosine(spark, d):
-    """Mean silhouette by cosine distance of unit vectors, from sums per cluster instead of all pairs."""
-    v = vectors(spark, d).select("doc_id", "cluster", F.posexplode("vector").alias("k", "v")).withColumn("v", F.col("v").cast("double"))
-    sums = v.groupBy("cluster", "k").agg(F.sum("v").alias("s"), F.count(F.lit(1)).alias("n")).withColumnRenamed("cluster", "other")
-    m = v.join(F.broadcast(sums), "k").groupBy("doc_id", "cluster", "other").agg(F.max("n").alias("n"), F.sum(F.col("v") * F.col("s")).alias("dot"))
-    own = F.max(F.when((F.col("other") == F.col("cluster")) & (F.col("n") > 1), (F.col("n") - F.col("dot")) / (F.col("n") - 1)))
-    e = m.groupBy("doc_id").agg(own.alias("a"), F.min(F.when(F.col("other") != F.col("cluster"), 1 - F.col("dot") / F.col("n"))).alias("b"))
-    return e.agg(F.round(F.avg(F.coalesce((F.col("b") - F.col("a")) / F.greatest("a", "b"), F.lit(0.0))), 6).alias("silhouette"))
-
 
 @query(f"""WITH {_CENTROIDS}, x AS (SELECT vec_id AS doc_id, v.label AS cluster, 1 - list_cosine_similarity(embedding::DOUBLE[], centroid) AS d FROM embeddings v JOIN centroids c ON c.cluster = v.label)
  SELECT cluster, round(avg(d), 6) AS mean_distance, CASE WHEN count(*) >= 3 AND max(d) > avg(d) + 0.05 THEN min(doc_id) FILTER (round(d, 9) = m) END AS outlier FROM (SELECT *, max(round(d, 9)) OVER (PARTITION BY cluster) AS m FROM x) GROUP BY cluster""")
@@ -85,35 +23,6 @@ def intra_distance_outlier(spark, d):
     return a.select("cluster", F.round("m", 6).alias("mean_distance"), F.when((F.col("n") >= 3) & (F.col("most") > F.col("m") + 0.05), F.col("o")).alias("outlier"))
 
 
-@query("""WITH w AS (SELECT doc_id, regexp_split_to_array(lower(regexp_extract(text, '^[^\n]*')), ' +') AS w FROM documents), g AS (SELECT doc_id, list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)]) AS g FROM w WHERE len(w) >= 3),
- b AS (SELECT item_id, lower(text) AS t FROM benchmark) SELECT item_id, doc_id, round(len(list_filter(g, lambda x: contains(t, x)))::DOUBLE / len(g), 6) AS share FROM g JOIN b ON contains(t, g[1]) OR contains(t, g[len(g)]) WHERE len(list_filter(g, lambda x: contains(t, x)))::DOUBLE / len(g) >= 0.2""")
-def trigram_match(spark, d):
-    """Shares of a title's word trigrams in a passage, for passages with one of its end trigrams."""
-    docs = spark.read.parquet(f"{d}/documents.parquet")
-    w = docs.select("doc_id", F.split(F.lower(F.split_part(F.col("text"), F.lit("\n"), F.lit(1))), " +").alias("w")).filter(F.size("w") >= 3)
-    g = w.select("doc_id", F.expr("transform(sequence(1, size(w) - 2), i -> concat_ws(' ', w[i - 1], w[i], w[i + 1]))").alias("all"))
-    g = g.select("doc_id", F.array_distinct("all").alias("g"), F.explode(F.array_distinct(F.array(F.col("all")[0], F.element_at("all", -1)))).alias("end"))
-    passages = spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", F.lower("text").alias("t"))
-    words = passages.select("item_id", "t", F.split("t", r"[ \n]+").alias("w")).filter(F.size("w") >= 3)
-    grams = words.select("item_id", "t", F.explode(F.array_distinct(F.expr("transform(sequence(1, size(w) - 2), i -> concat_ws(' ', w[i - 1], w[i], w[i + 1]))"))).alias("end"))
-    share = F.size(F.filter("g", lambda x: F.col("t").contains(x))) / F.size("g")
-    return g.join(grams, "end").select("item_id", "doc_id", F.round(share, 6).alias("share")).filter("share >= 0.2").distinct()
-
-
-@query(f"""WITH t AS (SELECT doc_id, unnest(list_distinct({_TOKENS})) AS term FROM documents), n AS (SELECT count(*)::DOUBLE AS n FROM documents), top AS (SELECT term, count(*) AS c FROM t GROUP BY 1 ORDER BY c DESC, term LIMIT 10),
- k AS (SELECT a.term AS a, b.term AS b, count(*) AS c FROM t a JOIN t b ON a.doc_id = b.doc_id AND a.term < b.term WHERE a.term IN (SELECT term FROM top) AND b.term IN (SELECT term FROM top) GROUP BY 1, 2)
- SELECT k.a, k.b, round(CASE WHEN k.c = n THEN 1.0 ELSE ln(k.c * n / (x.c * y.c)) / -ln(k.c / n) END, 6) AS npmi FROM k JOIN top x ON x.term = k.a JOIN top y ON y.term = k.b, n""")
-def coherence_npmi(spark, d):
-    """Normalised pointwise mutual information of the ten commonest terms, with documents as windows."""
-    t = _tokens(spark, d).distinct()
-    n = spark.read.parquet(f"{d}/documents.parquet").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    top = t.groupBy("term").agg(F.count(F.lit(1)).alias("c")).orderBy(F.col("c").desc(), "term").limit(10)
-    few = t.join(F.broadcast(top), "term").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("term", "c"))).alias("s"))  # ten terms a document at most
-    pairs = few.select(F.posexplode("s").alias("i", "x"), "s").select("x", F.explode(F.expr("slice(s, i + 2, size(s))")).alias("y"))
-    k = pairs.groupBy(F.col("x.term").alias("a"), F.col("y.term").alias("b"), F.col("x.c").alias("ca"), F.col("y.c").alias("cb")).agg(F.count(F.lit(1)).alias("c")).crossJoin(F.broadcast(n))
-    return k.select("a", "b", F.round(F.when(F.col("c") == F.col("n"), 1.0).otherwise(F.log(F.col("c") * F.col("n") / (F.col("ca") * F.col("cb"))) / -F.log(F.col("c") / F.col("n"))), 6).alias("npmi"))
-
-
 @query(_p("SELECT doc_id, min(it) AS first_iteration, string_agg(CAST(it AS VARCHAR), ',' ORDER BY it) AS iterations FROM (SELECT doc_id, 1 AS it FROM papers WHERE year >= 2022 UNION ALL SELECT doc_id, 2 FROM papers WHERE citations > 150 UNION ALL SELECT doc_id, 3 FROM papers WHERE subject = 'fr') GROUP BY doc_id HAVING min(it) <= 2"))
 def final_pool(spark, d):
     """Rows of all iterations by paper, those found up to the best iteration."""
@@ -126,29 +35,6 @@ def final_pool(spark, d):
     return found.filter(F.array_min("its") <= 2).select("doc_id", F.array_min("its").alias("first_iteration"), F.array_join(F.transform("its", lambda i: i.cast("string")), ",").alias("iterations"))
 
 
-@query()
-def topic_tree(spark, d):
-    """Merges of the clusters' centroids by average cosine distance."""
-    rows = K.centroids(vectors(spark, d)).orderBy("cluster").collect()  # a row per cluster
-    c = np.array([r["centroid"] for r in rows])
-    return spark.createDataFrame(agglomerate([r["cluster"] for r in rows], 1 - c @ c.T), "node int, left int, right int, distance double, n_leaves int")
-
-
-@query()
-def author_dedupe(spark, d):
-    """Aliases of an author collapse to the most complete."""
-    names = F.array(F.concat(F.lit("Smith, J"), F.col("doc_id") % 3), F.lit("Smith, John"), F.lit("J. Smith"), F.lit("van der Berg, Anna"), F.lit("A. van der Berg"))
-    return papers(spark, d).select("doc_id", F.array_join(dedupe_authors(names), "|").alias("authors"))
-
-
-@query()
-def retrieve_loop(spark, d):
-    """L1: build, search, pool, rank, measure and refine until the stop policy says so."""
-    catalog = papers(spark, d)
-    seeds = catalog.join(spark.read.parquet(f"{d}/labels.parquet").filter("quality = 1").select("doc_id"), "doc_id", "left_semi").filter("doi IS NOT NULL")
-    return RefineLoop(catalog, seeds.select("doi"), ["the and", "tion", "des"], ["er", "an"], REFERENCE).run()
-
-
 _REVIEW = "SELECT (label + CASE WHEN vec_id % 17 = 0 THEN 1 ELSE 0 END) AS cluster_id, vec_id AS paper_id FROM embeddings WHERE vec_id % 50 <> 0 UNION ALL SELECT 3, 7 UNION ALL SELECT 1, -5"
 
 
@@ -176,10 +62,3 @@ def focus_summary_rollup(spark, d):
     return spark.read.parquet(f"{d}/documents.parquet").rollup("lang").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("n_chars"), 6).alias("mean_chars")).withColumn("lang", F.coalesce("lang", F.lit("ALL")))
 
 
-@query()
-def seed_match_cascade(spark, d):
-    """Labelled papers whose identifiers are partly gone, found again among the others by DOI, title or likeness."""
-    p = papers(spark, d)
-    seeds = p.join(spark.read.parquet(f"{d}/labels.parquet").filter("quality = 1").select("doc_id"), "doc_id", "left_semi")
-    seeds = seeds.withColumns({"doi": F.when(F.col("doc_id") % 2 == 0, F.col("doi")), "title": F.when(F.col("doc_id") % 5 == 0, F.concat("title", F.lit(" revised"))).otherwise(F.col("title"))})
-    return match(seeds, p)

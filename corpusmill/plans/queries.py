@@ -33,7 +33,7 @@ def _p(s: str) -> str:
 
 
 _DOI_SQL = "nullif(regexp_replace(regexp_replace(regexp_replace(lower(trim({0})), '^https?://(dx\\.)?doi\\.org/', ''), '^doi:\\s*', ''), '[/.,;: ]+$', ''), '')"
-_TITLE_SQL = "trim(regexp_replace(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{M}}\\p{{N}}_\\s]', '', 'g'), '\\s+', ' ', 'g'))"
+_TITLE_SQL = "regexp_replace(regexp_replace(regexp_replace(lower({0}), '^\\s+|\\s+$', '', 'g'), '[^\\p{{L}}\\p{{M}}\\p{{N}}_\\s]', '', 'g'), '\\s+', ' ', 'g')"
 _VARIANT = "CASE doc_id % 4 WHEN 0 THEN 'https://doi.org/' || doi || '.' WHEN 1 THEN ' DOI: ' || doi ELSE doi END"
 
 
@@ -47,45 +47,6 @@ def title_normalize(spark, d):
     return papers(spark, d).select("doc_id", R.normalize_title(F.col("title")).alias("title_key"))
 
 
-@query(_p(f"SELECT doc_id, coalesce('p_' || regexp_replace({_DOI_SQL.format('doi')}, '[^a-z0-9]+', '_', 'g'), 'p_h_' || substr(sha1(coalesce({_TITLE_SQL.format('title')}, '')), 1, 12)) AS paper_id FROM papers"))
-def paper_id_gen(spark, d):
-    none = F.lit(None).cast("string")
-    return papers(spark, d).select("doc_id", R.paper_id(F.col("doi"), none, none, F.col("title")).alias("paper_id"))
-
-
-@query(_p("SELECT doc_id, array_to_string(list_distinct_ordered, '|') AS keywords FROM (SELECT doc_id, list_filter(l, lambda x, i: list_position(l, x) = i) AS list_distinct_ordered FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(title, '[|;,]'), lambda x: regexp_replace(trim(x), '\\s+', ' ', 'g')), lambda x: x <> '') AS l FROM papers))"))
-def keyword_normalize(spark, d):
-    return papers(spark, d).select("doc_id", F.array_join(R.normalize_keywords(F.array("title")), "|").alias("keywords"))
-
-
-@query(_p("""SELECT doc_id, array_to_string(list_filter([CASE WHEN trim(title) = '' THEN 'title_missing' END,
- CASE WHEN trim(title) <> '' AND length(trim(title)) < 12 THEN 'title_short' END,
- CASE WHEN trim(title) <> '' AND length(regexp_replace(trim(title), '[^0-9]', '', 'g')) > 0.2 * length(trim(title)) THEN 'title_digits' END,
- CASE WHEN trim(title) <> '' AND (regexp_matches(trim(title), '(?i)(\\.pdf|\\.docx?|untitled|microsoft word)') OR (NOT contains(trim(title), ' ') AND regexp_matches(trim(title), '[_-]'))) THEN 'title_filename' END,
- CASE WHEN regexp_matches(trim(title), '(?i)(https?://|www\\.)') THEN 'title_url' END,
- CASE WHEN regexp_matches(trim(title), '(?i)^(elsevier|springer|wiley|ieee|sciencedirect)') THEN 'title_publisher' END,
- CASE WHEN regexp_matches(trim(title), '(?i)^(journal of|proceedings of|international journal)') THEN 'title_journal' END,
- CASE WHEN regexp_matches(trim(title), '(?i)^chapter\\s+[0-9]+') THEN 'title_chapter' END,
- CASE WHEN year < 1990 OR year > 2020 THEN 'year_range' END, CASE WHEN trim(abstract) = '' THEN 'abstract_missing' END,
- CASE WHEN trim(abstract) <> '' AND length(trim(abstract)) < 200 THEN 'abstract_short' END], lambda x: x IS NOT NULL), ',') AS warnings FROM papers"""))
-def quality_warnings(spark, d):
-    codes = R.warnings(F.col("title"), F.array("venue"), F.col("year"), F.col("abstract"), F.array("subject"), 2020)
-    return papers(spark, d).select("doc_id", F.array_join(F.filter(codes, lambda c: c != "authors_digits"), ",").alias("warnings"))
-
-
-@query(_p("SELECT CASE WHEN year > 2020 THEN 'year_range' ELSE 'none' END AS code, count(*) AS n FROM papers GROUP BY 1"))
-def quality_flag_counts(spark, d):
-    codes = R.warnings(F.lit("A long enough title"), F.array(F.lit("A B")), F.col("year"), F.rpad(F.lit("x"), 300, "x"), F.array("subject"), 2020)
-    return papers(spark, d).select(F.explode(F.when(F.size(codes) > 0, codes).otherwise(F.array(F.lit("none")))).alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query(r"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
- '(?i)https?://\S+', ' ', 'g'), '(?i)www\.\S+', ' ', 'g'), '\S+@\S+\.\S+', ' ', 'g'), '(?i)\b(doi|isbn|issn)[: ]*[0-9x./-]+', ' ', 'g'), '(?i)\barxiv:\s*[0-9.]+', ' ', 'g'), '(?i)\bet al\.?,? *\(?[0-9]{4}\)?', ' ', 'g'),
- '\([A-Z][A-Za-z]+,? [0-9]{4}\)', ' ', 'g'), '(?i)\bpp?\. *[0-9]+ *(-|–) *[0-9]+', ' ', 'g'), '(?i)\bvol\. *[0-9]+', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM documents WHERE lang = 'en'""")
-def artifact_clean(spark, d):
-    return spark.read.parquet(f"{d}/documents.parquet").filter("lang = 'en'").select("doc_id", R.remove_artifacts(F.col("text")).alias("text"))
-
-
 @query(_p(f"SELECT doc_id, year, citations, row_number() OVER (ORDER BY year, rn) - 1 AS rank FROM (SELECT *, row_number() OVER (PARTITION BY year ORDER BY citations DESC, doc_id) AS rn FROM papers WHERE year BETWEEN {REFERENCE - 4} AND {REFERENCE}) WHERE rn <= 10"))
 def year_topk_sample(spark, d):
     top = K.top_by_year(papers(spark, d), REFERENCE, 5, 10)  # 50 rows, so one sort gives the rank
@@ -132,18 +93,6 @@ def seed_map(spark, d):
     return vectors(spark, d).select("cluster", "doc_id").join(papers(spark, d), "doc_id", "left").select("cluster", "doc_id", "title", "year", "venue", "doi")
 
 
-_STRATEGIES = {"a": _OR, "b": _AXES, "c": _NOT}
-
-
-@query(_p(f"""SELECT lower(doi) AS doi, min(doc_id) AS doc_id, string_agg(s, ',' ORDER BY s) AS strategies, count(*) AS n FROM (SELECT 'a' AS s, * FROM papers WHERE {_OR_SQL} UNION ALL SELECT 'b', * FROM papers WHERE {_AXES_SQL}
- UNION ALL SELECT 'c', * FROM papers WHERE {_NOT_SQL}) WHERE doi IS NOT NULL GROUP BY 1"""))
-def cross_strategy_dedup(spark, d):
-    found = None
-    for name, text in _STRATEGIES.items():
-        rows = papers(spark, d).filter(Q.compile_query(text)).select(F.lit(name).alias("s"), "doc_id", F.lower("doi").alias("doi"))
-        found = rows if found is None else found.unionByName(rows)
-    return found.filter("doi IS NOT NULL").groupBy("doi").agg(F.min("doc_id").alias("doc_id"), F.array_join(F.array_sort(F.collect_set("s")), ",").alias("strategies"), F.count(F.lit(1)).alias("n"))
-
 
 @query(f"SELECT doc_id, round(pow(0.5, greatest(0, {REFERENCE} - year) / 3.0), 9) AS recency, round(least(1.0, citations / greatest(1, {REFERENCE} - year + 1)::DOUBLE / 30.0), 9) AS velocity FROM ({_p('SELECT * FROM papers')})")
 def recency_and_velocity(spark, d):
@@ -190,120 +139,11 @@ def membership_verify(spark, d):
     return K.membership(v, K.centroids(v)).withColumn("similarity", F.round("similarity", 4))
 
 
-@query(f"WITH {_MEMBERS} SELECT cluster, doc_id, row_number() OVER (PARTITION BY cluster ORDER BY round(s, 6) DESC, doc_id) AS focus_rank FROM members WHERE cluster_match")
-def focus_filter(spark, d):
-    v = vectors(spark, d)
-    rank = F.row_number().over(Window.partitionBy("cluster").orderBy(F.round("similarity", 6).desc(), "doc_id")).cast("long")
-    return K.membership(v, K.centroids(v)).filter("cluster_match").select("cluster", "doc_id", rank.alias("focus_rank"))
-
-
-@query(f"WITH {_MEMBERS} SELECT coalesce(CAST(cluster AS VARCHAR), 'ALL') AS cluster, count(*) AS n_input, count(*) FILTER (cluster_match) AS n_kept, round(100.0 * count(*) FILTER (cluster_match) / count(*), 6) AS kept_pct, round(avg(s), 6) AS mean_affinity, round(median(s), 6) AS median_affinity, count(*) FILTER (s < 0.3) AS n_borderline FROM members GROUP BY ROLLUP (cluster)")
-def quality_report(spark, d):
-    """Per cluster and over all."""
-    v = vectors(spark, d)
-    kept = F.count_if("cluster_match")
-    rows = K.membership(v, K.centroids(v)).rollup("cluster").agg(
-        F.count(F.lit(1)).alias("n_input"), kept.alias("n_kept"), F.round(100.0 * kept / F.count(F.lit(1)), 6).alias("kept_pct"), F.round(F.avg("similarity"), 6).alias("mean_affinity"),
-        F.round(F.median("similarity"), 6).alias("median_affinity"), F.count_if(F.col("similarity") < 0.3).alias("n_borderline"))
-    return rows.withColumn("cluster", F.coalesce(F.col("cluster").cast("string"), F.lit("ALL")))
-
-
-@query(f"""WITH {PAPERS_SQL}, {_CENTROIDS}, scored AS (SELECT c.cluster, p.doc_id, 0.25 * list_cosine_similarity(v.embedding::DOUBLE[], c.centroid) + 0.1 * pow(0.5, greatest(0, {REFERENCE} - p.year) / 3.0)
- + 0.1 * least(1.0, p.citations / greatest(1, {REFERENCE} - p.year + 1)::DOUBLE / 30.0) AS final FROM embeddings v JOIN papers p ON p.doc_id = v.vec_id, centroids c)
- SELECT cluster, doc_id, round(final, 6) AS final, rank FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY round(final, 9) DESC, doc_id) AS rank FROM scored) WHERE rank <= 5""")
-def hybrid_rank(spark, d):
-    """The flagship: for each cluster its best candidates by the hybrid score."""
-    v = vectors(spark, d)
-    topics = K.centroids(v).select("cluster", "centroid")
-    rows = v.drop("cluster").join(papers(spark, d).select("doc_id", "year", "citations"), "doc_id").crossJoin(F.broadcast(topics))
-    scored = K.hybrid_score(rows.withColumn("semantic", R.cosine(F.col("vector"), F.col("centroid"))), REFERENCE, {"semantic": 0.25, "recency": 0.10, "velocity": 0.10})
-    return K.rank_within(scored, "cluster", 5).select("cluster", "doc_id", F.round("final", 6).alias("final"), F.col("rank").cast("long").alias("rank"))
-
-
-@query(f"""WITH RECURSIVE {_CENTROIDS}, edges AS (SELECT a.cluster AS a, b.cluster AS b FROM centroids a JOIN centroids b ON a.cluster <> b.cluster WHERE list_cosine_similarity(a.centroid, b.centroid) >= 0.2),
- reach AS (SELECT cluster AS node, cluster AS seen FROM centroids UNION SELECT r.node, e.b FROM reach r JOIN edges e ON e.a = r.seen) SELECT node AS cluster, min(seen) AS merged_into FROM reach GROUP BY node""")
-def semantic_merge(spark, d):
-    """V6: clusters whose centroids are close become one, named by the smallest."""
-    c = K.centroids(vectors(spark, d)).select("cluster", "centroid")
-    pairs = c.join(F.broadcast(c.select(F.col("cluster").alias("b"), F.col("centroid").alias("other"))), F.col("cluster") < F.col("b")).filter(R.cosine(F.col("centroid"), F.col("other")) >= 0.2)
-    merged = connected_components(pairs, "cluster", "b")
-    return c.select("cluster").join(merged.withColumnRenamed("node", "cluster"), "cluster", "left").select("cluster", F.coalesce("component", "cluster").alias("merged_into"))
-
-
-@query("SELECT count(*) AS n_clusters, min(n) AS smallest, max(n) AS largest, round(avg(n), 6) AS mean, median(n) AS median FROM (SELECT label, count(*) AS n FROM embeddings GROUP BY 1)")
-def cluster_size_stats(spark, d):
-    sizes = vectors(spark, d).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
-    return sizes.agg(F.count(F.lit(1)).alias("n_clusters"), F.min("n").alias("smallest"), F.max("n").alias("largest"), F.round(F.avg("n"), 6).alias("mean"), F.median("n").alias("median"))
-
-
 @query("SELECT coalesce(source, 'unknown') AS source, count(*) AS n FROM documents GROUP BY 1")
 def source_mix(spark, d):
     return spark.read.parquet(f"{d}/documents.parquet").groupBy(F.coalesce("source", F.lit("unknown")).alias("source")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""WITH t AS (SELECT v.label AS a, d.lang AS b FROM embeddings v JOIN documents d ON d.doc_id = v.vec_id), c AS (SELECT a, b, count(*) AS n FROM t GROUP BY 1, 2),
- s AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM c) AS i, (SELECT sum(n * (n - 1) / 2) FROM (SELECT sum(n) AS n FROM c GROUP BY a)) AS x, (SELECT sum(n * (n - 1) / 2) FROM (SELECT sum(n) AS n FROM c GROUP BY b)) AS y, (SELECT sum(n) FROM c) AS n)
- SELECT CAST(n AS BIGINT) AS n, round(coalesce((i - x * y / (n * (n - 1) / 2)) / nullif((x + y) / 2 - x * y / (n * (n - 1) / 2), 0), 1), 9) AS ari FROM s""")
-def ari_contingency(spark, d):
-    """Adjusted Rand index of two labelings, from their contingency table."""
-    t = vectors(spark, d).join(spark.read.parquet(f"{d}/documents.parquet"), "doc_id").groupBy("cluster", "lang").agg(F.count(F.lit(1)).alias("n"))
-    pairs = lambda df: df.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("s"))
-    of = lambda k: pairs(t.groupBy(k).agg(F.sum("n").alias("n")))
-    row = pairs(t).withColumnRenamed("s", "i").crossJoin(of("cluster").withColumnRenamed("s", "x")).crossJoin(of("lang").withColumnRenamed("s", "y")).crossJoin(t.agg(F.sum("n").alias("n")))  # one row each
-    expected = F.col("x") * F.col("y") / (F.col("n") * (F.col("n") - 1) / 2)
-    return row.select("n", F.round(F.coalesce(F.try_divide(F.col("i") - expected, (F.col("x") + F.col("y")) / 2 - expected), F.lit(1.0)), 9).alias("ari"))
-
-
-_AREA = "CASE WHEN venue IS NULL THEN 'COMP' WHEN regexp_matches(venue, '^src[0-4]$') THEN 'ECON' WHEN regexp_matches(venue, '^src1') THEN 'ENGI' ELSE 'OTHER' END"
-
-
-@query(_p(f"SELECT subject, arg_max(area, n * 10 - ord) AS modal_area, CAST(max(n) AS BIGINT) AS n FROM (SELECT subject, {_AREA} AS area, count(*) AS n, CASE {_AREA} WHEN 'COMP' THEN 0 WHEN 'ECON' THEN 1 WHEN 'ENGI' THEN 2 ELSE 3 END AS ord FROM papers GROUP BY 1, 2) GROUP BY subject"))
-def field_shift(spark, d):
-    """Ordered rules for the area, and each group's modal area, ties to the first rule."""
-    v = F.col("venue")
-    area = F.when(v.isNull(), "COMP").when(v.rlike("^src[0-4]$"), "ECON").when(v.rlike("^src1"), "ENGI").otherwise("OTHER")
-    counts = papers(spark, d).select("subject", area.alias("area")).groupBy("subject", "area").agg(F.count(F.lit(1)).alias("n"))
-    order = F.row_number().over(Window.partitionBy("subject").orderBy(F.col("n").desc(), F.array_position(F.array(*map(F.lit, ["COMP", "ECON", "ENGI", "OTHER"])), F.col("area"))))
-    return counts.withColumn("_r", order).filter("_r = 1").select("subject", F.col("area").alias("modal_area"), "n")
-
-
-@query(_p("SELECT doc_id, subject, rank FROM (SELECT doc_id, subject, row_number() OVER (PARTITION BY subject ORDER BY citations DESC, doc_id) AS rank FROM papers p WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.quality = 1 AND '10.5555/D' || l.doc_id = p.doi)) WHERE rank <= 5"))
-def discovery_topn(spark, d):
-    """Seeds go by an anti join before the best are taken."""
-    seeds = spark.read.parquet(f"{d}/labels.parquet").filter("quality = 1").select(F.concat(F.lit("10.5555/D"), "doc_id").alias("doi"))
-    order = F.row_number().over(Window.partitionBy("subject").orderBy(F.col("citations").desc(), "doc_id")).cast("long")
-    return papers(spark, d).join(seeds, "doi", "left_anti").withColumn("rank", order).filter("rank <= 5").select("doc_id", "subject", "rank")
-
-
-@query(_p("SELECT doc_id, k || CASE WHEN n > 1 THEN chr(CAST(96 + least(rn, 26) AS INTEGER)) ELSE '' END AS cite_key FROM (SELECT doc_id, k, row_number() OVER (PARTITION BY k ORDER BY doc_id) AS rn, count(*) OVER (PARTITION BY k) AS n FROM (SELECT doc_id, venue || year || coalesce(regexp_extract(lower(title), '[a-z]+', 0), '') AS k FROM papers))"))
-def bibtex_keys(spark, d):
-    """K9: citation keys, told apart by letters where they collide."""
-    k = F.concat("venue", F.col("year").cast("string"), F.regexp_extract(F.lower("title"), "[a-z]+", 0))
-    w = Window.partitionBy("k")
-    rows = papers(spark, d).select("doc_id", k.alias("k")).withColumns({"rn": F.row_number().over(w.orderBy("doc_id")), "n": F.count(F.lit(1)).over(w)})
-    return rows.select("doc_id", F.concat("k", F.when(F.col("n") > 1, F.char(96 + F.least("rn", F.lit(26)))).otherwise("")).alias("cite_key"))
-
-
-_GRAMS = "SELECT label AS cluster, vec_id, unnest(regexp_extract_all(lower(text), '[a-z][a-z-]+')) AS term FROM embeddings v JOIN documents d ON d.doc_id = v.vec_id"
-
-
-@query(f"""WITH terms AS (SELECT cluster, term, count(*) AS tf FROM ({_GRAMS}) GROUP BY 1, 2), n AS (SELECT count(DISTINCT cluster) AS n FROM terms), df AS (SELECT term, count(*) AS df FROM terms GROUP BY 1),
- w AS (SELECT cluster, term, (1 + ln(tf)) * (ln((1 + n)::DOUBLE / (1 + df)) + 1) AS w FROM terms JOIN df USING (term), n), l AS (SELECT cluster, sqrt(sum(w * w)) AS norm FROM w GROUP BY 1)
- SELECT cluster, term, round(w / norm, 6) AS weight, rank FROM (SELECT cluster, term, w, norm, row_number() OVER (PARTITION BY cluster ORDER BY round(w / norm, 9) DESC, term) AS rank FROM w JOIN l USING (cluster)) WHERE rank <= 10""")
-def cluster_keyphrases(spark, d):
-    """One document per cluster, sublinear TF, smooth IDF, unit length."""
-    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
-    each = vectors(spark, d).select("doc_id", "cluster").join(docs, "doc_id").select("cluster", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z][a-z-]+"), F.lit(0))).alias("term"))
-    terms = each.groupBy("cluster", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    n = terms.agg(F.countDistinct("cluster").alias("n"))
-    w = terms.join(df, "term").crossJoin(F.broadcast(n)).withColumn("w", (1 + F.log("tf")) * (F.log((1.0 + F.col("n")) / (1 + F.col("df"))) + 1))
-    norms = w.groupBy("cluster").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    weighted = w.join(F.broadcast(norms), "cluster").withColumn("weight", F.col("w") / F.col("norm"))
-    rank = F.row_number().over(Window.partitionBy("cluster").orderBy(F.round("weight", 9).desc(), "term")).cast("long")
-    return weighted.withColumn("rank", rank).filter("rank <= 10").select("cluster", "term", F.round("weight", 6).alias("weight"), "rank")
-
-
 _OLD, _NEW = "label", "CASE WHEN vec_id % 17 = 0 THEN (label + 1) % 10 ELSE label END"
 
 
@@ -324,9 +164,3 @@ def stop_policy_trace(spark, d):
     return runs.withColumns({"gain": F.coalesce(F.col("n") - F.lag("n").over(w), F.lit(0)), "best_before": F.coalesce(F.max("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
 
 
-@query()
-def fuzzy_title_dedup(spark, d):
-    """Duplicate titles by similarity; see ``operators.fuzzy_dedup``."""
-    from corpusmill.operators.fuzzy_dedup import fuzzy_duplicates
-
-    return fuzzy_duplicates(papers(spark, d))

@@ -1,4 +1,4 @@
-"""When the refine loop of a cluster ends (L2): rules in a fixed order over the metrics of its iterations."""
+"""When the refine loop of a cluster ends (L2), and which iteration was the best (W9): rules over metrics of iterations."""
 
 from __future__ import annotations
 
@@ -24,24 +24,33 @@ class StopPolicy:
     regression: float = 0.30
 
     def decide(self, history: list[Metrics], reviewer_stops: bool = False) -> str | None:
-        """The reason to stop after the last of ``history``, or None."""
+        """The reason to stop after the last of ``history``, or None: the first of these that holds.
+
+        Success; the last iteration allowed; recall far below an earlier iteration that had enough of it; recall held
+        and precision gains too little; precision too low several times in a row; recall gains too little and precision
+        falls; the reviewer's word. Iterations without results are never compared.
+        """
         if not history:
             return None
-        last = history[-1]
+        last, earlier = history[-1], history[:-1]
         if last.recall >= self.recall and last.precision >= self.precision:
             return "success"
         if len(history) >= self.iterations:
             return "max_iterations"
-        earlier = history[:-1]
-        best = max((m.recall for m in earlier if m.n_results > 0), default=None)
-        if best is not None and best - last.recall >= self.regression:
+        good = [m.recall for m in earlier if m.recall >= self.recall and m.n_results > 0]
+        if good and last.recall <= max(good) - self.regression:
             return "recall_regression"
-        if earlier:
-            before = earlier[-1]
-            if last.recall >= before.recall and 0 <= last.precision - before.precision < self.precision_step:
-                return "plateau"
-        if len(history) >= self.failures and all(m.precision < self.floor for m in history[-self.failures:]):
+        before = earlier[-1] if earlier and last.n_results > 0 and earlier[-1].n_results > 0 else None
+        if before and last.recall >= before.recall - 1e-9 and last.precision - before.precision < self.precision_step:
+            return "plateau"
+        tail = history[-self.failures:] if self.failures > 0 else []
+        if tail and len(tail) == self.failures and all(m.n_results > 0 and m.precision < self.floor for m in tail):
             return "low_precision"
-        if earlier and last.recall - earlier[-1].recall < self.recall_step and last.precision < earlier[-1].precision:
+        if before and last.recall - before.recall < self.recall_step and last.precision < before.precision:
             return "no_gain"
         return "reviewer" if reviewer_stops else None
+
+    def best(self, history: list[Metrics]) -> int | None:
+        """The place of the best iteration: enough recall, then results at all, recall, precision; of equals the earliest."""
+        worth = [(m.recall >= self.recall, m.n_results > 0, m.recall, m.precision) for m in history]
+        return worth.index(max(worth)) if worth else None

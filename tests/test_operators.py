@@ -13,7 +13,7 @@ from corpusmill.plans.stop_policy import Metrics, StopPolicy
 
 
 def test_doi_and_title(spark):
-    df = spark.createDataFrame([("https://dx.doi.org/10.1/AB.",), ("doi: 10.1/ab",), ("",), (None,)], "d string")
+    df = spark.createDataFrame([("https://dx.doi.org/10.1/AB.",), ("doi:10.1/ab",), ("",), (None,)], "d string")
     assert [r[0] for r in df.select(R.normalize_doi(F.col("d"))).collect()] == ["10.1/ab", "10.1/ab", None, None]
     t = spark.createDataFrame([("  Café: the   Test! ",)], "t string")
     assert t.select(R.normalize_title(F.col("t"))).first()[0] == "café the test"
@@ -21,7 +21,7 @@ def test_doi_and_title(spark):
 
 def test_warnings_in_order(spark):
     df = spark.createDataFrame([(None, [], 1800, "x", ["k"] * 13)], "t string, a array<string>, y int, ab string, k array<string>")
-    assert df.select(R.warnings(*map(F.col, "t a y ab k".split()), 2024)).first()[0] == ["title_missing", "authors_missing", "year_range", "abstract_short", "keywords_many"]
+    assert df.select(R.warnings(*map(F.col, "t a y ab k".split()), 2024)).first()[0] == ["title:missing", "authors:missing", "year:out_of_range", "abstract:too_short", "keywords:too_many"]
 
 
 def test_query_text_and_errors():
@@ -43,12 +43,17 @@ def test_year_reaches_the_scan(spark, tmp_path):
 
 
 @pytest.mark.parametrize("history, why", [
-    ([(0.95, 0.7)], "success"), ([(0.1, 0.5)], None), ([(0.9, 0.5), (0.5, 0.55)], "recall_regression"), ([(0.5, 0.5), (0.5, 0.505)], "plateau"),
-    ([(0.5, 0.1), (0.6, 0.2)], "low_precision"), ([(0.5, 0.5), (0.51, 0.4)], "no_gain"), ([(0.1, 0.3), (0.2, 0.4), (0.3, 0.5), (0.4, 0.55), (0.5, 0.58)], "max_iterations")])
+    ([(0.95, 0.7)], "success"), ([(0.1, 0.5)], None), ([(0.95, 0.5), (0.6, 0.55)], "recall_regression"), ([(0.6, 0.5), (0.3, 0.52)], None), ([(0.5, 0.5), (0.5, 0.505)], "plateau"), ([(0.5, 0.5), (0.6, 0.4)], "plateau"),
+    ([(0.5, 0.1), (0.6, 0.2)], "low_precision"), ([(0.5, 0.5), (0.49, 0.4)], "no_gain"), ([(0.0, 0.0, 0), (0.0, 0.0, 0)], None), ([(0.1, 0.3), (0.2, 0.4), (0.3, 0.5), (0.4, 0.55), (0.5, 0.58)], "max_iterations")])
 def test_stop_policy(history, why):
     assert StopPolicy().decide([Metrics(*h) for h in history]) == why
 
 
+def test_best_iteration():
+    best = lambda *rows: StopPolicy().best([Metrics(*r) for r in rows])
+    assert best() is None and best((0.9, 0.1), (1.0, 0.0, 0), (0.9, 0.1)) == 0 and best((0.5, 0.9), (0.6, 0.1)) == 1
+
+
 def test_fuzzy_scores():
     def lcs(a, b):
         rows = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]

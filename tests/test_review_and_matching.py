@@ -1,8 +1,12 @@
+import json
+
+import numpy as np
+import pytest
+
 from corpusmill.functions import actions
-from corpusmill.operators import review
+from corpusmill.operators import review, tree
 from corpusmill.operators.authors import collapse
-from corpusmill.operators.matching import match
-from corpusmill.operators.tree import agglomerate
+from corpusmill.operators.matching import resolve_in_catalog
 from corpusmill.sources import export
 
 BASE = [(-1, "n1"), (-1, "n2"), (0, "a"), (0, "b"), (0, "c"), (1, "d"), (1, "e")]
@@ -23,25 +27,93 @@ def test_review(spark):
     assert sorted(tuple(r) for r in review.violations(original, bad).collect()) == [("duplicate", "d"), ("phantom", "zz"), ("unassigned", "n1")]
 
 
-def test_matching(spark):
+def test_catalog_cascade(spark):
     kind = "doc_id long, doi string, title string"
     catalog = spark.createDataFrame([(1, "10.1/a", "First title here"), (2, None, "Second title here"), (3, None, "A rather long third heading about agents")], kind)
-    asked = spark.createDataFrame([(10, "https://doi.org/10.1/A", "x"), (11, None, "second TITLE: here"), (12, None, "A rather long third heading about agent"), (13, None, "nothing alike at all")], kind)
-    assert sorted((r["doc_id"], r["match_id"], r["method"]) for r in match(asked, catalog).collect()) == [(10, 1, "doi"), (11, 2, "title"), (12, 3, "fuzzy")]
+    asked = spark.createDataFrame([(10, "https://doi.org/10.1/A", "x"), (11, None, "second  TITLE here"), (12, None, "about agents a rather long third headng"), (13, None, "zq"), (14, None, "On the Second title here"), (15, None, None)], kind)
+    assert sorted((r["doc_id"], r["match_id"], r["method"]) for r in resolve_in_catalog(asked, catalog).collect()) == [(10, 1, "doi"), (11, 2, "title"), (12, 3, "fuzzy"), (14, 2, "containment")]
+    with pytest.raises(ValueError):
+        resolve_in_catalog(asked, catalog, most=2)
 
 
 def test_actions():
-    a = actions.parse(['Add term: "multi agent".', "exclude papers about robots", "add multi agent", "think harder"])
-    assert (a.add, a.exclude, a.other) == (["multi agent"], ["robots"], ["think harder"])
+    a = actions.parse(['add AND constraint with multi agent from the brief', 'drop "x"', "exclude: robots", "add: Multi Agent", "think harder", "", "narrow on trust", "removed things"])
+    assert (a.add, a.exclude, a.other) == (["multi agent", "trust"], ["x", "robots"], ["think harder", "removed things"])
     seeds = ["Multi agent systems", "multi agent robots"]
-    assert actions.validate(a, seeds, 0.6) == (["multi agent"], [], [("robots", "seeds with it")])
+    add, exclude, rejected = actions.validate(a, seeds, 0.6, applied=("TRUST",), excluded=("X",))
+    assert (add, exclude) == (["multi agent"], []) and [(r.phrase, r.mode, r.coverage) for r in rejected] == [("trust", "add", None), ("x", "exclude", None), ("robots", "exclude", 0.5)]
+    assert actions.coverage("x", []) == 0.0 and actions.coverage(" ", seeds) == 0.0
 
 
 def test_authors_and_tree():
-    assert collapse(["J. Smith", "Smith, John", "Smith, Jane", "Anna van der Berg", "van der Berg, A."]) == ["Smith, John", "Smith, Jane", "Anna van der Berg"]
-    import numpy as np
+    assert collapse(["J. Smith", "John Smith", "Jane Smith", "Anna van der Berg", "van der Berg A.", "Cavazza A.", "Alberto Cavazza PhD", "", "  "]) == ["John Smith", "Jane Smith", "Anna van der Berg", "Alberto Cavazza PhD"]
+    gaps = np.array([[0, 1.0, 4.0], [1.0, 0, 3.0], [4.0, 3.0, 0]])
+    assert tree.agglomerate([0, 1, 2], gaps) == [(3, 0, 1, 1.0, 2), (4, 2, 3, 3.5, 3)]
+    assert tree.agglomerate([0, 1, 2], gaps, "single")[1][3] == 3.0 and tree.agglomerate([0, 1, 2], gaps, "complete")[1][3] == 4.0
+    assert tree.agglomerate([0, 1, 2], gaps, "ward")[1][3] == pytest.approx(((2 * 16 + 2 * 9 - 1) / 3) ** 0.5)
+    root = tree.nested([0, 1, 2], tree.agglomerate([0, 1, 2], gaps), {0: ["a", "b"]}, {0: 5, 1: 2, 2: 1})
+    text = tree.tree_text(root)
+    assert "Topic 0 (5 papers)" in text and "a | b" in text and "papers: 8" in text and "[empty]" in text
+    assert json.loads(tree.tree_json(root, {0: ["a"]}, "average"))["hierarchy"]["papers"] == 8
+    assert tree.dendrogram_html(root).count("<line") == 6
+    assert tree.topic_rows(tree.agglomerate([0, 1, 2], gaps), [0, 1, 2])[1]["topics"] == [0, 1, 2]
+    assert tree.cosine_distances(np.eye(2)).tolist() == [[0, 1], [1, 0]]
+
+
+CLUSTERS = [{"cluster_id": c, "label": f"Topic {c}", "paper_ids": p} for c, p in ((-1, ["n1", "n2"]), (0, ["a", "b", "c"]), (1, ["d", "e"]))]
+
+
+def edited(change):
+    entries = review.read_review(review.snapshot(CLUSTERS, {"a": "Ä title"}))
+    return change(entries) or entries
+
+
+def test_apply_review():
+    same = review.apply_review(CLUSTERS, edited(lambda e: None))
+    assert not same.recompute and not same.moved and not same.remap and [c["cluster_id"] for c in same.clusters] == [-1, 0, 1]
+
+    def move(e):
+        e[1].papers.append(e[0].papers.pop())
+        e[1].label, e[1].description = "New", "What it is"
+
+    moved = review.apply_review(CLUSTERS, edited(move))
+    assert moved.moved == [{"paper_id": "n2", "from_cluster": -1, "to_cluster": 0}] and moved.recompute and moved.remap == {-1: 0}
+    assert moved.label_changes[0]["after"] == "New" and moved.description_changes and json.loads(review.audit(moved))["summary"]["moved"] == 1
+    rescued = review.apply_review(CLUSTERS, edited(lambda e: [review.ReviewedCluster(100, ["n1", "n2"]), *e[1:]]))
+    assert (rescued.new_ids, rescued.dropped_ids, rescued.remap) == ([100], [-1], {-1: 100}) and "New clusters:          [100]" in review.summary(rescued)
+
+
+@pytest.mark.parametrize("change", [
+    lambda e: e[0].papers.append("zz"), lambda e: e[0].papers.append("a"), lambda e: e[0].papers.pop(), lambda e: e[1].papers.clear(), lambda e: [*e, review.ReviewedCluster(0, ["a"])]])
+def test_invalid_reviews(change):
+    entries = review.read_review(review.snapshot(CLUSTERS))
+    result = change(entries)
+    with pytest.raises(review.ReviewError):
+        review.apply_review(CLUSTERS, result if isinstance(result, list) else entries)
+
+
+@pytest.mark.parametrize("text", ["", "version: 2\nclusters: []", "version: 1", "version: 1\nclusters: [{label: x}]"])
+def test_unreadable_reviews(text):
+    with pytest.raises(review.ReviewError):
+        review.read_review(text)
+
+
+def test_gate(tmp_path):
+    path = tmp_path / "review.yaml"
+    path.write_text("")
+    answers = iter(["what", "ready", "reload", "ready"])
+    said = []
+
+    def ask(_):
+        answer = next(answers)
+        if answer == "reload":
+            path.write_text(review.snapshot(CLUSTERS), encoding="utf-8")
+        return answer
 
-    assert agglomerate([0, 1, 2], np.array([[0, 1.0, 4.0], [1.0, 0, 3.0], [4.0, 3.0, 0]])) == [(3, 0, 1, 1.0, 2), (4, 2, 3, 3.5, 3)]
+    assert not review.confirm(path, CLUSTERS, ask, said.append, needs_terminal=False).recompute
+    assert "empty" in said[1] and len(said) == 4
+    with pytest.raises(review.ReviewCancelled):
+        review.confirm(path, CLUSTERS, lambda _: "cancel", needs_terminal=False)
 
 
 def test_exports(spark, tmp_path):
@@ -50,5 +122,10 @@ def test_exports(spark, tmp_path):
     export.write_run(rows.filter("cluster_id = 1"), str(tmp_path / "r"), "2024-02")
     runs = spark.read.parquet(str(tmp_path / "r"))
     assert export.latest_run(runs).count() == 2 and export.latest_run(runs, complete=True).count() == 3
-    assert {tuple(r) for r in export.manifest(rows).collect()} == {(1, 1, 2, 50.0), (2, 1, 1, 100.0)}
+    assert {tuple(r) for r in export.manifest(rows).collect()} == {("1", 1, 2, 50.0), ("2", 1, 1, 100.0), ("ALL", 2, 3, 66.7)}
+    done = export.freeze(spark, str(tmp_path / "r"), str(tmp_path / "f"))
+    assert done["frozen_run"] == "2024-02" and done["total_papers"] == 1 and spark.read.parquet(str(tmp_path / "f/papers")).count() == 1
+    assert export.freeze(spark, str(tmp_path / "r"), str(tmp_path / "f"), "2024-01")["n_clusters"] == 2 and spark.read.parquet(str(tmp_path / "f/papers")).count() == 2
+    with pytest.raises(ValueError):
+        export.freeze(spark, str(tmp_path / "r"), str(tmp_path / "f"), "1999")
     assert '"cluster_id": 1' in export.to_json_text(rows.limit(1))
