@@ -1,10 +1,11 @@
 """Toxicity by the nearest labelled examples.
 
-A text is a TF-IDF vector over words and beginnings of words that labels set apart; cosines to all labelled examples
-are searched exactly through an inverted index whose postings are cut into blocks of examples, each with the largest
-weight in it: blocks are opened in descending order of the bound that these give, until no block can reach the k-th
-best. The neighbours' votes, weighted by closeness, are the score; a monotone calibration learned by leaving out each
-example in turn makes it a probability, and the neighbours are the evidence.
+A text is a TF-IDF vector over all words of the labelled examples. The inverse document frequency of a term is multiplied by how far its presence among the labels is from chance, with a
+small share for every term: with plain frequencies a text's topic and language decide which examples are near (README).
+Cosines to all examples are searched exactly through an inverted index whose postings are cut into blocks of
+examples, each with the largest weight in it: the blocks with the largest bounds are opened first, then those whose
+bound still reaches the k-th best. The neighbours' votes, weighted by closeness, are the score; a monotone
+calibration learned by leaving out each example in turn makes it a probability, and the neighbours are the evidence.
 
 The labelled examples are a bounded sample (``examples`` rows, by a hash of their ids), so the index is bounded
 whatever the corpus. Document frequencies are counted over all documents.
@@ -21,32 +22,28 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.checkpointing import cut
-from corpusmill.llm.spancache import Memo, slices
-from corpusmill.llm.text import whole_text
+from corpusmill.functions.joins import bounded
+from corpusmill.llm.spancache import slices
+from corpusmill.llm.text import identity, whole_text
 
 _WORDS = re.compile(r"[^\W\d_]+").findall
 
 
 @dataclass(frozen=True)
 class Settings:
-    #: Labelled rows to learn from, and terms to keep: both bound the index.
-    examples: int = 12_000
-    terms: int = 2_000
-    #: A term is kept where its presence and the label differ from independence by so many standard deviations, or,
-    #: where none does as labels are few, where it differs most.
-    deviations: float = 5.0
+    #: Labelled rows to learn from: they bound the index, whose terms are all their words.
+    examples: int = 4_000
+    #: A term's weight grows by each deviation beyond these, and every term has the least weight.
+    chance: float = 2.0
+    least: float = 0.05
     neighbours: int = 15
-    block: int = 256
+    block: int = 128
     threshold: float = 0.3
-    beginnings: tuple[int, ...] = (4, 5, 6)
-
-
-def terms_of(word: str, s: Settings) -> list[str]:
-    return [word, *(f"{word[:k]}*" for k in s.beginnings if len(word) >= k)]
 
 
 def _words(text: str) -> Iterator[list[str]]:
@@ -54,69 +51,94 @@ def _words(text: str) -> Iterator[list[str]]:
         yield _WORDS(part.lower())
 
 
-def held_out(doc: int | None) -> bool:
+def held_out(doc: object | None) -> bool:
     return doc is not None and zlib.crc32(str(doc).encode()) % 4 == 2
 
 
-def _unit(counts: Counter[int], idf: np.ndarray) -> dict[int, float]:
-    """The TF-IDF vector of length one; empty without terms."""
-    raw = {t: (1 + math.log(n)) * float(idf[t]) for t, n in counts.items()}
-    norm = math.sqrt(sum(w * w for w in raw.values()))
-    return {t: w / norm for t, w in raw.items()}
+Vector = tuple[np.ndarray, np.ndarray]
+
+
+def _unit(counts: Counter[int], weights: np.ndarray) -> Vector:
+    """The vector of length one as terms, ascending, and values; empty without terms."""
+    terms = np.array(sorted(counts), np.int64)
+    values = (1 + np.log(np.array([counts[t] for t in terms.tolist()], float))) * weights[terms] if len(terms) else np.zeros(0)
+    norm = math.sqrt(float(values @ values))
+    return (terms, values / norm) if norm > 0 else (terms[:0], values[:0])
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges one after another."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
 
 
 @dataclass
 class Index:
-    """Examples as unit vectors over ``vocabulary``; ``labels`` by example."""
+    """Examples as unit vectors; ``labels`` and ``ids`` by example, ``weights`` by term of the vocabulary."""
 
     vocabulary: dict[str, int]
-    idf: np.ndarray
-    vectors: list[dict[int, float]]
+    weights: np.ndarray
+    vectors: list[Vector]
     labels: np.ndarray
-    ids: list[int]
+    ids: list
     s: Settings
     steps: list[tuple[float, float]] = field(default_factory=list)
     none: float = 0.0
 
     def __post_init__(self) -> None:
         # alike examples side by side, so that a block's bounds say much; those without terms last
-        order = sorted(range(len(self.vectors)), key=lambda e: (not self.vectors[e], sorted(self.vectors[e].items(), key=lambda x: (-x[1], x[0])), self.ids[e]))
+        heaviest = [tuple(v[0][np.argsort(-v[1], kind="stable")[:8]].tolist()) for v in self.vectors]
+        order = sorted(range(len(self.vectors)), key=lambda e: (not len(self.vectors[e][0]), heaviest[e], str(self.ids[e])))
         self.vectors, self.ids, self.labels = [self.vectors[e] for e in order], [self.ids[e] for e in order], self.labels[order]
-        postings: dict[int, list[tuple[int, float]]] = {}
-        for e, vector in enumerate(self.vectors):
-            for t, w in vector.items():
-                postings.setdefault(t, []).append((e, w))
-        self.postings: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
-        self.bounds: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for t, rows in postings.items():
-            at, w = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
-            block = at // self.s.block
-            starts = np.flatnonzero(np.diff(block, prepend=-1))
-            self.bounds[t] = block[starts], np.maximum.reduceat(w, starts)
-            for b, i, j in zip(block[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(at)]):
-                self.postings[t, b] = at[i:j] - b * self.s.block, w[i:j]
-
-    def search(self, query: dict[int, float], k: int, without: int = -1) -> list[tuple[float, int]]:
+        sizes = [len(v[0]) for v in self.vectors]
+        example = np.repeat(np.arange(len(sizes)), sizes)
+        term = np.concatenate([np.zeros(0, np.int64), *(v[0] for v in self.vectors)])
+        value = np.concatenate([np.zeros(0), *(v[1] for v in self.vectors)])
+        by_term = np.lexsort((example, term))
+        term, self.example, self.value = term[by_term], example[by_term].astype(np.int32), value[by_term].astype(np.float32)
+        block = self.example // self.s.block
+        fresh = np.flatnonzero(np.diff(term, prepend=-1) | np.diff(block, prepend=-1)) if len(term) else np.zeros(0, np.int64)
+        # a part is one term's postings in one block: where it starts, how many, and the largest
+        self.part_start, self.part_size = fresh.astype(np.int32), np.diff(np.append(fresh, len(term))).astype(np.int32)
+        self.part_block = block[fresh].astype(np.int32)
+        self.part_most = np.maximum.reduceat(self.value, fresh) if len(fresh) else np.zeros(0, np.float32)
+        self.parts_of = np.searchsorted(term[fresh], np.arange(len(self.weights) + 1)).astype(np.int32)
+        self.blocks = len(sizes) // self.s.block + 1
+
+    def search(self, query: Vector, k: int, without: int = -1) -> list[tuple[float, int]]:
         """The ``k`` examples of the largest positive cosine, ties by number, exactly."""
-        if not query:
+        terms, weights = query
+        if not len(terms):
             return []
-        bound = np.zeros(len(self.vectors) // self.s.block + 1)
-        for t, w in query.items():
-            if t in self.bounds:
-                at, most = self.bounds[t]
-                bound[at] += w * most
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(best) == k and bound[b] < best[-1][0] - 1e-12:
+        first, n = self.parts_of[terms], self.parts_of[terms + 1] - self.parts_of[terms]
+        part, weight = _ranges(first, n), np.repeat(weights, n)
+        bound = np.bincount(self.part_block[part], weights=weight * self.part_most[part], minlength=self.blocks)
+        order = np.argsort(-bound, kind="stable")
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        least, at, step = 0.0, 0, 2
+        while at < len(order):
+            now = order[at:at + step]
+            now = now[(bound[now] > 0) & (bound[now] >= least - 1e-6)]
+            if not len(now):
                 break
-            sums = np.zeros(self.s.block)
-            for t, w in query.items():
-                if (t, b) in self.postings:
-                    at, weights = self.postings[t, b]
-                    sums[at] += w * weights
-            found = [(float(sums[i]), b * self.s.block + int(i)) for i in np.flatnonzero(sums > 0)]
-            best = sorted(best + [f for f in found if f[1] != without], key=lambda f: (-round(f[0], 12), f[1]))[:k]
-        return best
+            opened = np.zeros(self.blocks, bool)
+            opened[now] = True
+            chosen = opened[self.part_block[part]]
+            some, w = part[chosen], weight[chosen]
+            size = self.part_size[some]
+            posting = _ranges(self.part_start[some], size)
+            sums = np.bincount(self.example[posting], weights=np.repeat(w, size) * self.value[posting], minlength=len(self.vectors))
+            if without >= 0:
+                sums[without] = 0
+            hits = np.flatnonzero(sums > 0)
+            found.append((hits, sums[hits]))
+            best = np.concatenate([c for _, c in found])
+            if len(best) >= k:
+                least = float(np.partition(best, len(best) - k)[len(best) - k])
+            at, step = at + step, len(order)
+        e, c = np.concatenate([np.zeros(0, np.int64), *(h for h, _ in found)]), np.concatenate([np.zeros(0), *(s for _, s in found)])
+        top = np.lexsort((e, -np.round(c, 6)))[:k]
+        return list(zip(c[top].tolist(), e[top].tolist()))
 
     def vote(self, found: list[tuple[float, int]]) -> float:
         weights = [1 / (1.05 - min(1.0, c)) for c, _ in found]
@@ -129,7 +151,7 @@ class Index:
             found = self.search(vector, self.s.neighbours, without=e)
             if found:
                 rows.append((self.vote(found), float(self.labels[e])))
-            elif not vector:
+            elif not len(vector[0]):
                 none = [none[0] + float(self.labels[e]), none[1] + 1]
         self.none = none[0] / none[1]
         pools: list[list[float]] = []  # [sum of votes, sum of labels, rows]
@@ -147,141 +169,118 @@ class Index:
         x, y = zip(*self.steps)
         return float(np.clip(0.98 * np.interp(vote, [0.0, *x, 1.0], [0.0, *y, 1.0]) + 0.02 * vote, 0, 1))
 
-    def score(self, counts: Counter[int]) -> tuple[float, list[int]]:
-        found = self.search(_unit(counts, self.idf), self.s.neighbours) if counts else []
+    def score(self, counts: Counter[int]) -> tuple[float, list]:
+        found = self.search(_unit(counts, self.weights), self.s.neighbours) if counts else []
         if not found:
             return self.none, []
         return self.probability(self.vote(found)), [self.ids[e] for _, e in found[:3]]
 
 
 def _examples(docs: DataFrame, labels: DataFrame, s: Settings) -> DataFrame:
-    """(doc_id, toxic, words): the sample's texts as counts of their words."""
+    """(doc_id, toxic, words): the sample's texts as counts of their words.
+
+    Of equal texts the one of the smallest id stays, toxic if one of them is, so that copies don't make their words
+    telling and a run is like any other.
+    """
     train = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2, F.lit(False))
-    known = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("int").alias("toxic")).dropna().groupBy("_id").agg(F.max("toxic").alias("toxic"))
+    doc_id, kind = identity(docs)
+    known = labels.select(identity(labels)[0].cast(kind).alias("_id"), F.col("toxic").cast("int").alias("toxic")).dropna().groupBy("_id").agg(F.max("toxic").alias("toxic"))
     known = known.withColumnRenamed("_id", "doc_id").filter(train)
-    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.examples)  # bounded, so it may be broadcast
-    texts = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")).join(F.broadcast(sample), "doc_id")
+    sample = cut(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.examples))
+    texts = docs.select(doc_id.alias("doc_id"), whole_text().alias("text")).join(bounded(sample), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = [list(Counter(w for part in _words(t) for w in part).items()) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(words, pa.map_(pa.string(), pa.int32()))], ["doc_id", "toxic", "words"])
-
-    # of equal texts one example, so that copies of a text don't make its words telling
-    texts = texts.withColumn("_same", F.sha2("text", 256)).dropDuplicates(["_same"])
-    return texts.select("doc_id", "text", "toxic").mapInArrow(run, "doc_id bigint, toxic int, words map<string,int>")
-
-
-def _terms(words: str, s: Settings):
-    """All terms of a map of words, as a column."""
-    parts = [F.map_keys(words)] + [F.transform(F.filter(F.map_keys(words), _long(k)), _start(k)) for k in s.beginnings]
-    return F.array_distinct(F.concat(*parts))
-
-
-def _long(k: int):
-    return lambda w: F.length(w) >= k
-
-
-def _start(k: int):
-    return lambda w: F.concat(F.substring(w, 1, k), F.lit("*"))
-
-
-def _vocabulary(examples: DataFrame, s: Settings) -> dict[str, int]:
-    size = examples.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("p")).first()
-    n, p = float(size["n"]), float(size["p"])
-    if not n or not 0 < p < n:
-        return {}
-    counts = examples.select("toxic", F.explode(_terms("words", s)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("c"), F.sum("toxic").alias("t"))
-    expected = F.col("c") * p / n
-    z = (F.col("t") - expected) / F.sqrt(expected * (1 - p / n) + 1)
-    top = counts.withColumn("z", z).orderBy(F.abs("z").desc(), "term").limit(s.terms).select("term", "z").collect()  # bounded by ``terms``
-    rows = [r for r in top if abs(r["z"]) >= s.deviations] or top
-    return {r["term"]: k for k, r in enumerate(sorted(rows, key=lambda r: r["term"]))}
-
-
-class _Reader:
-    """Counts of the vocabulary's terms in texts."""
-
-    def __init__(self, vocabulary: dict[str, int], s: Settings):
-        self.memo = Memo(lambda w: tuple(vocabulary[t] for t in terms_of(w, s) if t in vocabulary), 400_000)
-
-    def __call__(self, text: str) -> Counter[int]:
-        self.memo = self.memo.rotated()
-        out: Counter[int] = Counter()
-        for words in _words(text):
-            for found in filter(None, map(self.memo.__getitem__, words)):
-                out.update(found)
-        return out
-
-
-def _document_frequencies(docs: DataFrame, vocabulary: dict[str, int], s: Settings) -> tuple[np.ndarray, int]:
+            texts = batch.column(1).to_pylist()
+            words = [list(Counter(w for part in _words(t) for w in part).items()) for t in texts]
+            same = [xxhash.xxh128_hexdigest(t.encode()) for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(same), pa.array(words, pa.map_(pa.string(), pa.int32()))], ["doc_id", "toxic", "same", "words"])
+
+    rows = texts.select("doc_id", "text", "toxic").mapInArrow(run, f"doc_id {kind}, toxic int, same string, words map<string,int>")
+    return rows.groupBy("same").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"), F.min_by(F.map_entries("words"), "doc_id").alias("words"))
+
+
+def _vocabulary(examples: list[tuple[int, list[tuple[str, int]]]]) -> tuple[dict[str, int], np.ndarray]:
+    """All words of the examples (toxic, counts), and how far each is from chance, in deviations."""
+    n, p = len(examples), sum(y for y, _ in examples)
+    held, toxic = Counter(), Counter()
+    for y, words in examples:
+        terms = [w for w, _ in words]
+        held.update(terms)
+        if y:
+            toxic.update(terms)
+    names = sorted(held)
+    c, t = np.array([held[k] for k in names], float), np.array([toxic[k] for k in names], float)
+    expected = c * (p / n if n else 0.0)
+    z = (t - expected) / np.sqrt(expected * (1 - (p / n if n else 0.0)) + 1)
+    return {name: k for k, name in enumerate(names)}, np.abs(z)
+
+
+def _read(text: str, vocabulary: dict[str, int]) -> Counter[int]:
+    """Counts of the vocabulary's words in a text."""
+    out: Counter[int] = Counter()
+    for words in _words(text):
+        out.update([vocabulary[w] for w in words if w in vocabulary])
+    return out
+
+
+def _document_frequencies(docs: DataFrame, vocabulary: dict[str, int]) -> tuple[np.ndarray, int]:
     """How many of all documents have each term, and the number of documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read, counts, n = _Reader(vocabulary, s), Counter(), 0
+        counts, n = Counter(), 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                counts.update(read(text).keys())
+                counts.update(_read(text, vocabulary).keys())
                 n += 1
         counts[-1] = n
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int32()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
 
-    rows = docs.select(whole_text().alias("text")).mapInArrow(run, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()  # a row per kept term
+    rows = docs.select(whole_text().alias("text")).mapInArrow(run, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()  # a row per term of the sample
     found = {r["term"]: r["n"] for r in rows}
     return np.array([found.get(k, 0) for k in range(len(vocabulary))], float), int(found.get(-1, 0))
 
 
 def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Index:
-    """The index over the labelled examples that are not held out. Without both labels no term is kept."""
-    examples = cut(_examples(docs, labels, s))
-    vocabulary = _vocabulary(examples, s)
-    df, n = _document_frequencies(docs, vocabulary, s)
-    idf = np.log((1 + n) / (1 + df)) + 1
-    rows = examples.mapInArrow(_counted(vocabulary, s), "doc_id bigint, toxic int, terms array<int>, counts array<int>").orderBy("doc_id").collect()  # bounded by ``examples``
-    found = [_unit(Counter(dict(zip(r["terms"], r["counts"]))), idf) for r in rows]
-    index = Index(vocabulary, idf, found, np.array([r["toxic"] for r in rows], int), [r["doc_id"] for r in rows], s)
+    """The index over the labelled examples that are not held out."""
+    rows = _examples(docs, labels, s).orderBy("doc_id").collect()  # bounded by ``examples``
+    examples = [(r["toxic"], [(e["key"], e["value"]) for e in r["words"]]) for r in rows]
+    vocabulary, far = _vocabulary(examples)
+    df, n = _document_frequencies(docs, vocabulary)
+    weights = (np.log((1 + n) / (1 + df)) + 1) * (s.least + np.maximum(0, far - s.chance))
+    vectors = []
+    for _, words in examples:
+        vectors.append(_unit(Counter({vocabulary[w]: m for w, m in words}), weights))
+    index = Index(vocabulary, weights, vectors, np.array([y for y, _ in examples], int), [r["doc_id"] for r in rows], s)
     index.calibrate()
     return index
 
 
-def _counted(vocabulary: dict[str, int], s: Settings):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for words in batch.column(2).to_pylist():
-                out: Counter[int] = Counter()
-                for w, n in words:
-                    for t in terms_of(w, s):
-                        if t in vocabulary:
-                            out[vocabulary[t]] += n
-                rows.append(out)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([list(r) for r in rows], pa.list_(pa.int32())), pa.array([list(r.values()) for r in rows], pa.list_(pa.int32()))], ["doc_id", "toxic", "terms", "counts"])
-
-    return run
-
-
 def toxicity(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score, predicted, evidence (ids of the nearest examples).
 
-    Scores read nothing but the text. A missing or empty text, or one without a kept term, scores the share of toxic
-    examples among those without one. Labels that are missing, or whose document is missing, are ignored; where a
-    document has several, the largest counts. Repeated rows come out repeated; a missing doc_id is not held out.
+    Scores read nothing but the text. A missing or empty text, or one without a word of the examples, scores the share of
+    toxic examples among those without one. Texts of any length are read whole. Labels that are missing, or whose
+    document is missing, are ignored; where a document has several, the largest counts. Without labels the score is the
+    prior. Repeated rows come out repeated; a missing doc_id is not held out; an empty table gives an empty one. Of
+    ``docs`` only doc_id and text are read, of ``labels`` doc_id and toxic, whatever other columns are called.
     """
     index = fit(docs, labels, s)
+    doc_id, kind = identity(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read, known = _Reader(index.vocabulary, s), {}
+        known = {}
         for batch in batches:
             rows = []
             for text in batch.column(1).to_pylist():
-                counts = read(text)
-                key = tuple(sorted(counts.items()))
+                key = xxhash.xxh128_digest(text.encode())
                 if key not in known:
                     if len(known) > 50_000:
                         known.clear()
-                    known[key] = index.score(counts)
+                    known[key] = index.score(_read(text, index.vocabulary))
                 rows.append(known[key])
             scores = [r[0] for r in rows]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([held_out(d) for d in batch.column(0).to_pylist()]), pa.array(scores, pa.float64()), pa.array([int(x >= s.threshold) for x in scores], pa.int32()), pa.array([r[1] for r in rows], pa.list_(pa.int64()))], ["doc_id", "held_out", "score", "predicted", "evidence"])
+            ids = pa.array([r[1] for r in rows], pa.list_(batch.schema.field(0).type))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([held_out(d) for d in batch.column(0).to_pylist()]), pa.array(scores, pa.float64()), pa.array([int(x >= s.threshold) for x in scores], pa.int32()), ids], ["doc_id", "held_out", "score", "predicted", "evidence"])
 
-    return docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")).mapInArrow(run, "doc_id bigint, held_out boolean, score double, predicted int, evidence array<bigint>")
+    return docs.select(doc_id.alias("doc_id"), whole_text().alias("text")).mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int, evidence array<{kind}>")

@@ -199,9 +199,11 @@ def test_search_is_exact():
     index = toxicity.Index({}, idf, list(vectors), np.zeros(200, int), list(range(200)), s)
     for _ in range(50):
         q = toxicity._unit(collections.Counter(rng.choices(range(30), k=5)), idf)
-        want = sorted((-round(sum(w * v.get(t, 0) for t, w in q.items()), 12), e) for e, v in enumerate(index.vectors))
+        of = lambda v: dict(zip(v[0].tolist(), v[1].tolist()))
+        want = sorted((-round(sum(w * of(v).get(t, 0) for t, w in of(q).items()), 5), e) for e, v in enumerate(index.vectors))
         want = [-c for c, _ in want if c < 0][:10]
-        assert np.allclose([c for c, _ in index.search(q, 10)], want)
+        assert np.allclose([c for c, _ in index.search(q, 10)], want, atol=1e-4)
+        assert all(e != 3 for _, e in index.search(q, 10, without=3))
 
 
 def test_passages(docs, none):
@@ -216,14 +218,19 @@ def test_passages(docs, none):
     assert passages.repeated_passages(none).count() == 0
 
 
-def test_chains_by_brute_force():
+def test_chains_are_the_best():
     rng = random.Random(4)
     s = passages.Settings()
-    for _ in range(30):
-        m = [(rng.randrange(60), rng.randrange(60)) for _ in range(25)]
+    worth = lambda c: sum(n for _, _, n in c) - s.gap_cost * sum(p - x - n + q - y - n for (x, y, n), (p, q, _) in zip(c, c[1:]))
+    for _ in range(200):
+        m = sorted({(k * 7 + rng.randrange(3), k * 7 + rng.randrange(5), rng.randrange(4, 9)) for k in range(rng.randrange(1, 12))} | {(rng.randrange(90), rng.randrange(90), rng.randrange(4, 12)) for _ in range(rng.randrange(25))})
+        best = []
+        for x, y, n in m:
+            before = [v - s.gap_cost * (x - p - k + y - q - k) for v, (p, q, k) in zip(best, m) if p + k <= x and q + k <= y]
+            best.append(n + max([0.0, *before]))
         found = passages.chains(m, s)
-        assert all(x < p and y < q for c in found for (x, y), (p, q) in zip(c, c[1:]))
-        assert len({x for c in found for x in c}) == sum(map(len, found))
+        assert worth(found[0]) == pytest.approx(max(best))
+        assert all(x + n <= p and y + n <= q for c in found for (x, y, n), (p, q, _) in zip(c, c[1:])) and len({a for c in found for a in c}) == sum(map(len, found))
 
 
 def test_language_model(docs, none):
@@ -314,3 +321,41 @@ def test_rules_learn_from_each_other():
     clean, junk = (1, 1, 1), (-1, -1, 0)
     model = quality.expectation_maximisation([(clean, 900), (junk, 80), ((1, -1, 1), 3), ((0, 0, 0), 1)], ["a", "b", "c"])
     assert model.prior > 0.8 and model.ratios["a"][0] < 0 < model.ratios["c"][2]
+
+
+def test_toxicity_by_brute_force(spark):
+    """Scores of all documents from dense vectors and sorted cosines."""
+    rng = random.Random(11)
+    rows = [(k, " ".join(rng.choice(["red", "blue", "green", "pale"]) + rng.choice("abcdef") for _ in range(rng.randrange(1, 30))) + (" vile" * (k % 4 == 0))) for k in range(160)]
+    rows += [(200, rows[4][1]), (201, None), (202, "unheardof"), (203, rows[5][1])]
+    labels = [(k, int(k % 4 == 0)) for k, _ in rows if k != 202] + [(203, 1), (999, 1), (7, None)]
+    s = toxicity.Settings(neighbours=5)
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    told = {}
+    for k, y in labels:
+        if y is not None and k < 999 and not toxicity.held_out(k):
+            told[k] = max(y, told.get(k, 0))
+    first = {}
+    for k, t in sorted((k, t or "") for k, t in rows if k in told):
+        first.setdefault(t, [k, 0])[1] |= told[k]
+    examples = [(k, y, collections.Counter(re.findall(r"[^\W\d_]+", t.lower()))) for t, (k, y) in first.items()]
+    words = sorted({w for *_, c in examples for w in c})
+    df = {w: sum(w in re.findall(r"[^\W\d_]+", (t or "").lower()) for _, t in rows) for w in words}
+    n, p = len(examples), sum(y for _, y, _ in examples)
+    z = {w: (sum(y for _, y, c in examples if w in c) - (e := sum(w in c for *_, c in examples) * p / n)) / math.sqrt(e * (1 - p / n) + 1) for w in words}
+    weight = {w: (math.log((1 + len(rows)) / (1 + df[w])) + 1) * (s.least + max(0, abs(z[w]) - s.chance)) for w in words}
+
+    def vector(c):
+        v = np.array([(1 + math.log(c[w])) * weight[w] if c[w] else 0.0 for w in words])
+        return v / np.linalg.norm(v) if v.any() else v
+
+    matrix = np.stack([vector(c) for *_, c in examples])
+    index = toxicity.fit(docs, known, s)
+    ids = {k: e for e, k in enumerate(index.ids)}
+    for _, t in rows:
+        v = vector(collections.Counter(re.findall(r"[^\W\d_]+", (t or "").lower())))
+        want = sorted(((c, ids[k]) for c, (k, _, _) in zip(matrix @ v, examples) if c > 0), key=lambda f: (-round(f[0], 6), f[1]))[:5]
+        got = index.search(toxicity._unit(toxicity._read(t or "", index.vocabulary), index.weights), 5)
+        assert np.allclose([c for c, _ in got], [c for c, _ in want], atol=1e-5)
+    out = {r["doc_id"]: r for r in rows_of(toxicity.toxicity(docs.withColumn("words", docs.text).withColumn("toxic", docs.doc_id), known, s))}
+    assert out[200]["score"] == out[4]["score"] and out[201]["evidence"] == [] == out[202]["evidence"] and len(out) == len(rows)
