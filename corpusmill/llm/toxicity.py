@@ -22,6 +22,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -58,10 +59,11 @@ def held_out(doc: object | None) -> bool:
 Vector = tuple[np.ndarray, np.ndarray]
 
 
-def _unit(counts: Counter[int], weights: np.ndarray) -> Vector:
+def _unit(terms: np.ndarray, counts: np.ndarray, weights: np.ndarray) -> Vector:
     """The vector of length one as terms, ascending, and values; empty without terms."""
-    terms = np.array(sorted(counts), np.int64)
-    values = (1 + np.log(np.array([counts[t] for t in terms.tolist()], float))) * weights[terms] if len(terms) else np.zeros(0)
+    order = np.argsort(terms)
+    terms = terms[order].astype(np.int32)
+    values = (1 + np.log(counts[order].astype(float))) * weights[terms]
     norm = math.sqrt(float(values @ values))
     return (terms, values / norm) if norm > 0 else (terms[:0], values[:0])
 
@@ -169,8 +171,8 @@ class Index:
         x, y = zip(*self.steps)
         return float(np.clip(0.98 * np.interp(vote, [0.0, *x, 1.0], [0.0, *y, 1.0]) + 0.02 * vote, 0, 1))
 
-    def score(self, counts: Counter[int]) -> tuple[float, list]:
-        found = self.search(_unit(counts, self.weights), self.s.neighbours) if counts else []
+    def score(self, text: str) -> tuple[float, list]:
+        found = self.search(_unit(*_read(text, self.vocabulary), self.weights), self.s.neighbours)
         if not found:
             return self.none, []
         return self.probability(self.vote(found)), [self.ids[e] for _, e in found[:3]]
@@ -200,28 +202,17 @@ def _examples(docs: DataFrame, labels: DataFrame, s: Settings) -> DataFrame:
     return rows.groupBy("same").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"), F.min_by(F.map_entries("words"), "doc_id").alias("words"))
 
 
-def _vocabulary(examples: list[tuple[int, list[tuple[str, int]]]]) -> tuple[dict[str, int], np.ndarray]:
-    """All words of the examples (toxic, counts), and how far each is from chance, in deviations."""
-    n, p = len(examples), sum(y for y, _ in examples)
-    held, toxic = Counter(), Counter()
-    for y, words in examples:
-        terms = [w for w, _ in words]
-        held.update(terms)
-        if y:
-            toxic.update(terms)
-    names = sorted(held)
-    c, t = np.array([held[k] for k in names], float), np.array([toxic[k] for k in names], float)
-    expected = c * (p / n if n else 0.0)
-    z = (t - expected) / np.sqrt(expected * (1 - (p / n if n else 0.0)) + 1)
-    return {name: k for k, name in enumerate(names)}, np.abs(z)
+def _deviations(example: np.ndarray, term: np.ndarray, toxic: np.ndarray, terms: int) -> np.ndarray:
+    """How far the presence of each term in examples is from chance, given their labels, in deviations."""
+    share = float(toxic.mean()) if len(toxic) else 0.0
+    expected = np.bincount(term, minlength=terms) * share
+    return np.abs(np.bincount(term, weights=toxic[example], minlength=terms) - expected) / np.sqrt(expected * (1 - share) + 1)
 
 
-def _read(text: str, vocabulary: dict[str, int]) -> Counter[int]:
-    """Counts of the vocabulary's words in a text."""
-    out: Counter[int] = Counter()
-    for words in _words(text):
-        out.update([vocabulary[w] for w in words if w in vocabulary])
-    return out
+def _read(text: str, vocabulary: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The vocabulary's words in a text, and how often each comes."""
+    at = [vocabulary[w] for words in _words(text) for w in words if w in vocabulary]
+    return np.unique(np.array(at, np.int64), return_counts=True)
 
 
 def _document_frequencies(docs: DataFrame, vocabulary: dict[str, int]) -> tuple[np.ndarray, int]:
@@ -231,27 +222,31 @@ def _document_frequencies(docs: DataFrame, vocabulary: dict[str, int]) -> tuple[
         counts, n = Counter(), 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                counts.update(_read(text, vocabulary).keys())
+                counts.update(_read(text, vocabulary)[0].tolist())
                 n += 1
         counts[-1] = n
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int32()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
 
-    rows = docs.select(whole_text().alias("text")).mapInArrow(run, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()  # a row per term of the sample
-    found = {r["term"]: r["n"] for r in rows}
-    return np.array([found.get(k, 0) for k in range(len(vocabulary))], float), int(found.get(-1, 0))
+    rows = docs.select(whole_text().alias("text")).mapInArrow(run, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # a row per term of the sample
+    found = np.zeros(len(vocabulary) + 1)
+    found[rows.column("term").to_numpy()] = rows.column("n").to_numpy()  # -1 is the last
+    return found[:-1], int(found[-1])
 
 
 def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Index:
     """The index over the labelled examples that are not held out."""
-    rows = _examples(docs, labels, s).orderBy("doc_id").collect()  # bounded by ``examples``
-    examples = [(r["toxic"], [(e["key"], e["value"]) for e in r["words"]]) for r in rows]
-    vocabulary, far = _vocabulary(examples)
+    rows = _examples(docs, labels, s).orderBy("doc_id").toArrow().combine_chunks()  # bounded by ``examples``
+    toxic, words = rows.column("toxic").to_numpy().astype(float), rows.column("words").combine_chunks()
+    flat, ends = words.flatten(), words.value_lengths().to_numpy(zero_copy_only=False)
+    names = flat.field("key").unique().sort()
+    term = pc.index_in(flat.field("key"), value_set=names).to_numpy(zero_copy_only=False).astype(np.int64)
+    example, count = np.repeat(np.arange(len(toxic)), ends), flat.field("value").to_numpy(zero_copy_only=False)
+    vocabulary = {name: k for k, name in enumerate(names.to_pylist())}
     df, n = _document_frequencies(docs, vocabulary)
-    weights = (np.log((1 + n) / (1 + df)) + 1) * (s.least + np.maximum(0, far - s.chance))
-    vectors = []
-    for _, words in examples:
-        vectors.append(_unit(Counter({vocabulary[w]: m for w, m in words}), weights))
-    index = Index(vocabulary, weights, vectors, np.array([y for y, _ in examples], int), [r["doc_id"] for r in rows], s)
+    weights = (np.log((1 + n) / (1 + df)) + 1) * (s.least + np.maximum(0, _deviations(example, term, toxic, len(names)) - s.chance))
+    edges = np.concatenate([[0], np.cumsum(ends)]).tolist()
+    vectors = [_unit(term[i:j], count[i:j], weights) for i, j in zip(edges[:-1], edges[1:])]
+    index = Index(vocabulary, weights, vectors, toxic.astype(int), rows.column("doc_id").to_pylist(), s)
     index.calibrate()
     return index
 
@@ -277,7 +272,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Da
                 if key not in known:
                     if len(known) > 50_000:
                         known.clear()
-                    known[key] = index.score(_read(text, index.vocabulary))
+                    known[key] = index.score(text)
                 rows.append(known[key])
             scores = [r[0] for r in rows]
             ids = pa.array([r[1] for r in rows], pa.list_(batch.schema.field(0).type))

@@ -195,10 +195,11 @@ def test_search_is_exact():
     rng = random.Random(7)
     s = toxicity.Settings(block=8)
     idf = np.ones(30)
-    vectors = [toxicity._unit(collections.Counter(rng.choices(range(30), k=4)), idf) for _ in range(200)]
+    some = lambda k: np.unique(np.array(rng.choices(range(30), k=k)), return_counts=True)
+    vectors = [toxicity._unit(*some(4), idf) for _ in range(200)]
     index = toxicity.Index({}, idf, list(vectors), np.zeros(200, int), list(range(200)), s)
     for _ in range(50):
-        q = toxicity._unit(collections.Counter(rng.choices(range(30), k=5)), idf)
+        q = toxicity._unit(*some(5), idf)
         of = lambda v: dict(zip(v[0].tolist(), v[1].tolist()))
         want = sorted((-round(sum(w * of(v).get(t, 0) for t, w in of(q).items()), 5), e) for e, v in enumerate(index.vectors))
         want = [-c for c, _ in want if c < 0][:10]
@@ -245,6 +246,43 @@ def test_language_model(docs, none):
     assert language_model.score(none).count() == 0
 
 
+def test_scores_by_brute_force(docs):
+    """The mixture of pairs, tokens and the uniform distribution, counted in dictionaries."""
+    rows = [(d, WORDS(t.translate(LOWER)) + [None]) for d, t in all_texts()]
+    part = lambda d: 0 if d is None else zlib.crc32(str(d).encode()) % 5
+
+    def counts(chosen):
+        one, two = collections.Counter(), collections.Counter()
+        for d, ws in rows:
+            if chosen(part(d)):
+                one.update(ws)
+                two.update(zip(["begin", *ws], ws))
+        return one, two
+
+    def estimates(ws, one, two, total):
+        for before, w in zip(["begin", *ws], ws):
+            context = one[None] if before == "begin" else one[before]
+            bucket = min(language_model.BUCKETS - 1, 1 + int(math.floor(math.log2(max(context, 1))))) if context else 0
+            yield bucket, two[before, w] / context if context else 0.0, one[w] / max(total, 1)
+
+    one, two = counts(lambda r: r != 1)
+    apart = sum(len(ws) for d, ws in rows if part(d) == 4)
+    total, types = sum(one.values()), len(one)
+    kept = counts(lambda r: r not in (1, 4))
+    step = lambda f: round(8 * math.log2(f)) if f > 0 else None
+    held = collections.Counter((b, step(p), step(q)) for d, ws in rows if part(d) == 4 for b, p, q in estimates(ws, *kept, total - apart))
+    value = lambda e: 0.0 if e is None else 2.0 ** (e / 8)
+    weights = language_model.expectation_maximisation([(b, value(p), value(q), n) for (b, p, q), n in held.items()], 1 / (types + 1))
+    want = sorted((str(d), round(sum(math.log10(weights[b] @ [p, q, 1 / (types + 1)]) for b, p, q in estimates(ws, one, two, total)), 5)) for d, ws in rows)
+    got = sorted((str(r["doc_id"]), round(r["score"], 5)) for r in rows_of(language_model.score(docs, block=5000)))
+    assert [d for d, _ in got] == [d for d, _ in want] and np.allclose([s for _, s in got], [s for _, s in want], atol=1e-4)
+
+
+def test_large_counts_travel():
+    big = np.array([1, 2**33, 2**52], np.int64)
+    assert language_model._unpack(language_model._pack(big), np.int64).tolist() == big.tolist()
+
+
 def test_mixture_weights_add_up():
     w = language_model.expectation_maximisation([(3, 0.5, 0.1, 10.0), (3, 0.0, 0.1, 5.0), (0, 0.0, 0.2, 4.0)], 0.01)
     assert np.allclose(w.sum(1), 1) and w[0, 0] == 0 and (w >= 0).all()
@@ -355,7 +393,7 @@ def test_toxicity_by_brute_force(spark):
     for _, t in rows:
         v = vector(collections.Counter(re.findall(r"[^\W\d_]+", (t or "").lower())))
         want = sorted(((c, ids[k]) for c, (k, _, _) in zip(matrix @ v, examples) if c > 0), key=lambda f: (-round(f[0], 6), f[1]))[:5]
-        got = index.search(toxicity._unit(toxicity._read(t or "", index.vocabulary), index.weights), 5)
+        got = index.search(toxicity._unit(*toxicity._read(t or "", index.vocabulary), index.weights), 5)
         assert np.allclose([c for c, _ in got], [c for c, _ in want], atol=1e-5)
     out = {r["doc_id"]: r for r in rows_of(toxicity.toxicity(docs.withColumn("words", docs.text).withColumn("toxic", docs.doc_id), known, s))}
     assert out[200]["score"] == out[4]["score"] and out[201]["evidence"] == [] == out[202]["evidence"] and len(out) == len(rows)
