@@ -29,6 +29,8 @@ from corpusmill.llm.text import whole_text
 
 #: Characters of a block: bounds what a task holds at once.
 BLOCK = 12 << 20
+#: Blocks whose n-grams one shard adds up: what a task holds, against the number of requests.
+BLOCKS_OF_SHARD = 4
 TEST, HELD = 1, 4  # of the remainders by 5: never learned from; counts for the weights only at first
 BUCKETS = 40
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -37,7 +39,7 @@ _zstd = pa.Codec("zstd")
 
 
 def _pack(values: np.ndarray) -> bytes:
-    """Sorted 64-bit keys or counts, as differences for keys, in planes of bytes, compressed."""
+    """Sorted 64-bit keys (unsigned), as differences, or counts, in planes of bytes, compressed: high bytes cost nothing."""
     if values.dtype == np.uint64:
         values = np.diff(values, prepend=np.uint64(0))
     planes = values.view(np.uint8).reshape(len(values), -1).T
@@ -145,9 +147,7 @@ def _answers(requests: DataFrame) -> DataFrame:
         for name in ("counts", "held"):
             counts = np.concatenate([_unpack(x, np.uint32) for x in table.column(name).to_pylist()])
             totals.append(np.bincount(at, weights=counts, minlength=len(different)))
-        if max(float(t.max()) for t in totals) >= 2.0**32:
-            raise OverflowError("a count exceeds 32 bits")
-        rows = [(b, shard, n, *(_pack(t[at[i:j]].astype(np.uint32)) for t in totals)) for b, i, j in zip(blocks_, edges[:-1].tolist(), edges[1:].tolist())]
+        rows = [(b, shard, n, *(_pack(t[at[i:j]].astype(np.int64)) for t in totals)) for b, i, j in zip(blocks_, edges[:-1].tolist(), edges[1:].tolist())]
         if n == 1:
             figures = [totals[0].sum(), totals[1].sum(), (totals[0] > 0).sum()]
             rows.append((-1, shard, n, " ".join(str(int(x)) for x in figures).encode(), b""))
@@ -159,7 +159,7 @@ def _answers(requests: DataFrame) -> DataFrame:
 
 def _told(answers: pa.Table, name: str, n: int) -> np.ndarray:
     rows = sorted((s, x) for s, m, x in zip(answers.column("shard").to_pylist(), answers.column("n").to_pylist(), answers.column(name).to_pylist()) if m == n)
-    return np.concatenate([_unpack(x, np.uint32) for _, x in rows]).astype(np.float64)
+    return np.concatenate([_unpack(x, np.int64) for _, x in rows]).astype(np.float64)
 
 
 def _estimates(t: _Tokens, single: np.ndarray, pair: np.ndarray, tokens: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -216,11 +216,12 @@ def score(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     Learns from the rows whose crc32(doc_id as text) mod 5 is not 1; those with remainder 4 are held out while the
     weights are learned and counted afterwards. A missing text counts as empty and has the end only; a missing
     doc_id counts as learned from; repeated rows count and come out as often as they come. With nothing to learn from
-    the score is the uniform one. Only doc_id and text are read.
+    the score is the uniform one. Texts of any length are read whole; an empty table gives an empty one. Only doc_id and
+    text are read, whatever other columns are called. Counts are exact up to 2 ** 53.
     """
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == TEST, F.lit(False))
     stored = cut(blocks(docs, block))
-    answers = cut(_answers(_requests(stored, max(1, stored.count()))))
+    answers = cut(_answers(_requests(stored, max(1, -(-stored.count() // BLOCKS_OF_SHARD)))))
     # a few numbers of each shard, whose number is that of the blocks
     totals = answers.filter("block = -1").select(*(F.split(F.col("counts").cast("string"), " ")[k].cast("long").alias(c) for k, c in enumerate("thv"))).agg(F.sum("t"), F.sum("h"), F.sum("v")).first()
     tokens, apart, types = (int(x or 0) for x in totals)
