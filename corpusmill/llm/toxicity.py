@@ -4,7 +4,7 @@ A text is a TF-IDF vector over all words of the labelled examples. The inverse d
 small share for every term: with plain frequencies a text's topic and language decide which examples are near (README).
 Cosines to all examples are searched exactly through an inverted index whose postings are cut into blocks of
 examples, each with the largest weight in it: the blocks with the largest bounds are opened first, then those whose
-bound still reaches the k-th best. The neighbours' votes, weighted by closeness, are the score; a monotone
+bound still reaches the k-th best. Terms that very many examples have are summed by a product of matrices before. The neighbours' votes, weighted by closeness, are the score; a monotone
 calibration learned by leaving out each example in turn makes it a probability, and the neighbours are the evidence.
 
 The labelled examples are a bounded sample (``examples`` rows, by a hash of their ids), so the index is bounded
@@ -43,7 +43,9 @@ class Settings:
     chance: float = 2.0
     least: float = 0.05
     neighbours: int = 15
-    block: int = 128
+    block: int = 512
+    #: Terms of one in so many examples have a row for all of them instead of postings.
+    wide: int = 8
     threshold: float = 0.3
 
 
@@ -96,6 +98,15 @@ class Index:
         example = np.repeat(np.arange(len(sizes)), sizes)
         term = np.concatenate([np.zeros(0, np.int64), *(v[0] for v in self.vectors)])
         value = np.concatenate([np.zeros(0), *(v[1] for v in self.vectors)])
+        # terms of many examples have a row for all of them, the others postings
+        common = np.flatnonzero(np.bincount(term, minlength=len(self.weights)) * self.s.wide >= max(1, len(sizes)))
+        self.row_of = np.full(len(self.weights), -1, np.int32)
+        self.row_of[common] = np.arange(len(common))
+        self.blocks = len(sizes) // self.s.block + 1
+        self.rows = np.zeros((len(common), self.blocks * self.s.block), np.float32)
+        wide = self.row_of[term] >= 0
+        self.rows[self.row_of[term[wide]], example[wide]] = value[wide]
+        term, example, value = term[~wide], example[~wide], value[~wide]
         by_term = np.lexsort((example, term))
         term, self.example, self.value = term[by_term], example[by_term].astype(np.int32), value[by_term].astype(np.float32)
         block = self.example // self.s.block
@@ -105,22 +116,25 @@ class Index:
         self.part_block = block[fresh].astype(np.int32)
         self.part_most = np.maximum.reduceat(self.value, fresh) if len(fresh) else np.zeros(0, np.float32)
         self.parts_of = np.searchsorted(term[fresh], np.arange(len(self.weights) + 1)).astype(np.int32)
-        self.blocks = len(sizes) // self.s.block + 1
 
     def search(self, query: Vector, k: int, without: int = -1) -> list[tuple[float, int]]:
         """The ``k`` examples of the largest positive cosine, ties by number, exactly."""
         terms, weights = query
         if not len(terms):
             return []
+        row = self.row_of[terms]
+        sums = weights[row >= 0].astype(np.float32) @ self.rows[row[row >= 0]]
+        terms, weights = terms[row < 0], weights[row < 0].astype(np.float32)
         first, n = self.parts_of[terms], self.parts_of[terms + 1] - self.parts_of[terms]
         part, weight = _ranges(first, n), np.repeat(weights, n)
-        bound = np.bincount(self.part_block[part], weights=weight * self.part_most[part], minlength=self.blocks)
+        of_block = sums.reshape(self.blocks, -1)
+        bound = of_block.max(axis=1) + np.bincount(self.part_block[part], weights=weight * self.part_most[part], minlength=self.blocks)
         order = np.argsort(-bound, kind="stable")
         found: list[tuple[np.ndarray, np.ndarray]] = []
         least, at, step = 0.0, 0, 2
         while at < len(order):
             now = order[at:at + step]
-            now = now[(bound[now] > 0) & (bound[now] >= least - 1e-6)]
+            now = now[(bound[now] > 0) & (bound[now] >= least - 1e-5)]
             if not len(now):
                 break
             opened = np.zeros(self.blocks, bool)
@@ -129,16 +143,18 @@ class Index:
             some, w = part[chosen], weight[chosen]
             size = self.part_size[some]
             posting = _ranges(self.part_start[some], size)
-            sums = np.bincount(self.example[posting], weights=np.repeat(w, size) * self.value[posting], minlength=len(self.vectors))
+            total = sums + np.bincount(self.example[posting], weights=np.repeat(w, size) * self.value[posting], minlength=len(sums))
             if without >= 0:
-                sums[without] = 0
-            hits = np.flatnonzero(sums > 0)
-            found.append((hits, sums[hits]))
+                total[without] = 0
+            hits = np.flatnonzero((total.reshape(self.blocks, -1) * opened[:, None]).ravel() > 0)
+            found.append((hits, total[hits]))
             best = np.concatenate([c for _, c in found])
             if len(best) >= k:
                 least = float(np.partition(best, len(best) - k)[len(best) - k])
             at, step = at + step, len(order)
         e, c = np.concatenate([np.zeros(0, np.int64), *(h for h, _ in found)]), np.concatenate([np.zeros(0), *(s for _, s in found)])
+        near = c >= least - 1e-5
+        e, c = e[near], c[near]
         top = np.lexsort((e, -np.round(c, 6)))[:k]
         return list(zip(c[top].tolist(), e[top].tolist()))
 
@@ -211,21 +227,24 @@ def _deviations(example: np.ndarray, term: np.ndarray, toxic: np.ndarray, terms:
 
 def _read(text: str, vocabulary: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
     """The vocabulary's words in a text, and how often each comes."""
-    at = [vocabulary[w] for words in _words(text) for w in words if w in vocabulary]
-    return np.unique(np.array(at, np.int64), return_counts=True)
+    counts: Counter[str] = Counter()
+    for words in _words(text):
+        counts.update(words)
+    known = [(vocabulary[w], n) for w, n in counts.items() if w in vocabulary]
+    return np.array([t for t, _ in known], np.int64), np.array([n for _, n in known], np.int64)
 
 
 def _document_frequencies(docs: DataFrame, vocabulary: dict[str, int]) -> tuple[np.ndarray, int]:
     """How many of all documents have each term, and the number of documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, n = Counter(), 0
+        held, n, ours = Counter(), 0, vocabulary.keys()
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                counts.update(_read(text, vocabulary)[0].tolist())
+                held.update(ours & set().union(*_words(text)))
                 n += 1
-        counts[-1] = n
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int32()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
+        known = [*((vocabulary[w], m) for w, m in held.items()), (-1, n)]
+        yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in known], pa.int32()), pa.array([m for _, m in known], pa.int64())], ["term", "n"])
 
     rows = docs.select(whole_text().alias("text")).mapInArrow(run, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # a row per term of the sample
     found = np.zeros(len(vocabulary) + 1)
