@@ -18,6 +18,10 @@ from corpusmill.functions.checkpointing import cut
 from corpusmill.llm.text import boxed, whole_text
 
 KINDS = ["email", "ip", "card", "phone"]
+#: What only contexts can give away, behind the kinds above: keys and tokens, whose seeds are long hexadecimal numbers.
+SECRET = "secret"
+ALL_KINDS = [*KINDS, SECRET]
+_HEX = r"^[\"'(\[]?(?=[a-f]*+[0-9])(?=[0-9]*+[a-f])[0-9a-f]{32,128}[\"')\],.;:]*$"
 #: The base patterns, written so that a run of characters is tried once: a match can begin only where a run begins,
 #: or where the last match ended, and no repetition gives back what it took unless it has to.
 PATTERNS = {
@@ -74,6 +78,8 @@ def _looks_like(kind: str, value: Column) -> Column:
     n = F.length(F.regexp_replace(value, "[^0-9]", ""))
     if kind == "email":
         return value.rlike("[^@]@[^@]*[A-Za-z]")
+    if kind == SECRET:
+        return value.rlike(r"^[\"'(\[]?[a-z0-9_+/=-]{16,128}[\"')\],.;:!]*$") & value.rlike("[a-z]") & value.rlike("[0-9]")
     if kind == "ip":
         return n.between(4, 12) & value.rlike("[0-9](?:[.:][0-9]++){3}")
     return n.between(*((12, 19) if kind == "card" else (7, 15))) & ~value.rlike("[A-Za-z]")
@@ -109,27 +115,32 @@ def patterns_and_values(found: DataFrame, rounds: int | None = None, support: in
 
     A pattern's score for a kind is the summed score of the different values behind it over their number, and it
     counts once ``support`` different values of the kind stand behind it and the score reaches ``trust``. A value's
-    score is the chance that not all patterns before it err. Turns end when no value is new, or after ``rounds``. Copies of a text add nothing, as values count once.
+    score is the chance that not all trusted patterns before it err, times the share of those among the patterns before
+    it that ``support`` values have: one that mostly stands behind patterns of other things is none. Turns end when no
+    value is new, or after ``rounds``. Copies of a text add nothing, as values count once.
     """
-    each = lambda c, base: found.select(F.explode(c).alias("s")).select(F.explode(_before(F.col("s.before"))).alias("before"), F.lower("s.value").alias("value"), (F.col("s.kind") if base else F.lit(None).cast("string")).alias("seed"))
+    own = F.when(F.lower("s.value").rlike(_HEX), SECRET)
+    each = lambda c, base: found.select(F.explode(c).alias("s")).select(F.explode(_before(F.col("s.before"))).alias("before"), F.lower("s.value").alias("value"), (F.col("s.kind") if base else own).alias("seed"))
     edges = each("_base", True).unionByName(each("_other", False))
     edges = cut(edges.groupBy("before", "value").agg(F.max("seed").alias("seed")))
     scores = edges.filter("seed IS NOT NULL").select("value", F.col("seed").alias("kind"), F.lit(1.0).alias("score")).distinct()
-    sizes = edges.groupBy("before").agg(F.count(F.lit(1)).alias("n"))
+    sizes = cut(edges.groupBy("before").agg(F.count(F.lit(1)).alias("n")))
+    known = cut(edges.join(sizes.filter(F.col("n") >= support).select("before"), "before", "left_semi").groupBy("value").agg(F.count(F.lit(1)).alias("known")))
     seeds = scores
     least = trust * (1 - 0.5 / support)
     ever, turn = None, 0
     while True:
-        held = edges.join(scores, "value").groupBy("before", "kind").agg(F.sum("score").alias("held"), F.count(F.when(F.col("score") >= trust, 1)).alias("support"))
+        held = edges.join(scores, "value").groupBy("before", "kind").agg(F.sum("score").alias("held"), F.count(F.when(F.col("score") >= least - 1e-9, 1)).alias("support"))
         patterns = cut(held.filter(F.col("support") >= support).join(sizes, "before").withColumn("trust", F.col("held") / F.col("n")).filter(F.col("trust") >= trust).select("before", "kind", "trust"))
-        behind = edges.filter("seed IS NULL").join(patterns, "before")
+        behind = edges.filter(f"seed IS NULL OR seed = '{SECRET}'").join(patterns, "before").filter("seed IS NULL OR seed = kind")
         doubt = F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("trust") * (1 - F.lit(0.5) / support)))))
-        new = behind.groupBy("value", "kind").agg((1 - doubt).alias("score"))
+        new = behind.groupBy("value", "kind").agg((1 - doubt).alias("chance"), F.count(F.lit(1)).alias("good")).join(known, "value")
+        new = new.select("value", "kind", (F.col("chance") * F.col("good") / F.col("known")).alias("score"))
         fits = F.lit(False)
-        for kind in KINDS:
+        for kind in ALL_KINDS:
             fits = fits | ((F.col("kind") == kind) & _looks_like(kind, F.col("value")))
         new = cut(new.filter(fits))
-        scores = seeds.unionByName(new)
+        scores = seeds.unionByName(new.join(seeds, ["value", "kind"], "left_anti"))
         sure, turn = new.filter(F.col("score") >= least - 1e-9).select("value", "kind"), turn + 1
         fresh = sure if ever is None else sure.join(ever, ["value", "kind"], "left_anti")
         if turn == rounds or fresh.isEmpty():
@@ -141,7 +152,8 @@ def patterns_and_values(found: DataFrame, rounds: int | None = None, support: in
 def find_personal_data(docs: DataFrame, rounds: int | None = None) -> DataFrame:
     """(doc_id, _hash, spans): all spans of each row as structs (kind, start, end, base), by kind as listed, then start.
 
-    Base spans are always there; spans that the contexts give away are added. A missing or empty text has none.
+    Base spans are always there; spans that the contexts give away are added, secrets behind the other kinds. A missing or
+    empty text has none; texts of any length are read whole; an empty table gives an empty one; a missing doc_id is kept.
     Repeated rows come out repeated. Only doc_id and text are read.
     """
     marked = docs.select("doc_id", "text").withColumn("_hash", F.xxhash64(whole_text()))
@@ -151,11 +163,11 @@ def find_personal_data(docs: DataFrame, rounds: int | None = None) -> DataFrame:
     added = other.join(trusted, ["before", "value"]).groupBy("doc_id", "_hash").agg(F.collect_set(F.struct("kind", F.col("s.start").alias("start"), F.col("s.end").alias("end"))).alias("_added"))
     added = cut(added.withColumnsRenamed({"doc_id": "_id", "_hash": "_h"}))
     both = found.join(added, found["doc_id"].eqNullSafe(added["_id"]) & (found["_hash"] == added["_h"]), "left")
-    place = "array_position(array(" + ", ".join(f"'{k}'" for k in KINDS) + "), {})"
+    place = "array_position(array(" + ", ".join(f"'{k}'" for k in ALL_KINDS) + "), {})"
     spans = F.expr(f"""transform(array_sort(concat(
         transform(_base, s -> named_struct('place', {place.format('s.kind')}, 'start', s.start, 'end', s.end, 'base', true)),
         transform(coalesce(_added, CAST(array() AS array<struct<kind: string, start: bigint, end: bigint>>)), s -> named_struct('place', {place.format('s.kind')}, 'start', s.start, 'end', s.end, 'base', false)))),
-        s -> named_struct('kind', element_at(array({", ".join(f"'{k}'" for k in KINDS)}), CAST(s.place AS int)), 'start', s.start, 'end', s.end, 'base', s.base))""")
+        s -> named_struct('kind', element_at(array({", ".join(f"'{k}'" for k in ALL_KINDS)}), CAST(s.place AS int)), 'start', s.start, 'end', s.end, 'base', s.base))""")
     return both.select("doc_id", "_hash", spans.alias("spans"))
 
 
@@ -164,7 +176,11 @@ def _written(spans: Column) -> Column:
 
 
 def digests(docs: DataFrame, rounds: int | None = None) -> DataFrame:
-    """doc_id, the number of base spans by kind, base_sha256 and all spans, written kind:start:end."""
+    """doc_id, the number of base spans by kind, base_sha256 and all spans, written kind:start:end.
+
+    A missing or empty text has none; repeated rows come out repeated, with equal spans; an empty table gives an empty one.
+    Only doc_id and text are read, whatever other columns are called.
+    """
     found = find_personal_data(docs, rounds)
     base = F.filter("spans", lambda s: s["base"])
     of = lambda kind: lambda s: s["kind"] == kind
@@ -173,7 +189,10 @@ def digests(docs: DataFrame, rounds: int | None = None) -> DataFrame:
 
 
 def mask(docs: DataFrame, rounds: int | None = None) -> DataFrame:
-    """``docs`` with each span replaced by its kind in brackets; overlapping spans become one. A missing text stays so."""
+    """``docs`` with each span replaced by its kind in brackets; overlapping spans become one. A missing text stays so.
+
+    Repeated rows are masked alike; an empty table stays empty; other columns stay, whatever they are called.
+    """
     found = find_personal_data(docs, rounds).filter(F.size("spans") > 0)
     found = found.groupBy("doc_id", "_hash").agg(F.first("spans").alias("_spans")).withColumnsRenamed({"doc_id": "_id", "_hash": "_h"})
     marked = boxed(docs).withColumn("_hash", F.xxhash64(whole_text()))
