@@ -6,6 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import records as R
+from corpusmill.functions.checkpointing import cut
+from corpusmill.functions.joins import bounded
 from corpusmill.operators import ranking as K
 from corpusmill.operators import review
 from corpusmill.plans.queries import _CENTROIDS, _p, query
@@ -17,7 +19,7 @@ from corpusmill.sources.catalog import papers, vectors
 def intra_distance_outlier(spark, d):
     """Mean distance to the centroid, and the farthest member if it is far enough."""
     v = vectors(spark, d)
-    x = v.join(F.broadcast(K.centroids(v).select("cluster", "centroid")), "cluster").select("cluster", "doc_id", (1 - R.cosine(F.col("vector"), F.col("centroid"))).alias("d"))
+    x = v.join(bounded(cut(K.centroids(v).select("cluster", "centroid"))), "cluster").select("cluster", "doc_id", (1 - R.cosine(F.col("vector"), F.col("centroid"))).alias("d"))
     far = F.row_number().over(Window.partitionBy("cluster").orderBy(F.round("d", 9).desc(), "doc_id"))
     a = x.withColumn("_r", far).groupBy("cluster").agg(F.avg("d").alias("m"), F.max("d").alias("most"), F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("_r") == 1, F.col("doc_id"))).alias("o"))
     return a.select("cluster", F.round("m", 6).alias("mean_distance"), F.when((F.col("n") >= 3) & (F.col("most") > F.col("m") + 0.05), F.col("o")).alias("outlier"))

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import records as R
+from corpusmill.functions.checkpointing import cut
+from corpusmill.functions.joins import bounded
 from corpusmill.operators import query_language as Q
 from corpusmill.operators import ranking as K
-from corpusmill.operators.graph import connected_components
 from corpusmill.sources.catalog import PAPERS_SQL, papers, vectors
 
 REFERENCE = 2024
@@ -124,7 +125,7 @@ def cluster_neighbours(spark, d):
     """Over a row per cluster."""
     c = K.centroids(vectors(spark, d)).select("cluster", "centroid")
     other = c.select(F.col("cluster").alias("neighbour"), F.col("centroid").alias("b"))
-    pairs = c.join(F.broadcast(other), F.col("cluster") != F.col("neighbour")).withColumn("distance", 1 - R.cosine(F.col("centroid"), F.col("b")))
+    pairs = c.join(bounded(cut(other)), F.col("cluster") != F.col("neighbour")).withColumn("distance", 1 - R.cosine(F.col("centroid"), F.col("b")))
     rank = F.row_number().over(Window.partitionBy("cluster").orderBy(F.round("distance", 9), "neighbour")).cast("long")
     return pairs.withColumn("rank", rank).filter("rank <= 3").select("cluster", "neighbour", F.round("distance", 6).alias("distance"), "rank")
 
