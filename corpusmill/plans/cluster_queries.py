@@ -12,6 +12,7 @@ from corpusmill.operators import ranking as K
 from corpusmill.operators import review as V
 from corpusmill.operators import tree
 from corpusmill.operators.matching import exclude_seed_copies
+from corpusmill.plans.analyse import after_review, briefs, profiles
 from corpusmill.plans.queries import _CENTROIDS, _MEMBERS, REFERENCE, _p, query
 from corpusmill.plans.text_queries import ASKED, _members
 from corpusmill.sources import export as E
@@ -71,7 +72,7 @@ def density_clusters(spark, d):
 def tuner_composite(spark, d):
     """Every combination of a small grid and its score."""
     v = vectors(spark, d)
-    _, results = C.tune(v, C.Grid(min_size=(2, 3), min_samples=(1, 2), radius=(0.0, 0.04), min_coverage=0.2), 0.08)
+    _, results = C.tune(v, C.Grid(min_size=(2, 3), min_samples=(1, 2), radius=(0.0, 0.05), min_coverage=0.2), 0.1)
     rows = [tuple(r[k] for k in ("min_size", "min_samples", "radius", "n_clusters", "coverage", "silhouette", "tightness", "score", "reason")) for r in results]
     return spark.createDataFrame(rows, "min_size int, min_samples int, radius double, n_clusters long, coverage double, silhouette double, tightness double, score double, reason string")
 
@@ -286,3 +287,33 @@ def hybrid_rank(spark, d):
     rows = near.select("doc_id", (-F.col("s.less")).alias("cluster"), F.col("s.similarity").alias("semantic")).join(papers(spark, d).select("doc_id", "year", "citations"), "doc_id")
     scored = K.hybrid_score(rows, REFERENCE, {k: K.WEIGHTS[k] for k in ("semantic", "recency", "velocity")})
     return K.rank_within(scored, "cluster", 5).select("cluster", "doc_id", F.round("final", 6).alias("final"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"""WITH {_CENTROIDS}, x AS (SELECT vec_id AS doc_id, v.label AS cluster, 1 - list_cosine_similarity(embedding::DOUBLE[], centroid) AS d FROM embeddings v JOIN centroids c ON c.cluster = v.label),
+ n AS (SELECT a.cluster, b.cluster AS o, row_number() OVER (PARTITION BY a.cluster ORDER BY round(1 - list_cosine_similarity(a.centroid, b.centroid), 9), b.cluster) AS r FROM centroids a JOIN centroids b ON a.cluster <> b.cluster),
+ s AS (SELECT cluster, count(*) AS n_papers, avg(d) AS m, max(d) AS most, min(doc_id) FILTER (round(d, 9) = w) AS far FROM (SELECT *, max(round(d, 9)) OVER (PARTITION BY cluster) AS w FROM x) GROUP BY 1)
+ SELECT s.cluster, n_papers, round(m, 6) AS mean_distance, CASE WHEN n_papers >= 3 AND most > m + 0.05 THEN far END AS outlier, (SELECT string_agg(CAST(o AS VARCHAR), ',' ORDER BY r) FROM n WHERE n.cluster = s.cluster AND r <= 3) AS neighbours FROM s""")
+def cluster_profiles(spark, d):
+    """V9: size, spread, outlier and nearest clusters of each cluster."""
+    out = profiles(vectors(spark, d))
+    return out.select("cluster", "n_papers", F.round("mean_distance", 6).alias("mean_distance"), "outlier", F.array_join(F.transform("neighbours", lambda n: n["cluster"].cast("string")), ",").alias("neighbours"))
+
+
+@query()
+def cluster_briefs(spark, d):
+    """Briefs from statistics."""
+    rows = _members(spark, d).withColumn("title", F.split_part("text", F.lit("\n"), F.lit(1)))
+    out = briefs(rows, vectors(spark, d))
+    join = lambda c: F.array_join(c, "|")
+    return out.select("cluster_id", "label", "synthesized_theme", "coherence", join("distinctive_concepts").alias("concepts"), join("characterizing_terms").alias("terms"), F.size("anomalous_papers").alias("n_anomalous"))
+
+
+@query("""WITH a AS (SELECT CASE WHEN vec_id % 17 = 0 THEN (label + 1) % 10 ELSE label END AS cluster, vec_id FROM embeddings) SELECT cluster, CASE WHEN cluster = 2 THEN 'Given' END AS given, array_to_string(list_slice(list_sort(list(a.vec_id)), 1, 3), ',') AS representatives, count(*) AS n
+ FROM a JOIN documents d ON d.doc_id = a.vec_id GROUP BY cluster""")
+def reassigned_clusters(spark, d):
+    """Clusters made anew after papers moved; a given label stays."""
+    v = vectors(spark, d)
+    moved = v.select(F.when(F.col("doc_id") % 17 == 0, (F.col("cluster") + 1) % 10).otherwise(F.col("cluster")).alias("cluster"), "doc_id")
+    about, _ = after_review(_members(spark, d), v, moved, spark.createDataFrame([(2, "Given")], "cluster int, label string"))
+    ids = F.array_join(F.transform("representative_paper_ids", lambda x: x.cast("string")), ",")
+    return about.select("cluster", F.when(F.col("label") == "Given", "Given").alias("given"), ids.alias("representatives"), F.size("paper_ids").cast("long").alias("n"))

@@ -11,10 +11,20 @@ PAPER = """paper_id string, title string, abstract string, keywords array<string
 source string, venue string, url string, citations_count int, warnings array<string>, _corrupt_record string"""
 
 
+def _records(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The records of JSON files, each an array of records, a mapping to records or one record, read one by one: a bad one spoils no other."""
+    files = spark.read.text(path, wholetext=True)
+    listed = F.from_json("value", "array<string>")
+    mapped = F.map_values(F.from_json("value", "map<string, string>"))
+    named = [part.split()[0] for part in schema.split(",")][0]
+    alone = F.get_json_object("value", f"$.{named}").isNotNull()
+    each = files.select(F.explode(F.when(F.ltrim("value").startswith("["), listed).when(alone, F.array("value")).otherwise(mapped)).alias("_json"))
+    return each.select(F.from_json("_json", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("r")).select("r.*").filter("_corrupt_record IS NULL").drop("_corrupt_record")
+
+
 def read_papers(spark: SparkSession, path: str) -> DataFrame:
-    """S3: arrays of papers; records that can't be read, or have no id or title, are left out."""
-    rows = spark.read.schema(PAPER).json(path, multiLine=True, mode="PERMISSIVE")
-    return rows.filter("_corrupt_record IS NULL AND paper_id IS NOT NULL AND title IS NOT NULL").drop("_corrupt_record")
+    """S3: papers; records that can't be read, or have no id or title, are left out."""
+    return _records(spark, path, PAPER).filter("paper_id IS NOT NULL AND title IS NOT NULL")
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
@@ -34,14 +44,12 @@ anomalous_papers array<struct<paper_id: string, title: string, reason: string, s
 
 def read_clusters(spark: SparkSession, path: str) -> DataFrame:
     """Clusters, one row each; those that can't be read or have no id are left out."""
-    rows = spark.read.schema(CLUSTER).json(path, multiLine=True, mode="PERMISSIVE")
-    return rows.filter("_corrupt_record IS NULL AND cluster_id IS NOT NULL").drop("_corrupt_record")
+    return _records(spark, path, CLUSTER).filter("cluster_id IS NOT NULL")
 
 
 def read_briefs(spark: SparkSession, path: str) -> DataFrame:
     """Briefs, one of each cluster id."""
-    rows = spark.read.schema(BRIEF).json(path, multiLine=True, mode="PERMISSIVE")
-    return rows.filter("_corrupt_record IS NULL AND cluster_id IS NOT NULL").drop("_corrupt_record").dropDuplicates(["cluster_id"])
+    return _records(spark, path, BRIEF).filter("cluster_id IS NOT NULL").dropDuplicates(["cluster_id"])
 
 
 def without_excluded(seeds: DataFrame, briefs: DataFrame) -> DataFrame:
