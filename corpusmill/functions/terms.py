@@ -45,7 +45,7 @@ def pdf_text(c: Column) -> Column:
 def remove_artifacts(c: Column, cut_words: bool = True) -> Column:
     """URLs, mail addresses, identifiers, citations, pages, volumes, publishers and cut words give way to a space."""
     patterns = ARTIFACTS + [(r"\b(?:" + "|".join(CUT_WORDS) + r")\b", False)] * cut_words
-    out = reduce(lambda text, p: F.regexp_replace(text, p[0] if p[1] else f"(?i){p[0]}", " "), patterns, c)
+    out = reduce(lambda text, p: F.regexp_replace(text, ("(?U)" if p[1] else "(?iU)") + p[0], " "), patterns, c)  # words of any alphabet
     return stripped(F.regexp_replace(out, r"\s+", " "))
 
 

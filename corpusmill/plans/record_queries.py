@@ -202,8 +202,11 @@ def umbrella_phrases(spark, d):
 
 
 def _chain(text: str) -> str:
+    # accented letters stand between underscores meanwhile, as DuckDB's words are of plain letters only
+    text = f"regexp_replace({text}, '([À-ɏ])', '_\\1_', 'g')"
     for pattern, cased in [*T.ARTIFACTS, (r"\b(?:" + "|".join(T.CUT_WORDS) + r")\b", False)]:
         text = f"regexp_replace({text}, '{pattern if cased else '(?i)' + pattern}', ' ', 'g')"
+    text = f"regexp_replace({text}, '_([À-ɏ])_', '\\1', 'g')"
     return rf"regexp_replace(regexp_replace({text}, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g')"
 
 
