@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import exact_dedup, language_model, licences, near_dedup, packing, passages, personal_data, piece_codec, quality, toxicity
+from corpusmill.llm import exact_dedup, language_model, lexical_search, licences, near_dedup, packing, passages, personal_data, piece_codec, quality, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,6 +60,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_documents(spark, sf_dir)).select("doc_id", *quality.STATISTICS, "base_failed", "kept", "quality")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.ranked(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 OP4_SQL = """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
@@ -68,8 +72,8 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_packing, op3_minhash_dedup, op4_exact_dedup, op5_toxicity, op6_substring_dedup, op7_lm_scoring, op8_personal_data, op9_license_scan, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_packing, op3_minhash_dedup, op4_exact_dedup, op5_toxicity, op6_substring_dedup, op7_lm_scoring, op8_personal_data, op9_license_scan, op10_quality_rules, op11_lexical_search)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL, "op9_license_scan": licences.sql()}
+    return {"op4_exact_dedup": OP4_SQL, "op9_license_scan": licences.sql(), "op11_lexical_search": lexical_search.SQL}
