@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import exact_dedup, language_model, lexical_search, licences, near_dedup, packing, passages, personal_data, piece_codec, quality, toxicity
+from corpusmill.llm import decontamination, exact_dedup, language_model, lexical_search, licences, near_dedup, packing, passages, personal_data, piece_codec, quality, snapshots, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +64,15 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.ranked(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op13_snapshot_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return snapshots.difference(docs, snapshots.later_snapshot(docs))
+
+
 OP4_SQL = """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
@@ -72,8 +81,8 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_packing, op3_minhash_dedup, op4_exact_dedup, op5_toxicity, op6_substring_dedup, op7_lm_scoring, op8_personal_data, op9_license_scan, op10_quality_rules, op11_lexical_search)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_packing, op3_minhash_dedup, op4_exact_dedup, op5_toxicity, op6_substring_dedup, op7_lm_scoring, op8_personal_data, op9_license_scan, op10_quality_rules, op11_lexical_search, op12_decontamination, op13_snapshot_difference)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL, "op9_license_scan": licences.sql(), "op11_lexical_search": lexical_search.SQL}
+    return {"op4_exact_dedup": OP4_SQL, "op9_license_scan": licences.sql(), "op11_lexical_search": lexical_search.SQL, "op12_decontamination": decontamination.SQL, "op13_snapshot_difference": snapshots.SQL}
