@@ -37,7 +37,11 @@ class Settings:
 
 
 def words_of(text: Column) -> Column:
-    """The words of a text, A-Z in lower case."""
+    """The words of a text, A-Z in lower case: a generator of one row, as a plain column would be computed anew for each use."""
+    return F.explode(F.array(_split(text)))
+
+
+def _split(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(WORD), F.lit(0))
 
 
