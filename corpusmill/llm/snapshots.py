@@ -21,14 +21,17 @@ COPIES = 10_000
 _ABSENT = "~"
 
 
-def placed(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
-    """Adds ``_place``: the place, from 0, of a row in its group; ``rows`` is a materialised table.
+def placed(rows: DataFrame, group: list[str], order: list[str], ties: list[str] = ()) -> DataFrame:
+    """Adds ``_place``: the place, from 0, of a row in its group, by ``order`` and then ``ties``; ``rows`` is a materialised table.
 
     No task sees a whole group: rows are sorted in ranges, and a range knows how many rows of the group lie before it.
+    Ranges are cut by a hash of the group and ``order``, which is best kept short: Spark draws a sample of these to the
+    driver, of some millions of rows at most.
     """
-    task = F.shiftright("_at", 33)
-    ranges = rows.repartitionByRange(*[F.col(c).asc_nulls_first() for c in group + order]).sortWithinPartitions(*[F.col(c).asc_nulls_first() for c in group + order])
-    numbered = cut(ranges.withColumn("_at", F.monotonically_increasing_id()).withColumn("_task", task))
+    first = [F.col(c).asc_nulls_first() for c in order]
+    hashed = F.xxhash64(*group)
+    ranges = rows.repartitionByRange(hashed, *first).sortWithinPartitions(hashed, *[F.col(c).asc_nulls_first() for c in group], *first, *[F.col(c).asc_nulls_first() for c in ties])
+    numbered = cut(ranges.withColumn("_at", F.monotonically_increasing_id()).withColumn("_task", F.shiftright("_at", 33)))
     runs = numbered.groupBy(*group, "_task").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(*group).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     bases = runs.withColumn("_base", before - F.col("_first")).select(*[F.col(c).alias(f"_g_{c}") for c in group], F.col("_task").alias("_g_task"), "_base")
@@ -67,8 +70,8 @@ def difference(earlier: DataFrame, later: DataFrame, key: str = "doc_id", conten
     """One row per pair of rows, or row without partner: key, old_key, op, changed, row_sha256.
 
     Nulls equal only nulls, in the key too. Rows of a key that equal each other in all columns pair first; of what is
-    left of a repeated key the i-th rows pair, in the order of the content's digest, the other columns and the copy; what
-    is still left pairs by content, in the order of key, other columns and copy. Contents of any length are compared whole,
+    left of a repeated key the i-th rows pair, in the order of a hash of the other columns and the copy; what is still
+    left pairs by content, in the order of key, then that hash and the copy. Contents of any length are compared whole,
     by SHA-256; an empty one isn't a missing one. An empty snapshot makes all rows inserts or deletes. Columns beside
     those named are left alone, whatever they are called.
     """
@@ -80,12 +83,13 @@ def difference(earlier: DataFrame, later: DataFrame, key: str = "doc_id", conten
     kept = _copies(sums.withColumn("_same", ((F.col("_n") - F.abs("_net")) / 2).cast("long")).filter("_same > 0").select("_key", "_whole", "_same"), "_same")
     same = kept.select(F.col("_key").alias("key"), F.col("_key").alias("old_key"), F.lit("same").alias("op"), F.lit("").alias("changed"), F.col("_whole").alias("row_sha256"))
 
-    residue = cut(_copies(sums.filter("_net != 0").select(*row, F.signum("_net").cast("int").alias("_sign"), F.abs("_net").alias("_count")), "_count").drop("_count"))
-    by_key = placed(residue, ["_sign", "_key"], ["_content", *others_, "_copy"])
-    consolidated = cut(_paired(by_key.filter("_sign > 0"), by_key.filter("_sign < 0"), ["_key"], [*row, "_copy"]))
+    rest = F.xxhash64("_content", *others_)
+    residue = cut(_copies(sums.filter("_net != 0").select(*row, rest.alias("_rest"), F.signum("_net").cast("int").alias("_sign"), F.abs("_net").alias("_count")), "_count").drop("_count"))
+    by_key = placed(residue, ["_sign", "_key"], ["_rest", "_copy"], ["_content", *others_])
+    consolidated = cut(_paired(by_key.filter("_sign > 0"), by_key.filter("_sign < 0"), ["_key"], [*row, "_rest", "_copy"]))
     lone = F.col("_e").isNull() | F.col("_l").isNull()
     left = cut(consolidated.filter(lone).select(F.when(F.col("_l").isNull(), 1).otherwise(-1).alias("_sign"), F.coalesce("_e", "_l").alias("_r")).select("_sign", "_r.*"))
-    by_content = placed(left, ["_sign", "_content"], ["_key", *others_, "_copy"])
+    by_content = placed(left, ["_sign", "_content"], ["_key", "_rest", "_copy"], others_)
     matched = _paired(by_content.filter("_sign > 0"), by_content.filter("_sign < 0"), ["_content"], row)
 
     names = [F.when(~F.col(f"_e.{c}").eqNullSafe(F.col(f"_l.{c}")), F.lit(name)) for c, name in zip(["_content", *others_], [content, *others])]
