@@ -60,7 +60,7 @@ class _Parser:
                 self.take()
             if self.peek() == "NOT":
                 self.take()
-                out = out & ~F.coalesce(self.term(field), F.lit(False))
+                out = out & self.without(self.term(field))
             else:
                 out = out & self.term(field)
         return out
@@ -78,9 +78,15 @@ class _Parser:
             return out
         if token == "PUBYEAR":
             self.take("IS")
-            return self.columns["year"] == int(self.take())
+            return self.published(int(self.take()))
         return self.match(field, token.strip('"'))
 
+    def without(self, found: Column) -> Column:
+        return ~F.coalesce(found, F.lit(False))
+
+    def published(self, year: int) -> Column:
+        return self.columns["year"] == year
+
     def match(self, field: str, phrase: str) -> Column:
         if field == "SUBJAREA":
             return self.columns["subject"] == phrase

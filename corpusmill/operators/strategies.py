@@ -151,16 +151,20 @@ def execute(catalog: DataFrame, plans: list[Strategy], reference: int, window: i
     One scan evaluates all predicates; a row goes to each strategy whose query it meets.
     """
     met = F.array_compact(F.array(*[F.when(Q.compile_query(with_subjects(p.query, subjects)), F.lit(p.strategy_id)) for p in plans]))
-    each = catalog.withColumn("strategy", F.explode(met))
+    each = catalog.withColumn("strategy", F.explode(met)).withColumn("_key", F.lower(F.coalesce(F.when(F.col("doi") != "", F.col("doi")), F.col("title"))))
+    return sampled(each, reference, window, per_year).select("strategy", "doc_id", "doi", "title", "ord", "hits", (F.col("hits") > 5000).alias("over_broad"))
+
+
+def sampled(each: DataFrame, reference: int, window: int = 5, per_year: int = 75) -> DataFrame:
+    """Of the hits (strategy, doc_id, year, citations, _key) of each strategy the most cited of each year, a key once, with ``ord`` and all ``hits``."""
     hits = each.groupBy("strategy").agg(F.count(F.lit(1)).alias("hits"))
     recent = each.filter(F.col("year").between(reference - window + 1, reference))
-    key = F.lower(F.coalesce(F.when(F.col("doi") != "", F.col("doi")), F.col("title")))
     best = Window.partitionBy("strategy", "year").orderBy(F.col("citations").desc(), "doc_id")
-    top = recent.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= per_year).withColumn("_key", key).filter("_key <> ''")
+    top = recent.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= per_year).filter("_key <> ''")
     first = Window.partitionBy("strategy", "_key").orderBy("year", "_r")
     once = top.withColumn("_n", F.row_number().over(first)).filter("_n = 1")
     place = F.row_number().over(Window.partitionBy("strategy").orderBy("year", "_r")) - 1
-    return once.withColumn("ord", place).join(F.broadcast(hits), "strategy").select("strategy", "doc_id", "doi", "title", "ord", "hits", (F.col("hits") > 5000).alias("over_broad"))
+    return once.withColumn("ord", place).join(F.broadcast(hits), "strategy")  # a row per strategy
 
 
 def probe_additions(catalog: DataFrame, seeds: DataFrame, query: str, phrases: list[str], least: float = 0.5) -> DataFrame:

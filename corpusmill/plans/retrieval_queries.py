@@ -120,12 +120,19 @@ def topk_recall_exact(spark, d):
     return M.recall_against_seeds(p, seeds).withColumns({c: F.round(c, 9) for c in ("recall", "precision", "f1")})
 
 
-@query(_p("""SELECT doc_id, CASE WHEN doc_id % 3 = 1 THEN 'doi' WHEN doc_id % 3 = 2 THEN 'title' ELSE 'containment' END AS method, CASE WHEN doc_id % 3 = 0 THEN 99.0 ELSE 100.0 END AS confidence FROM papers WHERE doc_id < 60"""))
+_HEX = "concat(md5(CAST(doc_id AS string)), ' ', md5(concat(doc_id, 'x')))"
+
+
+@query("""SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'containment' WHEN 1 THEN 'doi' WHEN 2 THEN 'title' ELSE 'fuzzy' END AS method,
+ CASE doc_id % 6 WHEN 0 THEN 99.0 WHEN 3 THEN round(6400.0::DOUBLE / 65, 6) WHEN 5 THEN round(5500.0::DOUBLE / 65, 6) ELSE 100.0 END AS confidence FROM documents WHERE doc_id % 6 <> 4""")
 def catalog_cascade(spark, d):
-    """Papers found again in a list by DOI, by title, or by a title within another."""
-    p = papers(spark, d).filter("doc_id < 60").withColumns({"title": F.concat(F.lit("Record number "), F.col("doc_id").cast("string"), F.lit(" of "), F.md5(F.col("doc_id").cast("string"))), "doi": F.concat(F.lit("10.1/x"), "doc_id")})
-    asked = p.withColumns({"doi": F.when(F.col("doc_id") % 3 == 1, F.col("doi")), "title": F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("A "), "title", F.lit(" and more"))).when(F.col("doc_id") % 3 == 2, F.col("title"))})
-    return M.resolve_in_catalog(asked, p).select("doc_id", "method", "confidence")
+    """Papers found again by DOI, title, a title within another, and likeness: nearly the same, clearly the best; two nearly as good as each other are none."""
+    p = papers(spark, d).select("doc_id", F.concat(F.lit("10.1/x"), "doc_id").alias("doi"), F.expr(_HEX).alias("title"))
+    k = F.col("doc_id") % 6
+    spoilt = lambda at, n: F.concat(F.substring("title", 1, at - n), F.repeat(F.lit("z"), F.lit(n)), F.substring("title", at + 1, 65))
+    catalog = p.withColumn("title", F.when(k >= 4, spoilt(32, 10)).otherwise(F.col("title"))).unionByName(p.filter(k == 4).select((F.col("doc_id") + 10**12).alias("doc_id"), F.lit(None).cast("string").alias("doi"), spoilt(65, 11).alias("title")))
+    asked = p.withColumns({"doi": F.when(k == 1, F.col("doi")), "title": F.when(k == 0, F.concat(F.lit("A "), "title", F.lit(" and more"))).when(k == 3, spoilt(32, 1)).when(k != 1, F.col("title"))})
+    return M.resolve_in_catalog(asked, catalog).select("doc_id", "method", "confidence")
 
 
 @query(_p("SELECT doc_id FROM papers p WHERE doc_id % 5 <> 0 AND NOT EXISTS (SELECT 1 FROM papers s WHERE s.doc_id % 5 = 0 AND (s.doi = p.doi OR s.title = p.title AND s.title <> ''))"))

@@ -4,6 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+#: The history of a cluster as a column: one struct for each iteration.
+HISTORY = "array<struct<recall: double, precision: double, n_results: bigint>>"
+
 
 @dataclass(frozen=True)
 class Metrics:
@@ -54,3 +60,28 @@ class StopPolicy:
         """The place of the best iteration: enough recall, then results at all, recall, precision; of equals the earliest."""
         worth = [(m.recall >= self.recall, m.n_results > 0, m.recall, m.precision) for m in history]
         return worth.index(max(worth)) if worth else None
+
+    def reason(self, history: Column, reviewer_stops: Column | None = None) -> Column:
+        """``decide`` for a column of histories (see ``HISTORY``): a reason, or null to go on."""
+        n = F.size(history)
+        last, earlier = F.element_at(history, -1), F.slice(history, 1, F.greatest(n - 1, F.lit(0)))
+        before = F.get(history, n - 2)
+        comparable = (n > 1) & (last["n_results"] > 0) & (before["n_results"] > 0)
+        good = F.array_max(F.transform(F.filter(earlier, lambda m: (m["recall"] >= self.recall) & (m["n_results"] > 0)), lambda m: m["recall"]))
+        tail = F.slice(history, F.greatest(n - self.failures + 1, F.lit(1)), F.lit(max(self.failures, 1)))
+        low = F.lit(self.failures > 0) & (n >= self.failures) & F.forall(tail, lambda m: (m["n_results"] > 0) & (m["precision"] < self.floor))
+        gained, nearer = last["recall"] - before["recall"], last["precision"] - before["precision"]
+        told = (F.when((last["recall"] >= self.recall) & (last["precision"] >= self.precision), "success")
+                .when(n >= self.iterations, "max_iterations")
+                .when(last["recall"] <= good - self.regression, "recall_regression")
+                .when(comparable & (last["recall"] >= before["recall"] - 1e-9) & (nearer < self.precision_step), "plateau")
+                .when(low, "low_precision")
+                .when(comparable & (gained < self.recall_step) & (last["precision"] < before["precision"]), "no_gain"))
+        if reviewer_stops is not None:
+            told = told.when(reviewer_stops, "reviewer")
+        return F.when(n > 0, told)
+
+    def best_place(self, history: Column) -> Column:
+        """``best`` for a column of histories."""
+        worth = F.transform(history, lambda m, k: F.struct((m["recall"] >= self.recall).alias("a"), (m["n_results"] > 0).alias("b"), m["recall"].alias("c"), m["precision"].alias("d"), (-k).alias("e")))
+        return -F.array_max(worth)["e"]

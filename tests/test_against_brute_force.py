@@ -205,11 +205,24 @@ def test_documents(spark, tmp_path):
         D.decode_pdf(b"x")
 
 
-def test_first_page_names():
-    assert firstpage.authors_in("Title\nAnna de la Cruz\nUniversity of Y\nAbstract") == []
-    assert firstpage.authors_in("A Title of Work\nAnna Cruz\nUniversity of Y\n") == ["Anna Cruz"]
-    assert firstpage.title_in("") is None and firstpage.title_in("Abstract\nshort") is None
-    assert firstpage.title_in("arXiv:1\nThe Real Title\nover two lines\nAbstract") == "The Real Title over two lines"
+PAGES = {
+    "": (None, []),
+    "Abstract\nshort": (None, []),
+    "Title\nAnna de la Cruz\nUniversity of Y\nAbstract": ("Anna de la Cruz", []),
+    "A Title of Work\nAnna Cruz\nUniversity of Y\n": ("A Title of Work", ["Anna Cruz"]),
+    "arXiv:1\nThe Real Title\nover two lines\nAbstract": ("The Real Title over two lines", []),
+    "Deep Learning\nAnna Smith, Bob van der Berg and Carl Menger\nCollege of Z": ("Deep Learning", ["Anna Smith", "Bob van der Berg", "Carl Menger"]),
+    "Copyright 2020\n12\nTrust in markets of many agents\nAnna Smith a, Bob Stone b\n1 Institute of W\nDan Brown, Eve Black": ("Trust in markets of many agents", ["Anna Smith", "Bob Stone"]),
+    "Anna Smith and Bob Stone\nA study of trust\nKeywords: a, b": ("A study of trust", ["Anna Smith", "Bob Stone"]),
+    "Trust and agents in the large, Anna Smith\nx@y.org": ("Trust and agents in the large", []),
+    "Introduction to the algebra of things\nmore\nIntroduction\nAnna Smith, Bob Stone": ("Introduction to the algebra of things", []),
+}
+
+
+def test_first_page_names(spark):
+    rows = spark.createDataFrame([(t,) for t in [*PAGES, None]], "text string")
+    got = {r["text"]: (r["title_candidate"], r["authors_candidate"]) for r in firstpage.first_page_metadata(rows).collect()}
+    assert got == PAGES | {None: (None, [])}
 
 
 def test_retries():

@@ -1,10 +1,13 @@
 import json
+import random
+import re
 
 import numpy as np
 import pytest
 
 from corpusmill.functions import actions
-from corpusmill.operators import review, tree
+from corpusmill.functions.fuzzy import token_sort_ratio
+from corpusmill.operators import matching, review, tree
 from corpusmill.operators.authors import collapse
 from corpusmill.operators.matching import resolve_in_catalog
 from corpusmill.sources import export
@@ -32,8 +35,33 @@ def test_catalog_cascade(spark):
     catalog = spark.createDataFrame([(1, "10.1/a", "First title here"), (2, None, "Second title here"), (3, None, "A rather long third heading about agents")], kind)
     asked = spark.createDataFrame([(10, "https://doi.org/10.1/A", "x"), (11, None, "second  TITLE here"), (12, None, "about agents a rather long third headng"), (13, None, "zq"), (14, None, "On the Second title here"), (15, None, None)], kind)
     assert sorted((r["doc_id"], r["match_id"], r["method"]) for r in resolve_in_catalog(asked, catalog).collect()) == [(10, 1, "doi"), (11, 2, "title"), (12, 3, "fuzzy"), (14, 2, "containment")]
-    with pytest.raises(ValueError):
-        resolve_in_catalog(asked, catalog, most=2)
+
+
+@pytest.mark.parametrize("parts", [(256, 1024), (3, 5)])
+def test_catalog_likeness_one_by_one(spark, monkeypatch, parts):
+    rng, kind = random.Random(6), "doc_id long, doi string, title string"
+    monkeypatch.setattr(matching, "TITLES", parts[0])
+    monkeypatch.setattr(matching, "CATALOG_TITLES", parts[1])
+    words = ["trust", "market", "agent", "model", "study", "of", "in", "language", "review"]
+    base = [" ".join(rng.choice(words) for _ in range(rng.randrange(2, 7))) for _ in range(60)]
+    typo = lambda t: t[:(k := rng.randrange(len(t)))] + rng.choice("xyz ") + t[k + rng.randrange(2):]
+    known = [(k, None, rng.choice(["", typo(typo(t)), t])) for k, t in enumerate(base)] + [(100, None, None)]
+    asked = [(k, None, rng.choice([t, typo(t), " ".join(reversed(t.split())), typo(typo(typo(t)))])) for k, t in enumerate(base)]
+    form = lambda t: re.sub(r"\s+", " ", (t or "").strip().lower())
+    want = set()
+    for k, _, title in asked:
+        t = form(title)
+        others = [(i, form(x)) for i, _, x in known if form(x)]
+        same = [i for i, x in others if x == t]
+        inside = [i for i, x in others if x in t or t in x]
+        scores = sorted(((-token_sort_ratio(t, x), i) for i, x in others))
+        best, second = -scores[0][0], -scores[1][0]
+        if same or inside:
+            want.add((k, min(same or inside), "title" if same else "containment"))
+        elif best >= 0.72 and (best - second >= 0.05 or best >= 0.9):
+            want.add((k, scores[0][1], "fuzzy"))
+    got = {(r["doc_id"], r["match_id"], r["method"]) for r in resolve_in_catalog(spark.createDataFrame(asked, kind), spark.createDataFrame(known, kind)).collect()}
+    assert got == want and len({m for _, _, m in want}) == 3
 
 
 def test_actions():
