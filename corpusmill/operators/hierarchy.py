@@ -2,8 +2,9 @@
 
 Components of a spanning tree below a distance make the hierarchy; only those of ``min_size`` points or more count. A leaf
 of the condensed tree begins where small components first reach that size together, takes in small ones as the
-distance grows, and ends where it meets another such component. All of that is local: a small component waits for its
-own shortest edge, so a few rounds of joins give every point the leaf it falls to and the distance at which it does.
+distance grows, and ends where it meets another such component. When that is for a point is known from the few points
+that it meets first, so a few rounds of joins with the tree tell it, for all sizes at once; an edge whose two ends
+count already when it comes is one between leaves.
 """
 
 from __future__ import annotations
@@ -14,107 +15,131 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.checkpointing import cut, drop
-from corpusmill.operators.clustering import NOISE, Grid, composite, reduced, silhouette
+from corpusmill.functions.joins import bounded
+from corpusmill.functions.records import dot, unit
+from corpusmill.operators.clustering import NOISE, Grid, composite, reduced
 from corpusmill.operators.graph import connected_components
-from corpusmill.operators.spanning_tree import mutual_reachability_tree
-
-
-def basins(ids: DataFrame, tree: DataFrame, min_size: int) -> tuple[DataFrame, DataFrame]:
-    """((doc_id, basin, e), (a, b, e)): for each point the leaf it falls to and the edge (d, x, y) that brings it there; the edges between leaves.
-
-    ``ids`` are (doc_id), ``tree`` (d, x, y). Points of a tree below ``min_size`` fall nowhere and have no row.
+from corpusmill.operators.spanning_tree import Searched, mutual_reachability_tree
+
+
+def first_met(tree: DataFrame, most: int) -> DataFrame:
+    """(id, k, e): the edge (d, x, y) of ``tree`` by which a point's component comes to have ``k`` other points, k up to ``most``."""
+    e = F.struct("d", "x", "y").alias("e")
+    ways = cut(tree.select(F.col("x").alias("id"), F.col("y").alias("next"), e).unionByName(tree.select(F.col("y").alias("id"), F.col("x").alias("next"), e)))
+    order = Window.partitionBy("id").orderBy("e", "met")
+    first = lambda df: df.groupBy("id", "met").agg(F.min("e").alias("e")).withColumn("k", F.row_number().over(order)).filter(F.col("k") <= most)
+    direct = ways.select("id", F.col("next").alias("met"), "e")
+    lists = cut(first(direct))
+    for _ in range(most - 1):
+        far = ways.select("id", "next", F.col("e").alias("_e")).join(lists.select(F.col("id").alias("next"), "met", "e"), "next").filter("met <> id")
+        new = cut(first(direct.unionByName(far.select("id", "met", F.greatest("_e", "e").alias("e")))))
+        drop(lists)
+        lists = new
+    drop(ways)
+    return lists.select("id", "k", "e")
+
+
+def basins(tree: DataFrame, sizes: list[int]) -> tuple[DataFrame, DataFrame]:
+    """((size, doc_id, basin, e), (size, a, b, e)): for each least size and point the leaf it falls to and the edge (d, x, y) that brings it there; the edges between leaves.
+
+    ``tree`` are (d, x, y). Points of a tree below a size fall nowhere and have no row.
     """
-    state = cut(ids.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("comp"), F.lit(None).cast("struct<d: double, x: bigint, y: bigint>").alias("e")))
-    edges = tree.select(F.struct("d", "x", "y").alias("e"))
-    while True:
-        comp = state.select("id", "comp", F.col("e").isNotNull().alias("alive"))
-        of = lambda k, n: comp.select(F.col("id").alias(k), F.col("comp").alias(n), F.col("alive").alias(f"alive_{n}"))  # noqa: E731, B023
-        links = cut(edges.withColumns({"x": F.col("e.x"), "y": F.col("e.y")}).join(of("x", "a"), "x").join(of("y", "b"), "y").filter("a <> b").select("e", "a", "b", "alive_a", "alive_b"))
-        ways = links.filter("NOT alive_a").select(F.col("a").alias("comp"), "e", F.col("b").alias("to"), F.col("alive_b").alias("to_alive")).unionByName(links.filter("NOT alive_b").select(F.col("b").alias("comp"), "e", F.col("a").alias("to"), F.col("alive_a").alias("to_alive")))
-        best = cut(ways.groupBy("comp").agg(F.min(F.struct("e", "to", "to_alive")).alias("s")).select("comp", "s.*"))
-        if best.isEmpty():
-            break
-        groups = connected_components(best, "comp", "to")  # each has one component that counts already, or one pair that point at each other
-        rooted = best.filter("to_alive").select("comp", F.col("to").alias("root")).join(groups.withColumnRenamed("node", "comp"), "comp").groupBy("component").agg(F.max("root").alias("root"))
-        placed = cut(best.join(groups.withColumnRenamed("node", "comp"), "comp").join(rooted, "component", "left").select("comp", "e", "to", "root"))
-        falls = placed.filter("root IS NOT NULL").select("comp", F.col("root").alias("into"), F.col("e").alias("fell"))
-        back = best.select(F.col("comp").alias("to"), F.col("to").alias("back"))
-        pairs = placed.filter("root IS NULL").join(back, "to").filter("back = comp").select("comp", F.least("comp", "to").alias("into"), "e")
-        sizes = state.filter("e IS NULL").join(pairs, "comp").groupBy("into").agg(F.count(F.lit(1)).alias("n"))
-        merged = pairs.join(sizes, "into").select("comp", "into", F.when(F.col("n") >= min_size, F.col("e")).alias("fell"))
-        new = cut(state.join(falls.unionByName(merged), "comp", "left").select("id", F.coalesce("into", "comp").alias("comp"), F.coalesce("e", "fell").alias("e")))
-        drop(state, links, best, placed)
-        state = new
-    between = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "e")
-    return state.filter("e IS NOT NULL").select(F.col("id").alias("doc_id"), F.col("comp").alias("basin"), "e"), between
-
-
-def leaves(ids: DataFrame, points: DataFrame, between: DataFrame, epsilon: float = 0.0) -> tuple[DataFrame, DataFrame]:
-    """((doc_id, cluster), (cluster, size, persistence)) of ``basins``: clusters numbered from 0 by their smallest id; -1 is noise.
+    met = first_met(tree, max(sizes) - 1)
+    alive = cut(met.filter((F.col("k") + 1).isin(list(sizes))).select((F.col("k") + 1).alias("size"), "id", "e"))
+    at = lambda k, n: alive.select("size", F.col("id").alias(k), F.col("e").alias(n))
+    edges = cut(tree.select(F.struct("d", "x", "y").alias("e"), "x", "y").join(at("x", "ex"), "x").join(at("y", "ey"), ["size", "y"]))
+    apart = (F.col("e") > F.col("ex")) & (F.col("e") > F.col("ey"))
+    node = lambda c: F.struct("size", F.col(c).alias("id"))
+    joined = cut(connected_components(edges.filter(~apart).select(node("x").alias("a"), node("y").alias("b")), "a", "b").select("node.size", "node.id", F.col("component.id").alias("basin")))
+    of = lambda k, n: joined.select("size", F.col("id").alias(k), F.col("basin").alias(n))
+    between = cut(edges.filter(apart).join(of("x", "a"), ["size", "x"]).join(of("y", "b"), ["size", "y"]).select("size", "a", "b", "e"))
+    fallen = cut(alive.join(joined, ["size", "id"]).select("size", F.col("id").alias("doc_id"), "basin", "e"))
+    drop(edges, alive, joined)
+    return fallen, between
+
+
+def leaves(fallen: DataFrame, between: DataFrame, epsilons: list[float]) -> tuple[DataFrame, DataFrame]:
+    """((size, epsilon, doc_id, cluster), (size, epsilon, cluster, n, persistence)) of ``basins``: clusters numbered from 0 by their smallest id; noise has no row.
 
     Leaves that end below ``epsilon`` give way to the nearest component above them that ends beyond it; if that were all
     there is, to the last two before it. The persistence is the excess of mass for each member, as a share of the
     largest density in the tree. A tree without a split has no cluster.
     """
-    last = between.agg(F.max("e").alias("e")).first()["e"]
-    if last is None:
-        return ids.select("doc_id", F.lit(NOISE).alias("cluster")), ids.sparkSession.createDataFrame([], "cluster int, size bigint, persistence double")
-    joined_at = F.col("e.d") < min(epsilon, last["d"])
-    if last["d"] < epsilon:
-        joined_at = F.col("e") < F.struct(F.lit(last["d"]).alias("d"), F.lit(last["x"]).alias("x"), F.lit(last["y"]).alias("y"))
-    groups = connected_components(between.filter(joined_at), "a", "b")
-    all_ = points.select("basin").distinct()
-    group = cut(all_.join(groups.select(F.col("node").alias("basin"), "component"), "basin", "left").select("basin", F.coalesce("component", "basin").alias("group")))
-    of = lambda k, n: group.select(F.col("basin").alias(k), F.col("group").alias(n))
-    sides = cut(between.join(of("a", "ga"), "a").join(of("b", "gb"), "b"))
-    split = sides.filter("ga = gb").groupBy(F.col("ga").alias("group")).agg(F.max("e.d").alias("split"))
-    ends = sides.filter("ga <> gb").select(F.explode(F.array("ga", "gb")).alias("group"), "e").groupBy("group").agg(F.min("e").alias("end"))
-    held = cut(points.join(group, "basin").join(ends, "group").join(split, "group", "left").filter(F.col("e") < F.col("end")).select("doc_id", "group", F.greatest("e.d", F.coalesce("split", F.lit(0.0))).alias("at"), F.col("end.d").alias("end")))
+    key = ["size", "epsilon"]
+    spark = fallen.sparkSession
+    tried = F.broadcast(spark.createDataFrame([(float(e),) for e in epsilons], "epsilon double"))  # a few rows
+    last = F.broadcast(between.groupBy("size").agg(F.max("e").alias("last")))  # a row per size
+    each = cut(between.join(last, "size").crossJoin(tried))
+    joined_at = F.when(F.col("last.d") < F.col("epsilon"), F.col("e") < F.col("last")).otherwise(F.col("e.d") < F.col("epsilon"))
+    node = lambda c: F.struct(*key, F.col(c).alias("id"))
+    groups = connected_components(each.filter(joined_at).select(node("a").alias("a"), node("b").alias("b")), "a", "b").select("node.size", "node.epsilon", F.col("node.id").alias("basin"), F.col("component.id").alias("_to"))
+    group = cut(fallen.select("size", "basin").distinct().crossJoin(tried).join(groups, [*key, "basin"], "left").select(*key, "basin", F.coalesce("_to", "basin").alias("group")))
+    of = lambda k, n: group.select(*key, F.col("basin").alias(k), F.col("group").alias(n))
+    sides = cut(each.join(of("a", "ga"), [*key, "a"]).join(of("b", "gb"), [*key, "b"]).select(*key, "ga", "gb", "e"))
+    split = sides.filter("ga = gb").groupBy(*key, F.col("ga").alias("group")).agg(F.max("e.d").alias("split"))
+    ends = sides.filter("ga <> gb").select(*key, F.explode(F.array("ga", "gb")).alias("group"), "e").groupBy(*key, "group").agg(F.min("e").alias("end"))
+    bounds = group.join(ends, [*key, "group"]).join(split, [*key, "group"], "left")
+    held = cut(fallen.join(bounds, ["size", "basin"]).filter(F.col("e") < F.col("end")).select(*key, "doc_id", "group", F.greatest("e.d", F.coalesce("split", F.lit(0.0))).alias("at"), F.col("end.d").alias("end")))
     density = lambda d: F.when(d > 0, 1 / d).otherwise(F.lit(float("inf")))
-    most = F.lit(points.agg(F.max(density(F.col("e.d")))).first()[0])
-    sums = held.groupBy("group").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("size"), F.sum(density(F.col("at")) - density(F.col("end"))).alias("mass"))
-    share = F.when(most == float("inf"), 1.0).otherwise(F.col("mass") / (F.col("size") * most))
-    numbered = cut(sums.select("group", (F.row_number().over(Window.orderBy("first")) - 1).cast("int").alias("cluster"), "size", share.alias("persistence")))  # a row per cluster
-    labels = ids.select("doc_id").join(held.join(numbered, "group").select("doc_id", "cluster"), "doc_id", "left").select("doc_id", F.coalesce("cluster", F.lit(NOISE)).alias("cluster"))
-    return labels, numbered.select("cluster", "size", "persistence")
+    most = F.broadcast(fallen.groupBy("size").agg(F.max(density(F.col("e.d"))).alias("most")))  # a row per size
+    sums = held.groupBy(*key, "group").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"), F.sum(density(F.col("at")) - density(F.col("end"))).alias("mass")).join(most, "size")
+    share = F.when(F.col("most") == float("inf"), 1.0).otherwise(F.col("mass") / (F.col("n") * F.col("most")))
+    number = F.row_number().over(Window.partitionBy(*key).orderBy("first")) - 1  # over the clusters
+    numbered = cut(sums.select(*key, "group", number.cast("int").alias("cluster"), "n", share.alias("persistence")))
+    labels = cut(held.join(numbered, [*key, "group"]).select(*key, "doc_id", "cluster"))
+    drop(each, group, sides, held)
+    return labels, numbered.select(*key, "cluster", "n", "persistence")
 
 
 def density_clusters(points: DataFrame, min_size: int, min_samples: int, epsilon: float = 0.0) -> tuple[DataFrame, DataFrame]:
-    """V5: labels and clusters of points (doc_id, vector), as ``leaves`` has them. Fewer than three points are an error."""
+    """V5: ((doc_id, cluster), (cluster, n, persistence)) of points (doc_id, vector), as ``leaves`` has them; -1 is noise. Fewer than three points are an error."""
     points = cut(points.select("doc_id", "vector"))
     if points.limit(3).count() < 3:
         raise ValueError("three points at least are needed")
-    ids = points.select("doc_id")
-    return leaves(ids, *map(cut, basins(ids, mutual_reachability_tree(points, min_samples), min_size)), epsilon)
+    labels, clusters = leaves(*basins(mutual_reachability_tree(points, min_samples), [min_size]), [epsilon])
+    return points.select("doc_id").join(labels, "doc_id", "left").select("doc_id", F.coalesce("cluster", F.lit(NOISE)).alias("cluster")), clusters.drop("size", "epsilon")
+
+
+def silhouettes(vectors: DataFrame, labels: DataFrame) -> DataFrame:
+    """(size, epsilon, silhouette): the mean silhouette by cosine distance of each labelling, from one sum for each cluster."""
+    key = ["size", "epsilon"]
+    rows = cut(labels.join(vectors.select("doc_id", unit(F.col("vector")).alias("v")), "doc_id"))
+    cells = rows.select(*key, "cluster", F.posexplode("v").alias("k", "x")).groupBy(*key, "cluster", "k").agg(F.sum("x").alias("s"), F.count(F.lit(1)).alias("n"))
+    sums = cut(cells.groupBy(*key, "cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "s"))), lambda c: c["s"]).alias("sum"), F.max("n").alias("n")))
+    other = sums.select(*key, F.col("cluster").alias("c"), "sum", "n")
+    gaps = rows.join(bounded(other), key).select(*key, "doc_id", "cluster", "c", "n", dot(F.col("sum"), F.col("v")).alias("dot"))
+    own = F.col("c") == F.col("cluster")
+    near = gaps.groupBy(*key, "doc_id").agg(F.max(F.when(own & (F.col("n") > 1), (F.col("n") - F.col("dot")) / (F.col("n") - 1))).alias("a"), F.min(F.when(~own, 1 - F.col("dot") / F.col("n"))).alias("b"))
+    out = near.groupBy(*key).agg(F.avg(F.coalesce((F.col("b") - F.col("a")) / F.greatest("a", "b"), F.lit(0.0))).alias("silhouette"))
+    return out
 
 
 def tune(vectors: DataFrame, grid: Grid, dimensions: int = 5) -> tuple[dict | None, list[dict]]:
-    """(the best parameters, a row for each that was tried): all combinations of a ``min_samples`` come from one tree.
+    """(the best parameters, a row for each that was tried): all combinations of a ``min_samples`` come from one tree, in jobs that don't grow with them.
 
     ``radius`` of the grid is the epsilon of ``leaves``. Labels are of the reduced vectors, silhouettes of the whole
     ones; the mean persistence counts. Invalid combinations tell why; of equal scores more clusters, more coverage, a
     better silhouette, smaller parameters.
     """
     points = cut(reduced(vectors, dimensions))
-    ids, n, results = points.select("doc_id"), points.count(), []
+    searched, n, results = Searched(points, max(grid.min_samples)), points.count(), []
     for samples in sorted(grid.min_samples):
-        tree = mutual_reachability_tree(points, samples)
-        for size in sorted(grid.min_size):
-            fallen, between = map(cut, basins(ids, tree, size))
-            for epsilon in sorted(grid.radius):
-                labels, clusters = leaves(ids, fallen, between, epsilon)
-                row = clusters.agg(F.count(F.lit(1)).alias("k"), F.coalesce(F.sum("size"), F.lit(0)).alias("c"), F.avg("persistence").alias("p")).first()
-                entry = {"min_size": size, "min_samples": samples, "radius": epsilon, "n_clusters": row["k"], "coverage": row["c"] / n if n else 0.0, "silhouette": None, "persistence": row["p"], "score": None, "reason": None}
-                if row["k"] < grid.min_clusters:
-                    entry["reason"] = "fewer_than_min_clusters"
-                elif entry["coverage"] < grid.min_coverage:
-                    entry["reason"] = "coverage_below_threshold"
-                else:
-                    entry["silhouette"] = silhouette(vectors.select("doc_id", "vector").join(labels, "doc_id")).first()[0]
-                    entry["score"] = composite(row["k"], entry["coverage"], entry["silhouette"], row["p"], n, grid)
-                results.append(entry)
-            drop(fallen, between)
-        drop(tree)
+        labels, clusters = leaves(*basins(mutual_reachability_tree(points, samples, searched), sorted(grid.min_size)), sorted(grid.radius))
+        figures = clusters.groupBy("size", "epsilon").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("c"), F.avg("persistence").alias("p"))
+        known = {(r["size"], r["epsilon"]): r for r in figures.join(silhouettes(vectors, labels), ["size", "epsilon"], "left").collect()}  # a row per combination
+        for size, epsilon in product(sorted(grid.min_size), sorted(grid.radius)):
+            row = known.get((size, float(epsilon)))
+            k, covered = (row["k"], row["c"]) if row else (0, 0)
+            entry = {"min_size": size, "min_samples": samples, "radius": epsilon, "n_clusters": k, "coverage": covered / n if n else 0.0, "silhouette": None, "persistence": row["p"] if row else None, "score": None, "reason": None}
+            if k < grid.min_clusters:
+                entry["reason"] = "fewer_than_min_clusters"
+            elif entry["coverage"] < grid.min_coverage:
+                entry["reason"] = "coverage_below_threshold"
+            else:
+                entry["silhouette"] = row["silhouette"]
+                entry["score"] = composite(k, entry["coverage"], row["silhouette"], row["p"], n, grid)
+            results.append(entry)
+    results.sort(key=lambda r: (r["min_size"], r["min_samples"], r["radius"]))
     valid = [r for r in results if r["score"] is not None]
     best = min(valid, key=lambda r: (-r["score"], -r["n_clusters"], -r["coverage"], -r["silhouette"], r["min_size"], r["min_samples"], r["radius"]), default=None)
     return best, results

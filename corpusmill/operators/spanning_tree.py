@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.checkpointing import cut, drop
 from corpusmill.functions.joins import ROWS
-from corpusmill.operators.graph import connected_components
 
 PART = 256
 
@@ -147,36 +146,38 @@ def neighbour_distances(points: DataFrame, most: int, part: int = PART) -> DataF
     return rows.join(unique.join(cores, "id").select("v", "cores"), "v").select("doc_id", F.col("cores").alias("distances"))
 
 
-def mutual_reachability_tree(points: DataFrame, min_samples: int, parts: DataFrame | None = None, cores: DataFrame | None = None, part: int = PART) -> DataFrame:
+class Searched:
+    """Points (doc_id, vector) packed in parts, with their nearest neighbours: what the trees of several ``min_samples`` share."""
+
+    def __init__(self, points: DataFrame, most: int, part: int = PART):
+        self.unique = cut(_unique(points))
+        self.parts = _parts(self.unique, part)
+        self.cores = core_distances(self.parts, most)
+
+
+def mutual_reachability_tree(points: DataFrame, min_samples: int, searched: Searched | None = None, part: int = PART) -> DataFrame:
     """(d, x, y): the edges of the minimum spanning tree of points (doc_id, vector), x < y.
 
     Two points are as far apart as their distance, and at least as the distances of both to their ``min_samples``-th
     nearest neighbours. Copies of a point hang on the one with the smallest id. Vectors are of one length and without
     nulls; doc_ids are different. No points, or one, have no edge.
     """
-    unique = cut(_unique(points))
-    parts = _parts(unique, part) if parts is None else parts
-    cores = core_distances(parts, min_samples) if cores is None else cores
-    core = cut(cores.select("id", "part", F.coalesce(F.get("cores", F.least(F.size("cores"), F.lit(min_samples)) - 1), F.lit(0.0)).alias("core")))
-    state = cut(core.select("id", "part", "core", F.col("id").alias("comp")))
-    edges, n = [], state.count()
+    s = searched or Searched(points, min_samples, part)
+    parts, unique = s.parts, s.unique
+    core = cut(s.cores.select("id", "part", F.coalesce(F.get("cores", F.least(F.size("cores"), F.lit(min_samples)) - 1), F.lit(0.0)).alias("core")))
+    state = core.select("id", "part", "core", F.col("id").alias("comp"))
+    edges, n = [], unique.count()
     while n > 1:
         of_part = cut(state.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("id", "core", "comp"))).alias("s"), F.max("core").alias("high"), F.min("comp").alias("low"), F.max("comp").alias("top")))
         single = F.when(F.col("low") == F.col("top"), F.col("low"))
-        summary = cut(parts.select("part", "m", "r").join(of_part.select("part", single.alias("single"), "high"), "part").withColumn("reach", F.lit(0.0)))
-        bounds = _near(summary, "bound")
+        summary = parts.select("part", "m", "r").join(of_part.select("part", single.alias("single"), "high"), "part").withColumn("reach", F.lit(0.0))
         held = state.select("part", "comp").distinct()
-        by_comp = held.join(bounds, "part").groupBy("comp").agg(F.min("u").alias("u"))
+        by_comp = held.join(_near(summary, "bound"), "part").groupBy("comp").agg(F.min("u").alias("u"))
         reach = held.join(by_comp, "comp").groupBy("part").agg(F.max("u").alias("reach"))
-        pairs = _near(cut(summary.drop("reach").join(reach, "part")), "pairs")
-        best = cut(_shortest(pairs, parts, of_part))
-        edges.append(cut(best.select("e.*").distinct()))
-        ends = best.join(state.select(F.col("id").alias("other"), F.col("comp").alias("comp_y")), "other").select("comp", "comp_y")
-        joined = cut(connected_components(ends, "comp", "comp_y"))
-        new = cut(state.join(joined.select(F.col("node").alias("comp"), F.col("component").alias("_to")), "comp").select("id", "part", "core", F.col("_to").alias("comp")))
-        drop(state, of_part, summary, best, joined)
-        state = new
-        n = state.select("comp").distinct().limit(2).count()
+        best = cut(_shortest(_near(cut(summary.drop("reach").join(reach, "part")), "pairs"), parts, of_part))
+        edges.append(best.select("e.*").distinct())
+        roots, n = _roots(best.join(state.select(F.col("id").alias("other"), F.col("comp").alias("to")), "other").select("comp", "to"))
+        state = cut(state.join(roots, "comp").select("id", "part", "core", F.col("to").alias("comp")))
     hung = points.join(unique.filter("w > 1").select("id", F.col("v").alias("_v")), F.transform("vector", lambda x: x.cast("double")) == F.col("_v")).filter("doc_id <> id")
     out = hung.join(core, "id").select(F.col("core").alias("d"), F.col("id").alias("x"), F.col("doc_id").alias("y"))
     for df in edges:
@@ -184,6 +185,21 @@ def mutual_reachability_tree(points: DataFrame, min_samples: int, parts: DataFra
     return cut(out)
 
 
+def _roots(chosen: DataFrame) -> tuple[DataFrame, int]:
+    """((comp, to), how many roots): where the choices (comp, to) of all components lead; of two that choose each other the smaller is the root."""
+    back = chosen.select(F.col("comp").alias("to"), F.col("to").alias("back"))
+    root = (F.col("back") == F.col("comp")) & (F.col("comp") < F.col("to"))
+    rows = cut(chosen.join(back, "to").select("comp", F.when(root, F.col("comp")).otherwise(F.col("to")).alias("to")))
+    while True:
+        hop = rows.select(F.col("comp").alias("to"), F.col("to").alias("far"))
+        new = cut(rows.join(hop, "to").select("comp", F.col("far").alias("to"), (F.col("far") != F.col("to")).alias("moved")))
+        row = new.agg(F.count_if("moved"), F.count_if(F.col("comp") == F.col("to"))).first()
+        drop(rows)
+        rows = new.select("comp", "to")
+        if not row[0]:
+            return rows, row[1]
+
+
 def _shortest(pairs: DataFrame, parts: DataFrame, of_part: DataFrame) -> DataFrame:
     """(comp, e, other): the shortest edge of each component to another one, and its end there."""
     sides = [parts.select("part", "v").join(of_part.select("part", "s"), "part").select(F.col("part").alias(k), F.col("v").alias(f"v_{k}"), F.col("s").alias(f"s_{k}")) for k in "ab"]

@@ -2,9 +2,10 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corpusmill.operators import hierarchy as H
-from corpusmill.operators.clustering import Grid, reduced
+from corpusmill.operators.clustering import Grid, reduced, silhouette
 from corpusmill.operators.spanning_tree import mutual_reachability_tree
 from corpusmill.sources.catalog import vectors
 
@@ -78,7 +79,7 @@ def clusters_by_hand(ids, tree, size, epsilon):
 
 
 def clusters_of(labels, clusters):
-    members, share = {}, {r["cluster"]: (r["size"], r["persistence"]) for r in clusters.collect()}
+    members, share = {}, {r["cluster"]: (r["n"], r["persistence"]) for r in clusters.collect()}
     for r in labels.collect():
         members.setdefault(r["cluster"], set()).add(r["doc_id"])
     members.pop(-1, None)
@@ -87,31 +88,22 @@ def clusters_of(labels, clusters):
     return {frozenset(m): share[c][1] for c, m in members.items()}
 
 
-@pytest.fixture(scope="module")
-def points(spark):
-    return reduced(vectors(spark, "/root/testdata/sf0.01"), 5).cache()
-
-
-@pytest.fixture(scope="module")
-def known(points):
+def test_condensed_trees_of_all_combinations(spark):
+    points = reduced(vectors(spark, "/root/testdata/sf0.01"), 5).cache()
     rows = sorted((r["doc_id"], list(r["vector"])) for r in points.collect())
-    return [i for i, _ in rows], np.array([v for _, v in rows])
-
-
-@pytest.mark.parametrize("samples", [1, 2])
-def test_condensed_tree(spark, points, known, samples):
-    ids, v = known
-    want = by_hand(ids, v, samples)
-    tree = mutual_reachability_tree(points, samples, part=64)
+    ids, v = [i for i, _ in rows], np.array([v for _, v in rows])
+    want = by_hand(ids, v, 2)
+    tree = mutual_reachability_tree(points, 2, part=64)
     got = sorted(tuple(r) for r in tree.collect())
     assert [e[1:] for e in got] == [e[1:] for e in sorted(want)] and np.allclose([e[0] for e in got], [e[0] for e in sorted(want)])
     lengths = sorted(e[0] for e in want)
-    for size, epsilon in ((2, 0.0), (5, 0.0), (3, lengths[len(lengths) * 3 // 4]), (4, 10.0)):
-        fallen, between = H.basins(points.select("doc_id"), tree, size)
-        labels = clusters_of(*H.leaves(points.select("doc_id"), fallen, between, epsilon))
-        expected = clusters_by_hand(ids, want, size, epsilon)
-        assert labels.keys() == expected.keys()
-        assert all(labels[m] == pytest.approx(expected[m], abs=1e-9) for m in labels)
+    sizes, epsilons = [2, 3, 5], [0.0, lengths[len(lengths) * 3 // 4], 10.0]
+    labels, clusters = H.leaves(*H.basins(tree, sizes), epsilons)
+    for size in sizes:
+        for epsilon in epsilons:
+            own = (F.col("size") == size) & (F.col("epsilon") == epsilon)
+            found, expected = clusters_of(labels.filter(own), clusters.filter(own)), clusters_by_hand(ids, want, size, epsilon)
+            assert found.keys() == expected.keys() and all(found[m] == pytest.approx(expected[m], abs=1e-9) for m in found)
 
 
 def test_copies_and_few_points(spark):
@@ -120,15 +112,17 @@ def test_copies_and_few_points(spark):
     df = spark.createDataFrame(rows, "doc_id long, vector array<double>")
     tree = mutual_reachability_tree(df, 2, part=8)
     assert tree.count() == 59 and tree.filter("d = 0").count() == 29
-    labels, clusters = H.density_clusters(df, 20, 2)
+    labels, clusters = H.leaves(*H.basins(tree, [5]), [0.0])
     assert frozenset(range(0, 60, 2)) in clusters_of(labels, clusters) and {r["persistence"] for r in clusters.collect()} == {1.0}
     with pytest.raises(ValueError):
         H.density_clusters(df.limit(2), 2, 1)
-    none, no_clusters = H.density_clusters(df.filter("doc_id % 2 = 0"), 40, 1)
-    assert {r["cluster"] for r in none.collect()} == {-1} and no_clusters.count() == 0
 
 
 def test_tuner(spark):
     rows = vectors(spark, "/root/testdata/sf0.001")
     best, tried = H.tune(rows, Grid(min_size=(2, 4), min_samples=(1,), radius=(0.0, 0.1)))
     assert len(tried) == 4 and all((r["score"] is None) == (r["reason"] is not None) for r in tried) and (best is None or best["score"] == max(r["score"] for r in tried if r["score"] is not None))
+    labels, clusters = H.leaves(*H.basins(mutual_reachability_tree(reduced(rows), 1), [2]), [0.0])
+    one = H.silhouettes(rows, labels).first()["silhouette"]
+    assert one == pytest.approx(silhouette(rows.select("doc_id", "vector").join(labels.drop("size", "epsilon"), "doc_id")).first()[0])
+    assert next(r for r in tried if (r["min_size"], r["radius"]) == (2, 0.0))["n_clusters"] == clusters.count()
