@@ -15,3 +15,9 @@ def bounded(table: DataFrame, rows: int = ROWS) -> DataFrame:
     Meant for materialised tables of a few narrow columns, whose rows are counted from file footers.
     """
     return F.broadcast(table) if table.count() <= rows else table
+
+
+def spread(rows: DataFrame, n: int, *keys: str) -> DataFrame:
+    """``n`` rows that cost much and hold little, dealt by ``keys`` to enough tasks: by their size alone Spark would put them into a few."""
+    parallel = 3 * rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(max(1, min(n, max(parallel, n // 100))), *keys)
