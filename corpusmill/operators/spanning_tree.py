@@ -102,9 +102,12 @@ def _near(summary: DataFrame, mode: str) -> DataFrame:
     return out if mode == "pairs" else out.groupBy("part").agg(F.min("u").alias("u"))
 
 
-def core_distances(parts: DataFrame, most: int) -> DataFrame:
-    """(id, part, cores): distances of a point to its 1st to ``most``-th nearest other points; copies of it are at 0."""
-    schema = {"id": pa.int64(), "part": pa.int64(), "near": pa.list_(pa.float64())}
+def nearest(parts: DataFrame, most: int, copies: bool = True) -> DataFrame:
+    """(id, part, near): the ``most`` nearest other points of each, as structs (d, id) by distance and id; copies of a point are at 0, unless they are left out.
+
+    A point's own part bounds how far they can be, and only parts within that bound are looked at: the result is exact.
+    """
+    schema = {"id": pa.int64(), "part": pa.int64(), "near": pa.list_(pa.struct([("d", pa.float64()), ("id", pa.int64())]))}
 
     def merged(pairs: DataFrame) -> DataFrame:
         sides = [parts.select(F.col("part").alias(k), F.col("ids").alias(f"ids_{k}"), F.col("w").alias(f"w_{k}"), F.col("v").alias(f"v_{k}")) for k in "ab"]
@@ -114,22 +117,23 @@ def core_distances(parts: DataFrame, most: int) -> DataFrame:
             for batch in batches:
                 for row in batch.to_pylist():
                     a, b = (np.frombuffer(row[f"v_{k}"]).reshape(len(row[f"ids_{k}"]), -1) for k in "ab")
-                    d, w = _distances(a, b), np.array(row["w_b"])
-                    order = np.argsort(d, axis=1, kind="stable")[:, :most + 1]
-                    rows = []
-                    for i, at in enumerate(order):
-                        near = np.repeat(d[i, at], np.minimum(w[at], most + 1))
-                        if row["a"] == row["b"]:
-                            near = near[1:]  # without itself
-                        rows.append((row["ids_a"][i], row["a"], near[:most].tolist()))
+                    d, ids = _distances(a, b), np.array(row["ids_b"])
+                    w = np.minimum(np.array(row["w_b"]), most + 1) if copies else np.ones(len(ids), np.int64)
+                    same, rows = row["a"] == row["b"], []
+                    for i in range(len(a)):
+                        times = w.copy()
+                        if same:
+                            times[i] -= 1  # without itself
+                        order = np.lexsort((ids, d[i]))[:most + 1]
+                        at = np.repeat(order, times[order])[:most]
+                        rows.append((row["ids_a"][i], row["a"], [{"d": float(x), "id": int(y)} for x, y in zip(d[i, at], ids[at])]))
                     yield _batch(schema, rows)
 
-        each = met.mapInArrow(run, "id bigint, part bigint, near array<double>")
-        near = F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, most)
-        return each.groupBy("id", "part").agg(near.alias("cores"))
+        each = met.mapInArrow(run, "id bigint, part bigint, near array<struct<d: double, id: bigint>>")
+        return each.groupBy("id", "part").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, most).alias("near"))
 
     own = cut(merged(parts.select(F.col("part").alias("a"), F.col("part").alias("b"))))
-    known = F.when(F.size("cores") == most, F.element_at("cores", -1)).otherwise(F.lit(float("inf")))
+    known = F.when(F.size("near") == most, F.element_at("near", -1)["d"]).otherwise(F.lit(float("inf")))
     reach = own.groupBy("part").agg(F.max(known).alias("reach"))
     summary = cut(parts.select("part", "m", "r").join(reach, "part").withColumns({"single": F.lit(None).cast("bigint"), "high": F.lit(0.0)}))
     pairs = cut(_near(summary, "pairs"))
@@ -138,6 +142,47 @@ def core_distances(parts: DataFrame, most: int) -> DataFrame:
     return out
 
 
+def core_distances(parts: DataFrame, most: int) -> DataFrame:
+    """(id, part, cores): distances of a point to its 1st to ``most``-th nearest other points; copies of it are at 0."""
+    return nearest(parts, most).select("id", "part", F.transform("near", lambda s: s["d"]).alias("cores"))
+
+
+def neighbour_graph(points: DataFrame, most: int, part: int = PART) -> DataFrame:
+    """V3: (doc_id, neighbour, rank, distance): the ``most`` nearest points of each of (doc_id, vector), exact. Of equal vectors only the smallest doc_id is in the graph."""
+    near = nearest(_parts(cut(_unique(points)), part), most, copies=False)
+    rows = near.select(F.col("id").alias("doc_id"), F.posexplode("near").alias("rank", "s"))
+    return rows.select("doc_id", F.col("s.id").alias("neighbour"), (F.col("rank") + 1).alias("rank"), F.col("s.d").alias("distance"))
+
+
+def fuzzy_weights(graph: DataFrame, rounds: int = 64) -> DataFrame:
+    """V3: (x, y, weight), x < y, of a ``neighbour_graph``: how surely two points belong together, by either's view.
+
+    A point is sure of its nearest neighbour; beyond it certainty falls exponentially, at the rate that makes the
+    certainties of its k neighbours add up to log2(k). Two views make 1 - (1 - a) * (1 - b).
+    """
+    lists = graph.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("distance", "neighbour"))).alias("near"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for doc, near in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                d = np.array([s["distance"] for s in near])
+                beyond = np.maximum(0.0, d - (d[d > 0].min() if (d > 0).any() else 0.0))
+                low, high = 0.0, np.inf
+                rate = 1.0
+                for _ in range(rounds):  # bisection
+                    if np.exp(-beyond / rate).sum() > np.log2(max(len(d), 2)):
+                        high = rate
+                    else:
+                        low = rate
+                    rate = 2 * rate if high == np.inf else (low + high) / 2
+                rows += [(min(doc, s["neighbour"]), max(doc, s["neighbour"]), float(w)) for s, w in zip(near, np.exp(-beyond / max(rate, 1e-12)))]
+            yield _batch({"x": pa.int64(), "y": pa.int64(), "w": pa.float64()}, rows)
+
+    views = lists.select("doc_id", "near").mapInArrow(run, "x bigint, y bigint, w double")
+    return views.groupBy("x", "y").agg((1 - F.product(1 - F.col("w"))).alias("weight"))
+
+
 def neighbour_distances(points: DataFrame, most: int, part: int = PART) -> DataFrame:
     """(doc_id, distances): how far the nearest ``most`` other points of (doc_id, vector) are, ascending; fewer if there aren't as many."""
     unique = cut(_unique(points))

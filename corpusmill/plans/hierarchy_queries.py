@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.operators import hierarchy as H
 from corpusmill.operators.clustering import Grid, reduced
-from corpusmill.operators.spanning_tree import mutual_reachability_tree, neighbour_distances
+from corpusmill.operators.spanning_tree import fuzzy_weights, mutual_reachability_tree, neighbour_distances, neighbour_graph
 from corpusmill.plans.queries import query
 from corpusmill.sources.catalog import vectors
 
@@ -20,6 +20,19 @@ def nearest_neighbours(spark, d):
     return rows.select("doc_id", *[F.round(F.get("distances", F.lit(k)), 6).alias(name) for k, name in enumerate(("first", "second", "third"))])
 
 
+@query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), p AS (SELECT a.vec_id, b.vec_id AS other, list_distance(a.e, b.e) AS d FROM v a JOIN v b ON a.vec_id <> b.vec_id)
+ SELECT vec_id AS doc_id, other AS neighbour, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY d, other) AS INTEGER) AS rank, round(d, 6) AS distance FROM p QUALIFY rank <= 10""")
+def nearest_graph(spark, d):
+    """V3: the ten nearest neighbours of every vector, exact."""
+    return neighbour_graph(vectors(spark, d), 10).withColumn("distance", F.round("distance", 6))
+
+
+@query()
+def fuzzy_graph(spark, d):
+    """V3: how surely neighbours belong together; tested against numpy."""
+    return fuzzy_weights(neighbour_graph(vectors(spark, d), 10)).withColumn("weight", F.round("weight", 6))
+
+
 @query()
 def spanning_tree(spark, d):
     """V5: the minimum spanning tree of all vectors by mutual reachability; tested against all pairs."""

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.operators import hierarchy as H
 from corpusmill.operators.clustering import Grid, reduced, silhouette
-from corpusmill.operators.spanning_tree import mutual_reachability_tree
+from corpusmill.operators.spanning_tree import fuzzy_weights, mutual_reachability_tree, neighbour_graph
 from corpusmill.sources.catalog import vectors
 
 
@@ -126,3 +126,25 @@ def test_tuner(spark):
     one = H.silhouettes(rows, labels).first()["silhouette"]
     assert one == pytest.approx(silhouette(rows.select("doc_id", "vector").join(labels.drop("size", "epsilon"), "doc_id")).first()[0])
     assert next(r for r in tried if (r["min_size"], r["radius"]) == (2, 0.0))["n_clusters"] == clusters.count()
+
+
+@pytest.mark.parametrize("k, part", [(4, 16), (7, 256)])
+def test_neighbour_graph_and_weights(spark, k, part):
+    rng = np.random.default_rng(9)
+    v = np.vstack([rng.normal(0, 1, (60, 3)), rng.normal(8, 0.2, (40, 3))])
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(100, v[0].tolist())], "doc_id long, vector array<double>")
+    graph = neighbour_graph(df, k, part)
+    d = np.sqrt(((v[:, None] - v[None]) ** 2).sum(axis=2))
+    np.fill_diagonal(d, np.inf)
+    want = {(i, int(j), r + 1) for i in range(100) for r, j in enumerate(np.argsort(d[i])[:k])}
+    assert {(r["doc_id"], r["neighbour"], r["rank"]) for r in graph.collect()} == want
+    one = np.zeros((100, 100))
+    for i in range(100):
+        near = np.sort(d[i])[:k]
+        beyond, rates = near - near[0], np.geomspace(1e-6, 1e3, 200_000)
+        sums = np.exp(-beyond[:, None] / rates).sum(axis=0)
+        one[i, np.argsort(d[i])[:k]] = np.exp(-beyond / rates[np.abs(sums - np.log2(k)).argmin()])
+    both = one + one.T - one * one.T
+    got = {(r["x"], r["y"]): r["weight"] for r in fuzzy_weights(graph).collect()}
+    assert got.keys() == {(i, j) for i in range(100) for j in range(i + 1, 100) if both[i, j] > 0}
+    assert all(w == pytest.approx(both[p], abs=1e-3) for p, w in got.items())
