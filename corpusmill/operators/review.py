@@ -81,6 +81,33 @@ def remap(original: DataFrame, review: DataFrame) -> DataFrame:
     return went.filter("n = 1").select("from_cluster", "to_cluster")
 
 
+def changes(original: DataFrame, clusters: DataFrame, review: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(kind, cluster_id, paper_id, before, after): what a valid review changes, as a table.
+
+    ``original`` and ``review`` are (cluster_id, paper_id), ``clusters`` and ``blocks`` (cluster_id, label, description) before
+    and after. Kinds are moved, label, description, new, dropped, and remap where all that left a cluster went to one
+    other. An empty or missing label or description keeps the old one; papers, labels and texts are as strings.
+    """
+    text = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))
+    before = clusters.select("cluster_id", text("label").alias("_label"), text("description").alias("_told"), F.lit(True).alias("_old"))
+    after = blocks.select("cluster_id", text("label").alias("label_"), text("description").alias("told_"), F.lit(True).alias("_new"))
+    both = before.join(after, "cluster_id", "full_outer")
+    kept = F.col("_old") & F.col("_new")
+    row = lambda df, kind, paper=None, a=None, b=None: df.select(F.lit(kind).alias("kind"), F.col("cluster_id").cast("string").alias("cluster_id"), *[(F.lit(None) if c is None else c).cast("string").alias(n) for c, n in ((paper, "paper_id"), (a, "before"), (b, "after"))])
+    went = moves(original, review)
+    out = row(went.withColumn("cluster_id", F.col("to_cluster")), "moved", F.col("paper_id"), F.col("from_cluster"), F.col("to_cluster"))
+    out = out.unionByName(row(both.filter(kept & (F.col("label_") != "") & (F.col("label_") != F.col("_label"))), "label", None, F.col("_label"), F.col("label_")))
+    out = out.unionByName(row(both.filter(kept & (F.col("told_") != "") & (F.col("told_") != F.col("_told"))), "description", None, F.col("_told"), F.col("told_")))
+    out = out.unionByName(row(both.filter(F.col("_old").isNull()), "new")).unionByName(row(both.filter(F.col("_new").isNull()), "dropped"))
+    return out.unionByName(row(remap(original, review).withColumn("cluster_id", F.col("from_cluster")), "remap", None, F.col("from_cluster"), F.col("to_cluster")))
+
+
+def change_counts(changed: DataFrame) -> DataFrame:
+    """One row of ``changes``: how many of each kind, and whether terms and centroids must be made anew."""
+    n = lambda kind: F.count_if(F.col("kind") == kind)
+    return changed.agg(n("moved").alias("n_moved"), n("label").alias("n_labels"), n("description").alias("n_descriptions"), n("new").alias("n_new"), n("dropped").alias("n_dropped"), (n("moved") + n("new") + n("dropped") > 0).alias("recompute"))
+
+
 def applied_assignment(original: DataFrame, review: DataFrame) -> DataFrame:
     """The review's (cluster_id, paper_id), or an error with the first of what is wrong with it."""
     wrong = violations(original, review).orderBy("kind", "paper_id").limit(10).collect()

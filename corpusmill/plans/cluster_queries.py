@@ -81,7 +81,7 @@ def tuner_composite(spark, d):
 def seed_ablation(spark, d):
     """How labels hold when some vectors go."""
     v = vectors(spark, d)
-    rows = C.ablation(v, {"min_size": 2, "min_samples": 2, "radius": 0.0}, 0.1, v.filter("doc_id % 9 = 0").select("doc_id"), {"without 0 and 9": [0, 9]}, draws=1)
+    rows = C.ablation(v, {"min_size": 2, "min_samples": 2, "radius": 0.0}, 0.1, v.filter("doc_id % 9 = 0").select("doc_id"), {"without 0 and 9": [0, 9]})
     return spark.createDataFrame([tuple(r.values()) for r in rows], "scenario string, n_dropped int, ari double, core_survival double, n_core long, n_clusters int")
 
 
