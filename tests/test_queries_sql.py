@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from corpusmill.plans import batch_queries, cluster_queries, hierarchy_queries, more_queries, record_queries, retrieval_queries, text_queries, whole_table_queries  # noqa: F401
+from corpusmill.plans import batch_queries, cluster_queries, file_queries, hierarchy_queries, more_queries, record_queries, retrieval_queries, text_queries, whole_table_queries  # noqa: F401
 from corpusmill.plans.queries import QUERIES, SQL
 
 DATA = "/root/testdata/sf0.001"
