@@ -1,4 +1,4 @@
-"""Queries over files that are written from the tables and read again."""
+"""Queries over files that are written from the tables and read again."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from corpusmill.plans.queries import _p, query
 from corpusmill.sources import catalog as C
 from corpusmill.sources import export as E
 from corpusmill.sources.catalog import papers, vectors
+from corpusmill.streaming.pool import pool_key, run_to_end
 
 
 def _place(spark) -> str:
@@ -73,3 +74,16 @@ def latest_whole_run(spark, d):
     for stamp, some in (("20240101_000000", rows), ("20240102_000000", rows), ("20240103_000000", rows.filter("cluster_id % 2 = 0"))):
         E.write_run(some, path, stamp)
     return E.latest_run(spark.read.parquet(path), complete=True).select(F.col("cluster_id").cast("int").alias("cluster_id"), "paper_id", F.col("run_ts").cast("string").alias("run_ts"))
+
+
+@query("""WITH f AS (SELECT doc_id, lower(coalesce(CASE WHEN doc_id % 3 = 1 THEN '10.5555/D' || (doc_id // 7) END, split_part(text, chr(10), 1))) AS key, 1 + doc_id % 4 AS iteration FROM documents)
+ SELECT key, arg_min(doc_id, (iteration, doc_id)) AS doc_id, min(iteration) AS first_iteration, string_agg(DISTINCT iteration::VARCHAR, ',' ORDER BY iteration::VARCHAR) AS iterations, count(*) AS seen FROM f WHERE key <> '' GROUP BY key""")
+def streamed_pool(spark, d):
+    """The pool of all finds, kept up by a stream of files with state for each key."""
+    path = _place(spark)
+    key = pool_key(F.when(F.col("doc_id") % 3 == 1, F.concat(F.lit("10.5555/D"), F.floor(F.col("doc_id") / 7))), F.col("title"))
+    finds = papers(spark, d).select(key.alias("key"), "doc_id", (1 + F.col("doc_id") % 4).alias("iteration"), F.col("doc_id").alias("ord"))
+    finds.repartition(6, "doc_id").write.parquet(f"{path}/finds")
+    stream = spark.readStream.schema(finds.schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/finds")
+    rows = run_to_end(stream, f"{path}/pool", f"{path}/checkpoint")
+    return rows.withColumn("iterations", F.array_join(F.transform("iterations", lambda i: i.cast("string")), ","))
