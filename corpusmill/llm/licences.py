@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.functions.checkpointing import cut
+from corpusmill.functions.joins import bounded
 from corpusmill.llm.text import whole_text
 
 #: Equivalent spellings, each with the one that stays.
@@ -150,13 +152,19 @@ def _statements(within_lines: bool) -> list[str]:
     return [p.replace("~", apart) for p in (holder, line, r"(?<![\p{L}\p{N}])all~+rights~+reserved(?![\p{L}\p{N}])")]
 
 
+def _one_spelling(words: Column) -> Column:
+    """Words between blanks in one spelling each. Equal words in a row share their blanks, so a second turn takes those that the first had to leave."""
+    for other, one in SPELLINGS:
+        for _ in range(2):
+            words = F.replace(words, F.lit(f" {other} "), F.lit(f" {one} "))
+    return words
+
+
 def canonical(text: Column) -> Column:
     """The canonical form: words apart by one space."""
     out = F.regexp_replace(F.lower(text), COPYRIGHT, " ")
     out = F.concat(F.lit(" "), F.trim(F.regexp_replace(out, APART, " ")), F.lit(" "))
-    for other, one in SPELLINGS:
-        out = F.replace(out, F.lit(f" {other} "), F.lit(f" {one} "))
-    return F.trim(out)
+    return F.trim(_one_spelling(out))
 
 
 def digest(text: Column) -> Column:
@@ -178,9 +186,7 @@ def unwrapped(text: Column, within_lines: bool = False) -> Column:
     if within_lines:
         out = F.regexp_replace(out, r"[\x20]?\n[\x20]?", " \n ")
     out = F.concat(F.lit(" "), F.trim(out), F.lit(" "))
-    for other, one in SPELLINGS:
-        out = F.replace(out, F.lit(f" {other} "), F.lit(f" {one} "))
-    return F.trim(out)
+    return F.trim(_one_spelling(out))
 
 
 def known_digests(spark, known: list[tuple[str, str]] | None = None) -> DataFrame:
@@ -196,15 +202,18 @@ def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, digest, license_id of the whole text, n_notices, notices (ids in its lines).
 
     A missing text counts as empty and has neither; ``license_id`` is missing where the text is no known one, and
-    ``notices`` is empty where no line is. Repeated rows come out repeated. Only doc_id and text are read. ``known``
-    must stay a small table: it is broadcast.
+    ``notices`` is empty where no line is. Repeated rows come out repeated; a missing doc_id stays missing. Texts of any
+    length are read whole, and an empty table has no rows. Only doc_id and text are read. Whole texts are joined with the
+    known digests by hash, by both their forms; if there are at most ``ROWS`` of these they are broadcast. Lines are
+    looked up in a map of them, so ``known`` should be a table of licences, not of texts.
     """
-    known = known_digests(docs.sparkSession) if known is None else known
+    known = cut(known_digests(docs.sparkSession) if known is None else known)
     rows = docs.select("doc_id", whole_text().alias("_text"))
     lines = F.split(unwrapped(F.col("_text"), within_lines=True), "\n", -1)
     rows = rows.select("doc_id", digest(F.col("_text")).alias("digest"), F.sha2(unwrapped(F.col("_text")), 256).alias("_form"), lines.alias("_lines"))
+    whole, form = (bounded(known.select(F.col("digest").alias(c), F.col("license_id").alias(n))) for c, n in (("digest", "_whole"), ("_form", "_unwrapped")))
     table = known.groupBy(F.lit(1).alias("_one")).agg(F.map_from_entries(F.collect_list(F.struct("digest", "license_id"))).alias("_known"))
-    rows = rows.withColumn("_one", F.lit(1)).join(F.broadcast(table), "_one", "left").withColumn("license_id", F.coalesce(F.col("_known")[F.col("digest")], F.col("_known")[F.col("_form")]))
+    rows = rows.join(whole, "digest", "left").join(form, "_form", "left").withColumns({"_one": F.lit(1), "license_id": F.coalesce("_whole", "_unwrapped")}).join(F.broadcast(table), "_one", "left")
     found = F.filter(F.transform("_lines", lambda line: F.col("_known")[F.sha2(F.trim(line), 256)]), lambda x: x.isNotNull())
     rows = rows.withColumn("_found", found)
     return rows.select("doc_id", "digest", "license_id", F.size("_found").cast("long").alias("n_notices"), F.array_join(F.array_sort(F.array_distinct("_found")), ",").alias("notices"))
@@ -214,7 +223,8 @@ def _sql_canonical(text: str) -> str:
     out = f"regexp_replace(lower({text}), '{COPYRIGHT}', ' ', 'g')"
     out = f"' ' || trim(regexp_replace({out}, '{APART}', ' ', 'g')) || ' '"
     for other, one in SPELLINGS:
-        out = f"replace({out}, ' {other} ', ' {one} ')"
+        for _ in range(2):
+            out = f"replace({out}, ' {other} ', ' {one} ')"
     return f"trim({out})"
 
 

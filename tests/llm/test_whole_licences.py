@@ -27,3 +27,9 @@ def test_near_misses_and_lines(spark):
     got = {r["doc_id"]: (r["license_id"], r["notices"]) for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [got[k][0] for k in range(5)] == [None] * 5
     assert got[3][1] == "ISC" and got[4][1] == "MIT"
+
+
+def test_equal_words_in_a_row(spark):
+    rows = spark.createDataFrame([(0, "licence licence licence of a licence"), (1, "license license license of a license"), (None, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r["digest"] for r in licences.scan(rows).collect()}
+    assert got[0] == got[1] != got[None] and licences.scan(rows.limit(0)).count() == 0
