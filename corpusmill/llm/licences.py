@@ -153,18 +153,16 @@ def _statements(within_lines: bool) -> list[str]:
 
 
 def _one_spelling(words: Column) -> Column:
-    """Words between blanks in one spelling each. Equal words in a row share their blanks, so a second turn takes those that the first had to leave."""
+    """Words in one spelling each, apart by one blank; ``words`` are apart by two, so that no two share a blank and none is passed over."""
+    words = F.concat(F.lit(" "), F.trim(words), F.lit(" "))
     for other, one in SPELLINGS:
-        for _ in range(2):
-            words = F.replace(words, F.lit(f" {other} "), F.lit(f" {one} "))
-    return words
+        words = F.replace(words, F.lit(f" {other.replace(' ', '  ')} "), F.lit(f" {one} "))
+    return F.trim(F.replace(words, F.lit("  "), F.lit(" ")))
 
 
 def canonical(text: Column) -> Column:
     """The canonical form: words apart by one space."""
-    out = F.regexp_replace(F.lower(text), COPYRIGHT, " ")
-    out = F.concat(F.lit(" "), F.trim(F.regexp_replace(out, APART, " ")), F.lit(" "))
-    return F.trim(_one_spelling(out))
+    return _one_spelling(F.regexp_replace(F.regexp_replace(F.lower(text), COPYRIGHT, " "), APART, "  "))
 
 
 def digest(text: Column) -> Column:
@@ -182,11 +180,10 @@ def unwrapped(text: Column, within_lines: bool = False) -> Column:
         out = F.regexp_replace(out, pattern, " ")
     out = F.when(low.rlike(r"copyright|\(c\)|©|reserved"), out).otherwise(low)
     apart = APART.replace("]", r"\n]") if within_lines else APART
-    out = F.regexp_replace(out, apart, " ")
+    out = F.regexp_replace(out, apart, "  ")
     if within_lines:
-        out = F.regexp_replace(out, r"[\x20]?\n[\x20]?", " \n ")
-    out = F.concat(F.lit(" "), F.trim(out), F.lit(" "))
-    return F.trim(_one_spelling(out))
+        out = F.regexp_replace(out, r"[\x20]*\n[\x20]*", " \n ")
+    return _one_spelling(out)
 
 
 def known_digests(spark, known: list[tuple[str, str]] | None = None) -> DataFrame:
@@ -221,11 +218,10 @@ def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
 
 def _sql_canonical(text: str) -> str:
     out = f"regexp_replace(lower({text}), '{COPYRIGHT}', ' ', 'g')"
-    out = f"' ' || trim(regexp_replace({out}, '{APART}', ' ', 'g')) || ' '"
+    out = f"' ' || trim(regexp_replace({out}, '{APART}', '  ', 'g')) || ' '"
     for other, one in SPELLINGS:
-        for _ in range(2):
-            out = f"replace({out}, ' {other} ', ' {one} ')"
-    return f"trim({out})"
+        out = f"replace({out}, ' {other.replace(' ', '  ')} ', ' {one} ')"
+    return f"trim(replace({out}, '  ', ' '))"
 
 
 def sql(table: str = "documents", known: list[tuple[str, str]] = KNOWN) -> str:
