@@ -20,7 +20,7 @@ from corpusmill.functions.joins import bounded
 from corpusmill.functions.records import dot, unit
 from corpusmill.functions.terms import clean_terms, label
 from corpusmill.operators.graph import connected_components
-from corpusmill.operators.ranking import centroids
+from corpusmill.operators.ranking import CLUSTERS, centroids
 from corpusmill.operators.textscore import cluster_keyphrases, cluster_terms
 
 NOISE = -1
@@ -69,17 +69,25 @@ def density_labels(points: DataFrame, pairs: DataFrame, radius: float, min_sampl
 def silhouette(vectors: DataFrame) -> DataFrame:
     """One row: the mean silhouette by cosine distance of (cluster, vector), noise left out, from one sum for each cluster.
 
-    A cluster's sum vector travels to every task; nothing else is shuffled. Single members count 0.
+    The sum vectors travel to every task, in one row of at most ``CLUSTERS`` at a time. Single members count 0.
     """
     rows = vectors.filter(F.col("cluster") != NOISE).select("doc_id", "cluster", unit(F.col("vector")).alias("v"))
     cells = rows.select("cluster", F.posexplode("v").alias("k", "x")).groupBy("cluster", "k").agg(F.sum("x").alias("s"), F.count(F.lit(1)).alias("n"))
     sums = cells.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "s"))), lambda c: c["s"]).alias("sum"), F.max("n").alias("n"))
-    one = sums.agg(F.collect_list(F.struct("cluster", "sum", "n")).alias("_all"))
-    e = rows.crossJoin(F.broadcast(one)).select("cluster", F.transform("_all", lambda c: F.struct(c["cluster"].alias("c"), c["n"].alias("n"), dot(c["sum"], F.col("v")).alias("dot"))).alias("t"))  # one row
-    own = F.filter("t", lambda c: c["c"] == F.col("cluster"))[0]
-    a = F.when(own["n"] > 1, (own["n"] - own["dot"]) / (own["n"] - 1))
-    b = F.array_min(F.transform(F.filter("t", lambda c: c["c"] != F.col("cluster")), lambda c: 1 - c["dot"] / c["n"]))
-    return e.agg(F.avg(F.coalesce((b - a) / F.greatest(a, b), F.lit(0.0))).alias("silhouette"))
+    sums = cut(sums)
+    blocks, gaps = max(1, -(-sums.count() // CLUSTERS)), None
+    for k in range(blocks):  # so many sums at a time that they fit into a row
+        some = sums.filter(F.pmod(F.xxhash64("cluster"), F.lit(blocks)) == k) if blocks > 1 else sums
+        one = some.agg(F.collect_list(F.struct("cluster", "sum", "n")).alias("_all"))
+        e = rows.crossJoin(F.broadcast(one)).select("doc_id", "cluster", F.transform("_all", lambda c: F.struct(c["cluster"].alias("c"), c["n"].alias("n"), dot(c["sum"], F.col("v")).alias("dot"))).alias("t"))  # one row
+        own = F.get(F.filter("t", lambda c: c["c"] == F.col("cluster")), F.lit(0))
+        a = F.when(own["n"] > 1, (own["n"] - own["dot"]) / (own["n"] - 1))
+        b = F.array_min(F.transform(F.filter("t", lambda c: c["c"] != F.col("cluster")), lambda c: 1 - c["dot"] / c["n"]))
+        part = e.select("doc_id", "cluster", a.alias("a"), b.alias("b"))
+        gaps = part if gaps is None else gaps.unionByName(part)
+    if blocks > 1:
+        gaps = gaps.groupBy("doc_id", "cluster").agg(F.max("a").alias("a"), F.min("b").alias("b"))
+    return gaps.agg(F.avg(F.coalesce((F.col("b") - F.col("a")) / F.greatest("a", "b"), F.lit(0.0))).alias("silhouette"))
 
 
 def tightness(vectors: DataFrame) -> DataFrame:
@@ -178,6 +186,15 @@ def merged_clusters(vectors: DataFrame, threshold: float = 0.85) -> tuple[DataFr
     return names, vectors.sparkSession.createDataFrame(merges, f"cluster_a {kind}, cluster_b {kind}, similarity double")
 
 
+def topic_distances(centres: DataFrame) -> DataFrame:
+    """(a, b, distance), a < b, of centroids (cluster, centroid): one less their cosine, within 0 and 2; a zero one is at 1 from all others."""
+    rows = cut(centres.select("cluster", unit(F.col("centroid")).alias("v")))
+    other = bounded(rows.select(F.col("cluster").alias("b"), F.col("v").alias("w")))  # a row per cluster
+    cosine = F.when(F.forall("v", lambda x: x == 0) | F.forall("w", lambda x: x == 0), 0.0).otherwise(dot(F.col("v"), F.col("w")))
+    pairs = rows.withColumnRenamed("cluster", "a").join(other, F.col("a") < F.col("b"))
+    return pairs.select("a", "b", F.greatest(F.lit(0.0), F.least(F.lit(2.0), 1 - cosine)).alias("distance"))
+
+
 def described(members: DataFrame) -> DataFrame:
     """One row for each cluster of (cluster, doc_id, text): label, top_terms, top_phrases, paper_ids, representative_paper_ids, is_noise.
 

@@ -110,8 +110,7 @@ def silhouettes(vectors: DataFrame, labels: DataFrame) -> DataFrame:
     gaps = rows.join(bounded(other), key).select(*key, "doc_id", "cluster", "c", "n", dot(F.col("sum"), F.col("v")).alias("dot"))
     own = F.col("c") == F.col("cluster")
     near = gaps.groupBy(*key, "doc_id").agg(F.max(F.when(own & (F.col("n") > 1), (F.col("n") - F.col("dot")) / (F.col("n") - 1))).alias("a"), F.min(F.when(~own, 1 - F.col("dot") / F.col("n"))).alias("b"))
-    out = near.groupBy(*key).agg(F.avg(F.coalesce((F.col("b") - F.col("a")) / F.greatest("a", "b"), F.lit(0.0))).alias("silhouette"))
-    return out
+    return near.groupBy(*key).agg(F.avg(F.coalesce((F.col("b") - F.col("a")) / F.greatest("a", "b"), F.lit(0.0))).alias("silhouette"))
 
 
 def tune(vectors: DataFrame, grid: Grid, dimensions: int = 5) -> tuple[dict | None, list[dict]]:

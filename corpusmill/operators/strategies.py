@@ -145,6 +145,21 @@ def strategies(terms: list[str], context: Context = Context(), expand: Callable[
     ]
 
 
+def strategy_queries(terms: Column, title_phrases: Column, keywords: Column) -> Column:
+    """Q8: ``strategies`` of columns: an array of structs (strategy, query), for any number of clusters at once."""
+    any_of = lambda c: F.array_join(F.transform(c, lambda p: F.concat(F.lit('"'), p, F.lit('"'))), " OR ")
+    known = F.create_map(*[x for word, more in EXPANSIONS.items() for x in (F.lit(word), F.array(*map(F.lit, more)))])
+    related = lambda t: F.concat(F.array(t), F.coalesce(F.get(F.array(known[F.lower(t)]), F.lit(0)), F.expr("CAST(array() AS array<string>)")))
+    first = lambda c, n: F.slice(c, 1, n)
+    within = lambda before, inner, after: F.concat(F.lit(before), inner, F.lit(after))
+    plain = F.when(F.size(terms) > 5, F.concat(within("(", any_of(first(terms, 5)), ") AND "), within("(", any_of(F.slice(terms, 6, 2)), ")"))).otherwise(any_of(first(terms, 5)))
+    by_title = F.when(F.size(title_phrases) > 0, within("TITLE((", any_of(title_phrases), ")) AND ")).otherwise("")
+    groups = F.array_join(F.transform(first(terms, 3), lambda t: within("(", any_of(first(related(t), 3)), ")")), " AND ")
+    blended = F.array_join(F.concat(first(terms, 3), first(keywords, 2)), " OR ")
+    queries = [within("TITLE-ABS-KEY(", plain, ")"), F.concat(by_title, within("TITLE-ABS-KEY((", any_of(first(terms, 4)), "))")), within("TITLE-ABS-KEY(", groups, ")"), within("TITLE-ABS-KEY((", blended, "))")]
+    return F.array(*[F.struct(F.lit(f"strategy_{k}").alias("strategy"), q.alias("query")) for k, q in enumerate(queries)])
+
+
 def execute(catalog: DataFrame, plans: list[Strategy], reference: int, window: int = 5, per_year: int = 75, subjects: list[str] = ()) -> DataFrame:
     """(strategy, doc_id, doi, title, ord, hits, over_broad): of each strategy the most cited of each year, ranked by year.
 

@@ -226,10 +226,7 @@ def topic_tree_text(spark, d):
 @query(f"WITH {_CENTROIDS} SELECT a.cluster AS a, b.cluster AS b, round(1 - list_cosine_similarity(a.centroid, b.centroid), 6) AS distance FROM centroids a JOIN centroids b ON a.cluster < b.cluster")
 def topic_distances(spark, d):
     """Cosine distances of topics."""
-    rows = K.centroids(vectors(spark, d)).orderBy("cluster").collect()  # a row per cluster
-    between = tree.cosine_distances(np.array([r["centroid"] for r in rows]))
-    pairs = [(rows[i]["cluster"], rows[j]["cluster"], round(float(between[i][j]), 6)) for i in range(len(rows)) for j in range(i + 1, len(rows))]
-    return spark.createDataFrame(pairs, "a int, b int, distance double")
+    return C.topic_distances(K.centroids(vectors(spark, d))).select("a", "b", F.round("distance", 6).alias("distance"))
 
 
 def _reviewed(spark, d):

@@ -1,4 +1,4 @@
-"""Queries over whole tables for operators that others only show on a few values."""
+"""Queries over whole tables for operators that others only show on a few values."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import terms as T
 from corpusmill.operators import review as V
+from corpusmill.operators import strategies as S
 from corpusmill.operators.authors import name_key
 from corpusmill.plans.queries import query
 from corpusmill.sources.catalog import vectors
@@ -42,6 +43,46 @@ def umbrella_words(spark, d):
     return rows.groupBy(T.is_umbrella(F.col("phrase")).alias("umbrella")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _worded(spark, d):
+    """(doc_id, w): the words of four letters or more of each text that has eight."""
+    w = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0)).alias("w")
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", w).filter(F.size("w") > 7)
+
+
+_WORDED = f"w AS (SELECT * FROM (SELECT doc_id, {_WORDS} AS w FROM documents) WHERE len(w) > 7)"
+
+
+@query(f"""WITH {_WORDED}, p AS (SELECT doc_id, [w[1] || ' ' || w[2], upper(w[3]), CASE WHEN w[1] <> w[3] THEN w[1] END] AS p FROM w)
+ SELECT doc_id, array_to_string(list_filter(p, lambda x: x IS NOT NULL AND lower(x) NOT IN ({_UMBRELLA})), '|') AS phrases FROM p""")
+def widened_blocks(spark, d):
+    """Q3: what queries that find nothing are widened by: no clauses, no umbrella terms, each once whatever its case."""
+    w = lambda k: F.get("w", F.lit(k))
+    concepts, terms = F.array(F.concat_ws(" ", w(0), w(1)), F.lit("Machine Learning"), F.concat(F.lit("x, "), w(0))), F.array(F.upper(w(2)), w(2), w(0))
+    return _worded(spark, d).select("doc_id", F.array_join(S.widening(concepts, terms), "|").alias("phrases"))
+
+
+_Q = "list_transform({0}, lambda x: '\"' || x || '\"')"
+
+
+def _any(items: str) -> str:
+    return "array_to_string(" + _Q.format(items) + ", ' OR ')"
+
+
+@query(f"""WITH {_WORDED}, t AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN list_prepend('Agents', w[1:6]) ELSE w[1:4] END AS t, CASE WHEN doc_id % 2 = 0 THEN w[7:8] ELSE [] END AS n, w[5:7] AS k FROM w),
+ g AS (SELECT *, list_transform(t[1:3], lambda x: '(' || CASE WHEN x = 'Agents' THEN '"Agents" OR "autonomous agents" OR "AI agents"' WHEN x = 'agents' THEN '"agents" OR "autonomous agents" OR "AI agents"' WHEN x = 'systems' THEN '"systems" OR "systems" OR "agent systems"'
+  WHEN x = 'clinical' THEN '"clinical" OR "clinical" OR "healthcare"' WHEN x = 'agentic' THEN '"agentic" OR "autonomous" OR "agent-based"' WHEN x = 'generative' THEN '"generative" OR "generative" OR "generative models"' WHEN x = 'genai' THEN '"genai" OR "generative AI" OR "generative models"'
+  WHEN x = 'chatgpt' THEN '"chatgpt" OR "chatgpt" OR "GPT"' ELSE '"' || x || '"' END || ')') AS g FROM t)
+ SELECT doc_id, unnest(['strategy_0', 'strategy_1', 'strategy_2', 'strategy_3']) AS strategy, unnest(['TITLE-ABS-KEY(' || CASE WHEN len(t) > 5 THEN '(' || {_any('t[1:5]')} || ') AND (' || {_any('t[6:7]')} || ')' ELSE {_any('t[1:5]')} END || ')',
+  CASE WHEN len(n) > 0 THEN 'TITLE((' || {_any('n')} || ')) AND ' ELSE '' END || 'TITLE-ABS-KEY((' || {_any('t[1:4]')} || '))', 'TITLE-ABS-KEY(' || array_to_string(g, ' AND ') || ')', 'TITLE-ABS-KEY((' || array_to_string(list_concat(t[1:3], k[1:2]), ' OR ') || '))']) AS query FROM g""")
+def strategy_texts(spark, d):
+    """Q8: the four queries of the first words of every text, as columns."""
+    k = F.col("doc_id")
+    terms = F.when(k % 3 == 0, F.concat(F.array(F.lit("Agents")), F.slice("w", 1, 6))).otherwise(F.slice("w", 1, 4))
+    titles = F.when(k % 2 == 0, F.slice("w", 7, 2)).otherwise(F.expr("CAST(array() AS array<string>)"))
+    rows = _worded(spark, d).select("doc_id", terms.alias("t"), titles.alias("n"), F.slice("w", 5, 3).alias("k"))
+    return rows.select("doc_id", F.explode(S.strategy_queries(F.col("t"), F.col("n"), F.col("k"))).alias("s")).select("doc_id", "s.*")
+
+
 def _reviewed(spark, d):
     """Clusters of vectors, and a review that moves every seventh paper, empties cluster 3 into 4, and renames every other cluster."""
     original = vectors(spark, d).select(F.col("cluster").alias("cluster_id"), F.col("doc_id").alias("paper_id"))

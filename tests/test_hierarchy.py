@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from corpusmill.operators import clustering
 from corpusmill.operators import hierarchy as H
 from corpusmill.operators.clustering import Grid, reduced, silhouette
 from corpusmill.operators.spanning_tree import fuzzy_weights, mutual_reachability_tree, neighbour_graph
@@ -148,3 +149,10 @@ def test_neighbour_graph_and_weights(spark, k, part):
     got = {(r["x"], r["y"]): r["weight"] for r in fuzzy_weights(graph).collect()}
     assert got.keys() == {(i, j) for i in range(100) for j in range(i + 1, 100) if both[i, j] > 0}
     assert all(w == pytest.approx(both[p], abs=1e-3) for p, w in got.items())
+
+
+def test_silhouette_in_blocks(spark, monkeypatch):
+    rows = vectors(spark, "/root/testdata/sf0.001")
+    want = silhouette(rows).first()[0]
+    monkeypatch.setattr(clustering, "CLUSTERS", 3)
+    assert silhouette(rows).first()[0] == pytest.approx(want)

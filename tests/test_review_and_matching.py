@@ -4,10 +4,11 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corpusmill.functions import actions
 from corpusmill.functions.fuzzy import token_sort_ratio
-from corpusmill.operators import matching, review, tree
+from corpusmill.operators import matching, review, strategies, tree
 from corpusmill.operators.authors import collapse
 from corpusmill.operators.matching import resolve_in_catalog
 from corpusmill.sources import export
@@ -157,3 +158,21 @@ def test_exports(spark, tmp_path):
     with pytest.raises(ValueError):
         export.freeze(spark, str(tmp_path / "r"), str(tmp_path / "f"), "1999")
     assert '"cluster_id": 1' in export.to_json_text(rows.limit(1))
+
+
+def test_strategies_as_columns(spark):
+    cases = [(["alpha", "Agents", "beta", "gamma", "delta", "eps", "zeta", "eta"], ["on trust"], ["k1", "k2", "k3"]), (["alpha"], [], []), (["systems", "clinical"], ["a", "b"], ["k"]), (["a", "b", "c", "d", "e"], [], ["k"])]
+    rows = spark.createDataFrame([(k, *c) for k, c in enumerate(cases)], "k int, t array<string>, n array<string>, w array<string>")
+    got = {r["k"]: [(s["strategy"], s["query"]) for s in r["s"]] for r in rows.select("k", strategies.strategy_queries(F.col("t"), F.col("n"), F.col("w")).alias("s")).collect()}
+    assert got == {k: [(p.strategy_id, p.query) for p in strategies.strategies(t, strategies.Context(n, w))] for k, (t, n, w) in enumerate(cases)}
+
+
+def test_review_changes_as_tables(spark):
+    blocks = "cluster_id int, label string, description string"
+    original, edited = table(spark, BASE), table(spark, [(100 if c == -1 else c, p) for c, p in BASE])
+    before = spark.createDataFrame([(-1, "Noise", None), (0, "Zero", None), (1, "One", "told")], blocks)
+    after = spark.createDataFrame([(100, "", None), (0, " Zero ", ""), (1, "New", "told more")], blocks)
+    got = {(r["kind"], r["cluster_id"], r["paper_id"], r["before"], r["after"]) for r in review.changes(original, before, edited, after).collect()}
+    moved = {("moved", "100", p, "-1", "100") for c, p in BASE if c == -1}
+    assert got == moved | {("new", "100", None, None, None), ("dropped", "-1", None, None, None), ("label", "1", None, "One", "New"), ("description", "1", None, "told", "told more"), ("remap", "-1", None, "-1", "100")}
+    assert tuple(review.change_counts(review.changes(original, before, original, before)).first()) == (0, 0, 0, 0, 0, False)
