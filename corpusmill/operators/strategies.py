@@ -52,12 +52,12 @@ def search(catalog: DataFrame, query: str, most: int, per_page: int = 25, year:
     return top.withColumn("page", F.floor(at / per_page).cast("int"))
 
 
-def guarded_search(catalog: DataFrame, query: str, most: int = 30, largest: int = 5000) -> tuple[DataFrame, int, bool]:
-    """The first ``most`` hits by id, the number of hits, and whether there are too many: then there are no rows."""
+def guarded_search(catalog: DataFrame, query: str, most: int = 30, largest: int = 5000, none: bool = True) -> tuple[DataFrame, int, bool]:
+    """The first ``most`` hits by id, the number of hits, and whether there are too many: then there are no rows, unless ``none`` is off."""
     hits = catalog.filter(Q.compile_query(query))
     total = hits.count()
     too_many = total > largest
-    return hits.limit(0) if too_many else hits.orderBy("doc_id").limit(most), total, too_many
+    return hits.limit(0) if too_many and none else hits.orderBy("doc_id").limit(most), total, too_many
 
 
 def work_types_of(seeds: DataFrame) -> DataFrame:

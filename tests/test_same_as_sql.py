@@ -26,3 +26,8 @@ def _documents(spark, texts: dict[int, str]):
 
 def test_arxiv_answers_of_six_digits(spark, tmp_path):
     _same(spark, tmp_path, "arxiv_answers", "documents", _documents(spark, {7: "x", 99_999: "x", 123_456: "x"}))
+
+
+def test_guarded_search_of_too_many_hits(spark, tmp_path):
+    rows = spark.range(100_050).select(F.col("id").alias("doc_id"), F.lit("the and more").alias("text"), F.lit("en").alias("lang"), F.lit("src1").alias("source"))
+    _same(spark, tmp_path, "guarded_search", "documents", rows)
