@@ -76,16 +76,18 @@ def single_text_keyphrases(docs: DataFrame, keys: list[str], text: str = "text",
     return top.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "term"))), lambda s: s["term"]).alias("keyphrases"))
 
 
-def synthesised_keywords(papers: DataFrame, threshold: int = 10, most: int = 10) -> DataFrame:
+def synthesised_keywords(papers: DataFrame, threshold: int = 10, most: int = 10, fill: bool = True) -> DataFrame:
     """Papers with an abstract and more than ``threshold`` keywords get ``most`` keyphrases of title, abstract and keywords instead.
 
-    Where the text has fewer, the own keywords fill up. Papers are known by paper_id.
+    Where the text has fewer, the own keywords fill up; without ``fill`` they never do. Papers are known by paper_id.
     """
-    wide = papers.filter((F.size("keywords") > threshold) & (F.col("abstract") != "")).select("paper_id", F.concat_ws("\n", F.col("title"), F.col("abstract"), F.array_join("keywords", " ")).alias("text"))
+    many = (F.size("keywords") > threshold) & (F.col("abstract") != "")
+    wide = papers.filter(many).select("paper_id", F.concat_ws("\n", F.col("title"), F.col("abstract"), F.array_join("keywords", " ")).alias("text"))
     found = single_text_keyphrases(wide, ["paper_id"], most=most)
     both = papers.join(found, "paper_id", "left")
     filled = F.slice(F.array_union("keyphrases", "keywords"), 1, most)
-    return both.withColumn("keywords", F.when(F.col("keyphrases").isNotNull(), filled).otherwise(F.col("keywords"))).select(*papers.columns)
+    new = F.when(F.col("keyphrases").isNotNull(), filled).otherwise(F.col("keywords")) if fill else F.when(many, F.col("keyphrases")).otherwise(F.col("keywords"))
+    return both.withColumn("keywords", new).select(*papers.columns)
 
 
 def substantive_keywords(papers: DataFrame, least: int = 5, most: int = 8) -> DataFrame:

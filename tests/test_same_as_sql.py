@@ -38,3 +38,8 @@ _POOR = {1: "12 34 56 12 34 56 " * 10, 15: "the and of " * 20, 29: "models of tr
 
 def test_keyword_cascade_of_texts_without_usable_terms(spark, tmp_path):
     _same(spark, tmp_path, "keyword_cascade", "documents", _documents(spark, _POOR))
+
+
+def test_keyword_synthesis_of_short_texts(spark, tmp_path):
+    texts = {9: "models of trust", 11850: "one doi work", 12: "a b c d e f g h i j k l", 27: "de que de x y z a b c d e f g", 13: "many words of many works " * 9}
+    _same(spark, tmp_path, "keyword_synthesis", "documents", _documents(spark, texts))
