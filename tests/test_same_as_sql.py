@@ -33,7 +33,9 @@ def test_guarded_search_of_too_many_hits(spark, tmp_path):
     _same(spark, tmp_path, "guarded_search", "documents", rows)
 
 
-_POOR = {1: "12 34 56 12 34 56 " * 10, 15: "the and of " * 20, 29: "models of trust " * 10, 43: "ab cd " * 30}
+_SHORT = "er st nd ou ti es ha en le ri po".split()
+#: The ten commonest terms are words of two letters; only stop words; ordinary.
+_POOR = {29: " ".join(_SHORT[i * k % 11] for k in range(1, 11) for i in range(11)), 57: "the and of " * 20, 85: "models of trust " * 10}
 
 
 def test_keyword_cascade_of_texts_without_usable_terms(spark, tmp_path):
@@ -41,12 +43,12 @@ def test_keyword_cascade_of_texts_without_usable_terms(spark, tmp_path):
 
 
 def test_keyword_synthesis_of_short_texts(spark, tmp_path):
-    texts = {9: "models of trust", 11850: "one doi work", 12: "a b c d e f g h i j k l", 27: "de que de x y z a b c d e f g", 13: "many words of many works " * 9}
+    texts = {20: "A " * 20 + "en works", 27: "a " * 30, 48: "De De De De De De De De De De De De De que que que", 76: "some ordinary title"}
     _same(spark, tmp_path, "keyword_synthesis", "documents", _documents(spark, texts))
 
 
 def test_merge_from_registry_of_empty_keywords(spark, tmp_path):
-    texts = {17 * 5: "ab  cd  ef  gh  ij  kl  mn  op  qr  st", 17 * 6: "   ab  cd  ef  gh  ij  kl  mn  op", 17 * 13: "ab  cd ef   gh  ij  kl  mn  op   "}
+    texts = {34: "Ani | tho | in | th | an | the | hee | won | or", 153: " | Ani | tho | in | th | an | the | hee | won", 272: "a b c d e f g h i j k l m n"}
     _same(spark, tmp_path, "merge_from_registry", "documents", _documents(spark, texts))
 
 
