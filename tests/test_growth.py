@@ -2,6 +2,9 @@
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
+from corpusmill.operators.similar import alike
 from corpusmill.operators.spanning_tree import neighbour_graph
 
 
@@ -22,3 +25,10 @@ def test_neighbour_graph_sends_a_part_once_to_each_piece(spark):
         return _shuffled(spark) - before
 
     assert sent(3_000) < 6 * sent(1_000)
+
+
+def test_alike_sends_strings_without_their_counts(spark):
+    rows = spark.range(6_000).select("id", F.concat(F.md5(F.col("id").cast("string")), F.md5(F.concat("id", F.lit("x")))).alias("s"))
+    before = _shuffled(spark)
+    assert alike(rows, None, 0.9).count() == 0
+    assert _shuffled(spark) - before < 12 * 6_000 * 64
