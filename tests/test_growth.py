@@ -1,11 +1,14 @@
 """What is shuffled grows with the rows, not with their pairs."""
 
+import time
+
 import numpy as np
 
 from pyspark.sql import functions as F
 
 from corpusmill.operators.similar import alike
 from corpusmill.operators.spanning_tree import neighbour_graph
+from corpusmill.plans import ingest
 
 
 def _shuffled(spark) -> int:
@@ -32,3 +35,13 @@ def test_alike_sends_strings_without_their_counts(spark):
     before = _shuffled(spark)
     assert alike(rows, None, 0.9).count() == 0
     assert _shuffled(spark) - before < 12 * 6_000 * 64
+
+
+def test_chapters_take_words_from_a_text_once(spark):
+    text = " ".join(f"w{i * 7919 % 9973}" for i in range(12_000))
+    papers = spark.createDataFrame([(f"p{k}", None, "Big book", [], text, "/x/9783161484100.pdf") for k in range(8)], "paper_id string, doi string, title string, keywords array<string>, abstract string, pdf_path string")
+    chapters = spark.createDataFrame([("9783161484100", f"10.1/b_{k}", "Some w0 w7919 w5865 other") for k in (2, 1)], "isbn string, doi string, title string")
+    start = time.monotonic()
+    got = {(r["paper_id"], r["found"]["doi"], round(r["score"], 9)) for r in ingest.chapter_matches(papers, chapters).collect()}
+    assert got == {(f"p{k}", "10.1/b_1", round(1 / 3, 9)) for k in range(8)}
+    assert time.monotonic() - start < 40
