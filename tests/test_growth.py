@@ -1,12 +1,16 @@
 """What is shuffled grows with the rows, not with their pairs."""
 
+import random
 import time
 
 import numpy as np
 
 from pyspark.sql import functions as F
 
-from corpusmill.operators.similar import alike
+from corpusmill.functions.fuzzy import indel_ratio
+from corpusmill.operators import similar
+from corpusmill.operators.matching import resolve_in_catalog
+from corpusmill.operators.similar import Doubles, Written, alike
 from corpusmill.operators.spanning_tree import neighbour_graph
 from corpusmill.plans import ingest
 
@@ -45,3 +49,25 @@ def test_chapters_take_words_from_a_text_once(spark):
     got = {(r["paper_id"], r["found"]["doi"], round(r["score"], 9)) for r in ingest.chapter_matches(papers, chapters).collect()}
     assert got == {(f"p{k}", "10.1/b_1", round(1 / 3, 9)) for k in range(8)}
     assert time.monotonic() - start < 40
+
+
+def test_runs_of_two_bound_what_words_of_64_bits_score(monkeypatch):
+    monkeypatch.setattr(similar, "_ONE_BY_ONE", 0)
+    rng = random.Random(1)
+    for trial in range(60):
+        letters = ("ab", "abcdef ", "äöü€𝄞 abc")[trial % 3]
+        a, *others = ("".join(rng.choices(letters, k=rng.choice([1, 3, 20, 63, 64, 65, 128, 130, 200]))) for _ in range(9))
+        want, sizes = np.array([indel_ratio(a, b) for b in others]), np.array([len(a) + len(b) for b in others])
+        some = np.array(rng.sample(range(8), 5))
+        assert list(Written(others).ratios(a, some)) == list(want[some])
+        assert (Doubles([a]).apart(Doubles(others))[0] <= (1 - want) * sizes + 1e-3).all()
+
+
+def test_catalog_search_does_not_score_all_pairs(spark):
+    digest = "concat(md5(CAST(id AS string)), ' ', md5(concat(id, 'x')))"
+    rows = spark.range(4_000).selectExpr("id AS doc_id", "CAST(NULL AS string) AS doi", f"{digest} AS title")
+    catalog = rows.withColumn("title", F.concat(F.substring("title", 1, 22), F.lit("zzzzzzzzzz"), F.substring("title", 33, 40)))
+    start = time.monotonic()
+    got = resolve_in_catalog(rows, catalog).agg(F.count_if(F.expr("doc_id = match_id AND method = 'fuzzy'")), F.count(F.lit(1))).first()
+    assert tuple(got) == (4_000, 4_000)
+    assert time.monotonic() - start < 60
