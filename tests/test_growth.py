@@ -7,7 +7,7 @@ import numpy as np
 
 from pyspark.sql import functions as F
 
-from corpusmill.functions.fuzzy import indel_ratio
+from corpusmill.functions.fuzzy import indel_ratio, token_set_ratio
 from corpusmill.operators import similar
 from corpusmill.operators.matching import resolve_in_catalog
 from corpusmill.operators.similar import Doubles, Written, alike
@@ -71,3 +71,21 @@ def test_catalog_search_does_not_score_all_pairs(spark):
     got = resolve_in_catalog(rows, catalog).agg(F.count_if(F.expr("doc_id = match_id AND method = 'fuzzy'")), F.count(F.lit(1))).first()
     assert tuple(got) == (4_000, 4_000)
     assert time.monotonic() - start < 60
+
+
+def test_token_sets_find_misspelt_words_in_another_order(spark):
+    rows = [(1, "azzzzzzzzzzzz mm"), (2, "zzzzzzzzzzzz mm"), *[(k, f"mm {'qwertyuiopas'[k % 10:]}{k}") for k in range(10, 40)]]
+    df = spark.createDataFrame(rows, "id long, s string")
+    got = {(r["x"], r["y"]): r["score"] for r in similar.token_set_alike(df, df, 0.8).collect()}
+    want = {(i, j): v for i, a in rows for j, b in rows if (v := token_set_ratio(a, b)) >= 0.8}
+    assert got == want and (1, 2) in got
+
+
+def test_token_sets_of_a_block_are_those_one_by_one(monkeypatch):
+    monkeypatch.setattr(similar, "_FEW", 2)
+    rng, words = random.Random(3), ["trust", "market", "agents", "model", "études", "of", "in", "a", "language", "intermediation", "review"]
+    text = lambda: " ".join((w[:-1] + rng.choice("xyz")) if rng.random() < 0.2 else w for w in rng.choices(words, k=rng.randrange(25)))
+    for t in (0.5, 0.8, 0.95):
+        left, right = ([{"id": k, "s": text()} for k in range(n)] for n in (60, 70))
+        want = {(a["id"], b["id"]): v for a in left for b in right if a["s"] and b["s"] and (v := token_set_ratio(a["s"], b["s"])) >= t}
+        assert {(x, y): v for x, y, v in similar._set_ratios(left, right, t)} == want and want
