@@ -12,7 +12,7 @@ from corpusmill.operators import similar
 from corpusmill.operators.matching import resolve_in_catalog
 from corpusmill.operators.similar import Doubles, Written, alike
 from corpusmill.operators.spanning_tree import neighbour_graph
-from corpusmill.plans import ingest
+from corpusmill.plans import ingest, retrieval_queries
 
 
 def _shuffled(spark) -> int:
@@ -89,3 +89,13 @@ def test_token_sets_of_a_block_are_those_one_by_one(monkeypatch):
         left, right = ([{"id": k, "s": text()} for k in range(n)] for n in (60, 70))
         want = {(a["id"], b["id"]): v for a in left for b in right if a["s"] and b["s"] and (v := token_set_ratio(a["s"], b["s"])) >= t}
         assert {(x, y): v for x, y, v in similar._set_ratios(left, right, t)} == want and want
+
+
+def test_ingest_steps_read_what_the_one_before_has_written(spark, monkeypatch):
+    monkeypatch.setattr(ingest, "without_duplicates", lambda papers: papers)
+    d = "/root/testdata/sf0.001"
+    raw = retrieval_queries._raw(spark, d).limit(20)
+    titles = raw.select("paper_id", F.concat(F.lit("Registered "), "paper_id").alias("title"), F.lit(None).cast("string").alias("doi"), F.lit(95.0).alias("confidence"))
+    out = ingest.ingest(raw, ingest.Sources(titles=[("crossref_title_search", titles)], index=retrieval_queries._index(spark, d).drop("doc_id")))
+    assert out._jdf.queryExecution().analyzed().collectLeaves().size() == 1
+    assert out.count() == 20
