@@ -156,3 +156,42 @@ def test_silhouette_in_blocks(spark, monkeypatch):
     want = silhouette(rows).first()[0]
     monkeypatch.setattr(clustering, "CLUSTERS", 3)
     assert silhouette(rows).first()[0] == pytest.approx(want)
+
+
+@pytest.mark.parametrize("block, most", [(16, 250_000), (16, 50), (8_192, 250_000)])
+def test_tree_by_blocks_is_the_tree_of_all_pairs(spark, block, most):
+    rng = np.random.default_rng(8)
+    v = np.concatenate([rng.integers(0, 4, (150, 3)).astype(float), rng.normal(size=(60, 3))])  # a grid has very many equal distances
+    ids = rng.permutation(1_000)[:len(v)].tolist()
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in zip(ids, v)], "doc_id long, vector array<double>")
+    got = {(round(r["d"], 9), r["x"], r["y"]) for r in mutual_reachability_tree(df, 3, part=16, block=block, most=most).collect()}
+    by_id = sorted(zip(ids, v.tolist()))
+    first = {}
+    for i, x in by_id:
+        first.setdefault(tuple(x), i)
+    d = np.sqrt(((np.array([x for _, x in by_id])[:, None] - np.array([x for _, x in by_id])[None]) ** 2).sum(axis=2))
+    core = {i: float(np.sort(d[k])[3]) for k, (i, _) in enumerate(by_id)}
+    one = [k for k, (i, x) in enumerate(by_id) if first[tuple(x)] == i]
+    edges = sorted((max(d[a, b], core[by_id[a][0]], core[by_id[b][0]]), by_id[a][0], by_id[b][0]) for a in one for b in one if a < b)
+    root = {by_id[k][0]: by_id[k][0] for k in one}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    want = {(round(core[i], 9), *sorted((i, first[tuple(x)]))) for i, x in by_id if first[tuple(x)] != i}
+    for e in edges:
+        if find(e[1]) != find(e[2]):
+            root[find(e[1])] = find(e[2])
+            want.add((round(float(e[0]), 9), e[1], e[2]))
+    assert got == want
+
+
+def test_tree_takes_few_jobs(spark):
+    v = np.random.default_rng(4).normal(size=(400, 5))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "doc_id long, vector array<double>")
+    store = spark.sparkContext._jsc.sc().statusStore()
+    before = store.jobsList(None).size()
+    assert mutual_reachability_tree(df, 2).count() == 399
+    assert store.jobsList(None).size() - before < 60
