@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.functions.checkpointing import cut
 from corpusmill.operators import query_batch as B
 from corpusmill.plans.queries import REFERENCE, _p, query
 from corpusmill.plans.retrieve_all import RefineAll
@@ -43,7 +44,7 @@ def query_batch_counts(spark, d):
 def loop_of_all(spark, d) -> RefineAll:
     """Every cluster of vectors, with the good documents among its members as seeds."""
     v = vectors(spark, d)
-    catalog = papers(spark, d).withColumn("text", F.col("abstract")).join(v.select("doc_id", "vector"), "doc_id")
+    catalog = cut(papers(spark, d).join(v.select("doc_id", "vector"), "doc_id").withColumn("text", F.col("abstract")))
     good = spark.read.parquet(f"{d}/labels.parquet").filter("quality = 1").select("doc_id")
     seeds = catalog.join(good, "doc_id", "left_semi").join(v.select("doc_id", "cluster"), "doc_id").filter("title <> ''")
     words = F.array(*[F.array(*map(F.lit, p)) for p in (["the and", "tion that"], ["des les", "und der"], ["que los", "edonre"])])

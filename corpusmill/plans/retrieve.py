@@ -5,12 +5,13 @@ Only one row of figures for each iteration comes to the driver. The pool is a ta
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.functions.checkpointing import cut, drop
+from corpusmill.functions.checkpointing import cut, drop, kept
+from corpusmill.functions.joins import bounded
 from corpusmill.operators import query_language as Q
 from corpusmill.operators.ranking import coverage, rank_candidates
 from corpusmill.operators.strategies import Strategy, execute, widening, with_subjects, work_types_of
@@ -22,6 +23,8 @@ from corpusmill.plans.stop_policy import Metrics, StopPolicy
 class RefineLoop:
     """``catalog`` is (doc_id, doi, title, abstract, year, citations, subject, venue, text, vector), ``seeds`` (doc_id, doi, title, text, vector).
 
+    Both are read in every round, so they are written down first, unless they are tables that ``cut`` has made.
+
     ``phrases`` are the cluster's keyphrases, ``concepts`` what its brief adds to scores and, where a query finds
     nothing, to the query. Seeds are no candidates unless ``keep_seeds``.
     """
@@ -49,17 +52,25 @@ class RefineLoop:
         shared = listed(shared_phrases(own.select("cluster", "doc_id", "text")), "phrases")
         return listed(or_phrases(titles, top), "phrases"), kinds, [p for p in shared if p not in {k.lower() for k in kinds}]
 
-    def ranked(self, pool: DataFrame, query: str) -> DataFrame:
-        spark = self.catalog.sparkSession
+    def middle(self) -> DataFrame:
+        """One row: the mean vector of the seeds."""
         cells = self.seeds.select(F.posexplode("vector").alias("k", "v")).groupBy("k").agg(F.avg(F.col("v").cast("double")).alias("m"))
-        middle = cells.agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "m"))), lambda s: s["m"]).alias("vector"))
+        return cut(cells.agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "m"))), lambda s: s["m"]).alias("vector")))
+
+    def ranked(self, pool: DataFrame, query: str, middle: DataFrame) -> DataFrame:
+        spark = self.catalog.sparkSession
         about = spark.createDataFrame([(0, " ".join([query, *self.concepts]), self.concepts or self.phrases, [])], "cluster int, query string, phrases array<string>, work_types array<string>")
-        rows = pool.select("doc_id").join(self.catalog.select("doc_id", "text", "vector", "year", "citations"), "doc_id").withColumn("cluster", F.lit(0))
+        rows = cut(bounded(pool.select("doc_id")).join(self.catalog.select("doc_id", "text", "vector", "year", "citations"), "doc_id").withColumn("cluster", F.lit(0)))
         return rank_candidates(rows, about.crossJoin(middle), self.seeds.select(F.lit(0).alias("cluster"), "doc_id", "vector"), self.reference)  # one row each
 
     def run(self) -> tuple[DataFrame, DataFrame]:
         """((iteration, query, recall, precision, focus, n_results, hits, best, stop_reason), the best iteration's pool, ranked)."""
+        return replace(self, catalog=kept(self.catalog), seeds=kept(self.seeds))._rounds()
+
+    def _rounds(self) -> tuple[DataFrame, DataFrame]:
         spark = self.catalog.sparkSession
+        middle, dois = self.middle(), cut(self.seeds.select("doi").filter("doi IS NOT NULL"))
+        probed = cut(self.catalog.join(bounded(dois.distinct()), "doi", "left_semi"))
         any_of, kinds, shared = self.parts()
         constraints: list[str] = []
         waiting, used = list(shared), set()
@@ -78,10 +89,10 @@ class RefineLoop:
             new = cut(new)
             drop(pool)
             pool = new
-            ranked = self.ranked(pool, text)
+            ranked = self.ranked(pool, text, middle)
             best = ranked.filter(F.col("rank") <= self.top).agg(F.coalesce(F.avg("final"), F.lit(0.0)).alias("precision"), F.coalesce(F.avg("concept"), F.lit(0.0)).alias("focus"))
             counts = found.agg(F.coalesce(F.max("hits"), F.lit(0)).alias("hits"), F.count(F.lit(1)).alias("now"))
-            seen = coverage(self.seeds.select("doi").filter("doi IS NOT NULL"), self.catalog, Q.compile_query(text)).select(F.col("recall_probeable").alias("recall"))
+            seen = coverage(dois, probed, Q.compile_query(text)).select(F.col("recall_probeable").alias("recall"))
             m = seen.crossJoin(best).crossJoin(counts).crossJoin(pool.agg(F.count(F.lit(1)).alias("n_results"))).first()  # one row each
             drop(found)
             history.append(Metrics(m["recall"], m["precision"], m["n_results"]))
@@ -105,6 +116,6 @@ class RefineLoop:
                         used.add(phrase.lower())
                         break
         at = self.policy.best(history)
-        final = self.ranked(pool.filter(F.col("first_iteration") <= at + 1), rows[at][1])
+        final = self.ranked(pool.filter(F.col("first_iteration") <= at + 1), rows[at][1], middle)
         kind = "iteration int, query string, recall double, precision double, focus double, n_results bigint, hits bigint, stop_reason string"
         return spark.createDataFrame(rows, kind).withColumn("best", F.col("iteration") == at + 1), final

@@ -7,12 +7,12 @@ The jobs of a round don't depend on how many clusters there are, and nothing abo
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.functions.checkpointing import cut, drop
+from corpusmill.functions.checkpointing import cut, drop, kept
 from corpusmill.functions.joins import bounded
 from corpusmill.operators.query_batch import matches, parsed
 from corpusmill.operators.ranking import rank_candidates
@@ -39,7 +39,8 @@ def query_text(any_of: Column, kinds: Column, constraints: Column, subjects: lis
 class RefineAll:
     """``catalog`` is as in ``RefineLoop``; ``seeds`` (cluster, doc_id, doi, title, text, vector); ``about`` (cluster, phrases, concepts).
 
-    A cluster without a row of ``about`` has neither phrases nor concepts; one without seeds takes no part.
+    Catalog and seeds are read in every round, so they are written down first, unless they are tables that ``cut`` has
+    made. A cluster without a row of ``about`` has neither phrases nor concepts; one without seeds takes no part.
     """
 
     catalog: DataFrame
@@ -68,7 +69,7 @@ class RefineAll:
     def ranked(self, pool: DataFrame, asked: DataFrame, centres: DataFrame) -> DataFrame:
         """Candidates (cluster, doc_id) ranked for the queries (cluster, text, phrases, concepts) of their clusters."""
         about = asked.select("cluster", F.array_join(F.concat(F.array("text"), "concepts"), " ").alias("query"), F.when(F.size("concepts") > 0, F.col("concepts")).otherwise(F.col("phrases")).alias("phrases"), F.expr(_NONE).alias("work_types"))
-        rows = cut(pool.select("cluster", "doc_id").join(self.catalog.select("doc_id", "text", "vector", "year", "citations"), "doc_id"))
+        rows = cut(bounded(cut(pool.select("cluster", "doc_id"))).join(self.catalog.select("doc_id", "text", "vector", "year", "citations"), "doc_id"))
         return rank_candidates(rows, cut(about.join(centres, "cluster")), self.seeds.select("cluster", "doc_id", "vector"), self.reference)
 
     def _refined(self, state: DataFrame) -> DataFrame:
@@ -90,6 +91,9 @@ class RefineAll:
 
     def run(self) -> tuple[DataFrame, DataFrame]:
         """((cluster, iteration, query, recall, precision, focus, n_results, hits, best, stop_reason), the pools of the best iterations, ranked by cluster)."""
+        return replace(self, catalog=kept(self.catalog), seeds=kept(self.seeds))._rounds()
+
+    def _rounds(self) -> tuple[DataFrame, DataFrame]:
         cells = self.seeds.select("cluster", F.posexplode("vector").alias("k", "v")).groupBy("cluster", "k").agg(F.avg(F.col("v").cast("double")).alias("m"))
         centres = cut(cells.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "m"))), lambda s: s["m"]).alias("vector")))
         own = cut(self.seeds.select("cluster", "doc_id").distinct())

@@ -99,3 +99,16 @@ def test_ingest_steps_read_what_the_one_before_has_written(spark, monkeypatch):
     out = ingest.ingest(raw, ingest.Sources(titles=[("crossref_title_search", titles)], index=retrieval_queries._index(spark, d).drop("doc_id")))
     assert out._jdf.queryExecution().analyzed().collectLeaves().size() == 1
     assert out.count() == 20
+
+
+def test_refine_loop_sends_its_catalog_once(spark):
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20000")  # so that vectors are no small table
+    try:
+        chars = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").agg(F.sum(F.length("text"))).first()[0]
+        before = _shuffled(spark)
+        assert retrieval_queries._loop(spark, "/root/testdata/sf0.001").run()[0].count() > 0
+        sent = _shuffled(spark) - before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert sent < 20 * chars  # 15 without the catalog's repeats, 25 with them; terms of candidates are most of it
