@@ -9,17 +9,21 @@ count already when it comes is one between leaves.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from corpusmill.functions.checkpointing import cut, drop
-from corpusmill.functions.joins import bounded
-from corpusmill.functions.records import dot, unit
+from corpusmill.functions.joins import spread
+from corpusmill.functions.records import unit
 from corpusmill.operators.clustering import NOISE, Grid, composite, reduced
 from corpusmill.operators.graph import connected_components
-from corpusmill.operators.spanning_tree import Searched, mutual_reachability_tree
+from corpusmill.operators.spanning_tree import EDGES, Searched, mutual_reachability_tree
 
 
 def first_met(tree: DataFrame, most: int) -> DataFrame:
@@ -91,26 +95,170 @@ def leaves(fallen: DataFrame, between: DataFrame, epsilons: list[float]) -> tupl
     return labels, numbered.select(*key, "cluster", "n", "persistence")
 
 
+def _density(d: np.ndarray) -> np.ndarray:
+    return np.divide(1.0, d, out=np.full(len(d), np.inf), where=d > 0)
+
+
+def _basins_of(x: np.ndarray, y: np.ndarray, n: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of the edge that brings a point to its basin, its basin, numbers of the edges between basins) of a tree's edges in order, as ``basins`` has them; points are numbered by their ids."""
+    comp, basin = list(range(n)), list(range(n))
+    counts, small = [1] * n, [[k] for k in range(n)]
+    brought, between = np.full(n, len(x)), []
+
+    def root(of: list[int], k: int) -> int:
+        while of[k] != k:
+            of[k] = k = of[of[k]]
+        return k
+
+    for e, (i, j) in enumerate(zip(x.tolist(), y.tolist())):
+        a, b = root(comp, i), root(comp, j)
+        if counts[a] < counts[b]:
+            a, b = b, a
+        if counts[b] >= size:
+            between.append(e)
+        else:
+            p, q = root(basin, i), root(basin, j)
+            basin[max(p, q)] = min(p, q)
+            if counts[a] + counts[b] < size:
+                small[a] += small[b]
+            else:
+                brought[small[b]] = e
+                if counts[a] < size:
+                    brought[small[a]] = e
+                    small[a] = []
+            small[b] = []
+        comp[b] = a
+        counts[a] += counts[b]
+    return brought, np.array([root(basin, k) for k in range(n)], np.int64), np.array(between, np.int64)
+
+
+def _leaves_of(tree: pa.Table, size: int, epsilons: list[float]) -> Iterator[dict]:
+    """For each epsilon the columns of labels and clusters that ``leaves`` makes of a whole tree (d, x, y)."""
+    d, ends = tree["d"].to_numpy(), np.stack([tree["x"].to_numpy(), tree["y"].to_numpy()])
+    order = np.lexsort((ends[1], ends[0], d))
+    d, (ids, at) = d[order], np.unique(ends[:, order], return_inverse=True)
+    x, y = at.reshape(2, -1)
+    if len(ids) < size or not len(d):
+        return
+    brought, basin, between = _basins_of(x, y, len(ids), size)
+    if size < 2:  # no edge brings a point by itself
+        return
+    most = _density(d[brought]).max()
+    for epsilon in epsilons:
+        if not len(between):
+            continue
+        low = between < between[-1] if d[between[-1]] < epsilon else d[between] < epsilon
+        group = list(range(len(ids)))
+        for e in between[low].tolist():
+            p, q = basin[x[e]], basin[y[e]]
+            while group[p] != p:
+                group[p] = p = group[group[p]]
+            while group[q] != q:
+                group[q] = q = group[group[q]]
+            group[max(p, q)] = min(p, q)
+        to = np.array(group)
+        while ((far := to[to]) != to).any():
+            to = far
+        of = to[basin]
+        ga, gb = of[x[between]], of[y[between]]
+        split, end = np.zeros(len(ids)), np.full(len(ids), len(d))
+        same = ga == gb
+        np.maximum.at(split, ga[same], d[between[same]])
+        for side in (ga, gb):
+            np.minimum.at(end, side[~same], between[~same])
+        held = np.flatnonzero((end[of] < len(d)) & (brought < end[of]))
+        groups, cluster, n = np.unique(of[held], return_inverse=True, return_counts=True)
+        first = np.full(len(groups), len(ids))
+        np.minimum.at(first, cluster, held)
+        rank = np.argsort(np.argsort(first))
+        with np.errstate(invalid="ignore"):
+            mass = np.bincount(cluster, _density(np.maximum(d[brought[held]], split[of[held]])) - _density(d[end[of[held]]]), len(groups))
+            share = np.ones(len(groups)) if most == np.inf else mass / (n * most)
+        yield {"epsilon": epsilon, "doc_id": ids[held], "label": rank[cluster], "cluster": rank, "n": n, "persistence": share}
+
+
+def condensed(tree: DataFrame, sizes: list[int], epsilons: list[float], most: int = EDGES) -> tuple[DataFrame, DataFrame]:
+    """``leaves`` of ``basins`` of ``tree``. A bounded number of edges is read by one task for each size; more go through rounds of joins."""
+    if tree.count() > most or min(sizes) < 2:
+        return leaves(*basins(tree, sizes), epsilons)
+    kinds = {"size": pa.int32(), "epsilon": pa.float64(), "doc_id": pa.int64(), "cluster": pa.int32(), "n": pa.int64(), "persistence": pa.float64()}
+    schema = "size int, epsilon double, doc_id bigint, cluster int, n bigint, persistence double"
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        size, out = key[0].as_py(), [pa.table({c: pa.array([], kind) for c, kind in kinds.items()})]
+        for found in _leaves_of(table, size, [float(e) for e in epsilons]):
+            for own in ({"doc_id": found["doc_id"], "cluster": found["label"]}, {c: found[c] for c in ("cluster", "n", "persistence")}):
+                rows = len(own["cluster"])
+                own |= {"size": np.full(rows, size), "epsilon": np.full(rows, found["epsilon"])}
+                out.append(pa.table({c: pa.array(own[c]).cast(kind) if c in own else pa.nulls(rows, kind) for c, kind in kinds.items()}))
+        return pa.concat_tables(out)
+
+    each = F.explode(F.array(*[F.lit(int(size)) for size in sizes])).alias("size")
+    rows = cut(tree.select("d", F.col("x").cast("long"), F.col("y").cast("long"), each).groupBy("size").applyInArrow(run, schema))
+    key = ["size", "epsilon"]
+    return rows.filter("doc_id IS NOT NULL").select(*key, "doc_id", "cluster"), rows.filter("doc_id IS NULL").select(*key, "cluster", "n", "persistence")
+
+
 def density_clusters(points: DataFrame, min_size: int, min_samples: int, epsilon: float = 0.0) -> tuple[DataFrame, DataFrame]:
     """V5: ((doc_id, cluster), (cluster, n, persistence)) of points (doc_id, vector), as ``leaves`` has them; -1 is noise. Fewer than three points are an error."""
     points = cut(points.select("doc_id", "vector"))
     if points.limit(3).count() < 3:
         raise ValueError("three points at least are needed")
-    labels, clusters = leaves(*basins(mutual_reachability_tree(points, min_samples), [min_size]), [epsilon])
+    labels, clusters = condensed(mutual_reachability_tree(points, min_samples), [min_size], [epsilon])
     return points.select("doc_id").join(labels, "doc_id", "left").select("doc_id", F.coalesce("cluster", F.lit(NOISE)).alias("cluster")), clusters.drop("size", "epsilon")
 
 
+#: Points of a part, and sums of clusters of another; they meet as a matrix, so many rows of it at a time.
+POINTS, SUMS, _ROWS = 8_192, 16_384, 256
+
+
 def silhouettes(vectors: DataFrame, labels: DataFrame) -> DataFrame:
-    """(size, epsilon, silhouette): the mean silhouette by cosine distance of each labelling, from one sum for each cluster."""
+    """(size, epsilon, silhouette): the mean silhouette by cosine distance of each labelling, from one sum for each cluster.
+
+    Points and sums meet in parts, as matrices: no pair of a point and a cluster is a row, and a point is sent once for all labellings.
+    """
     key = ["size", "epsilon"]
-    rows = cut(labels.join(vectors.select("doc_id", unit(F.col("vector")).alias("v")), "doc_id"))
-    cells = rows.select(*key, "cluster", F.posexplode("v").alias("k", "x")).groupBy(*key, "cluster", "k").agg(F.sum("x").alias("s"), F.count(F.lit(1)).alias("n"))
-    sums = cut(cells.groupBy(*key, "cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "s"))), lambda c: c["s"]).alias("sum"), F.max("n").alias("n")))
-    other = sums.select(*key, F.col("cluster").alias("c"), "sum", "n")
-    gaps = rows.join(bounded(other), key).select(*key, "doc_id", "cluster", "c", "n", dot(F.col("sum"), F.col("v")).alias("dot"))
-    own = F.col("c") == F.col("cluster")
-    near = gaps.groupBy(*key, "doc_id").agg(F.max(F.when(own & (F.col("n") > 1), (F.col("n") - F.col("dot")) / (F.col("n") - 1))).alias("a"), F.min(F.when(~own, 1 - F.col("dot") / F.col("n"))).alias("b"))
-    return near.groupBy(*key).agg(F.avg(F.coalesce((F.col("b") - F.col("a")) / F.greatest("a", "b"), F.lit(0.0))).alias("silhouette"))
+    v = cut(vectors.select("doc_id", unit(F.col("vector")).alias("v")).filter("v IS NOT NULL"))
+    one, n = v.select(F.size("v").alias("n")).first(), v.count()
+    total = F.array(*[F.sum(F.get("v", F.lit(k))) for k in range(one["n"] if one else 0)]).cast("array<double>")
+    sums = cut(labels.join(v, "doc_id").groupBy(*key, "cluster").agg(total.alias("sum"), F.count(F.lit(1)).alias("n")))
+    held = sums.count()
+    parts, groups = max(1, -(-n // POINTS)), max(1, -(-held // SUMS))
+    groups = max(groups, min(-(-v.sparkSession.sparkContext.defaultParallelism // parts), -(-held // _ROWS)))
+    dealt = lambda pieces, *c: F.pmod(F.xxhash64(*c), F.lit(pieces))
+    known = cut(sums.groupBy(dealt(groups, *key, "cluster").alias("group")).agg(F.collect_list(F.struct(*key, "cluster", "sum", "n")).alias("sums")))
+    told = labels.groupBy("doc_id").agg(F.collect_list(F.struct(*key, "cluster")).alias("labels")).join(v, "doc_id")
+    points = cut(told.groupBy(dealt(parts, "doc_id").alias("part")).agg(F.collect_list(F.struct("doc_id", "v", "labels")).alias("points")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                rows, known = batch.column("points")[k].values, batch.column("sums")[k].values
+                matrix, own = rows.field("v").flatten().to_numpy().reshape(len(rows), -1), rows.field("labels")
+                at, own = np.repeat(np.arange(len(rows)), own.value_lengths().to_numpy()), own.flatten()
+                size, epsilon, cluster = (own.field(c).to_numpy() for c in (*key, "cluster"))
+                their_size, their_epsilon, number, times = (known.field(c).to_numpy() for c in (*key, "cluster", "n"))
+                total = known.field("sum").flatten().to_numpy().reshape(len(known), -1)
+                for m, e in sorted(set(zip(their_size.tolist(), their_epsilon.tolist()))):
+                    some, there = (size == m) & (epsilon == e), (their_size == m) & (their_epsilon == e)
+                    of, mine, others, n, to = at[some], cluster[some], number[there], times[there], total[there].T
+                    a, b = np.full(len(of), np.nan), np.full(len(of), np.nan)
+                    for start in range(0, len(of), _ROWS):
+                        dots = matrix[of[start:start + _ROWS]] @ to
+                        gaps = 1 - dots / n
+                        i, j = np.nonzero(mine[start:start + _ROWS, None] == others)
+                        more = n[j] > 1
+                        a[start + i[more]] = (n[j[more]] - dots[i[more], j[more]]) / (n[j[more]] - 1)
+                        gaps[i, j] = np.inf
+                        b[start:start + _ROWS] = gaps.min(axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(of), m), kinds[0]), pa.array(np.full(len(of), e), pa.float64()), rows.field("doc_id").take(pa.array(of)), pa.array(a, mask=np.isnan(a)), pa.array(b, mask=~np.isfinite(b))], [*key, "doc_id", "a", "b"])
+
+    kinds = [to_arrow_type(labels.schema["size"].dataType)]
+    size, doc = (labels.schema[c].dataType.simpleString() for c in ("size", "doc_id"))
+    met = spread(points.crossJoin(known), parts * groups, "part", "group").select("points", "sums")
+    near = met.mapInArrow(run, f"size {size}, epsilon double, doc_id {doc}, a double, b double").groupBy(*key, "doc_id").agg(F.max("a").alias("a"), F.min("b").alias("b"))
+    share = F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b"))
+    return labels.join(near, [*key, "doc_id"], "left").groupBy(*key).agg(F.avg(F.coalesce(share, F.lit(0.0))).alias("silhouette"))
 
 
 def tune(vectors: DataFrame, grid: Grid, dimensions: int = 5) -> tuple[dict | None, list[dict]]:
@@ -123,7 +271,7 @@ def tune(vectors: DataFrame, grid: Grid, dimensions: int = 5) -> tuple[dict | No
     points = cut(reduced(vectors, dimensions))
     searched, n, results = Searched(points, max(grid.min_samples)), points.count(), []
     for samples in sorted(grid.min_samples):
-        labels, clusters = leaves(*basins(mutual_reachability_tree(points, samples, searched), sorted(grid.min_size)), sorted(grid.radius))
+        labels, clusters = condensed(mutual_reachability_tree(points, samples, searched), sorted(grid.min_size), sorted(grid.radius))
         figures = clusters.groupBy("size", "epsilon").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("c"), F.avg("persistence").alias("p"))
         known = {(r["size"], r["epsilon"]): r for r in figures.join(silhouettes(vectors, labels), ["size", "epsilon"], "left").collect()}  # a row per combination
         for size, epsilon in product(sorted(grid.min_size), sorted(grid.radius)):

@@ -195,3 +195,31 @@ def test_tree_takes_few_jobs(spark):
     before = store.jobsList(None).size()
     assert mutual_reachability_tree(df, 2).count() == 399
     assert store.jobsList(None).size() - before < 60
+
+
+@pytest.mark.parametrize("kind", ["grid", "normal", "one"])
+def test_condensed_in_one_task_is_that_of_rounds(spark, kind):
+    rng = np.random.default_rng(5)
+    v = {"grid": rng.integers(0, 9, (300, 2)).astype(float), "normal": rng.normal(size=(300, 3)), "one": rng.normal(size=(4, 2))}[kind]
+    df = spark.createDataFrame([(3 * k, x.tolist()) for k, x in enumerate(v)], "doc_id long, vector array<double>")
+    tree = mutual_reachability_tree(df, 2)
+    middle = tree.selectExpr("percentile(d, 0.7)").first()[0]
+    sizes, epsilons = [2, 3, 7], [0.0, middle + 0.1, 50.0]
+    for a, b in zip(H.condensed(tree, sizes, epsilons), H.condensed(tree, sizes, epsilons, most=0)):
+        a, b = (sorted(tuple(r) for r in df.select(a.columns).collect()) for df in (a, b))
+        assert [r[:4] for r in a] == [r[:4] for r in b] and [r[-1] for r in a] == pytest.approx([r[-1] for r in b], nan_ok=True)
+
+
+def test_silhouettes_in_parts_and_few_jobs(spark, monkeypatch):
+    rows = vectors(spark, "/root/testdata/sf0.001").select("doc_id", "vector").cache()
+    labels = rows.select(F.explode(F.array(F.lit(2), F.lit(3))).alias("size"), F.lit(0.5).alias("epsilon"), "doc_id", (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(40))).cast("int").alias("cluster"))
+    labels = labels.filter("size = 2 OR cluster < 30").cache()
+    monkeypatch.setattr(H, "POINTS", 64)
+    monkeypatch.setattr(H, "SUMS", 16)
+    got = {r["size"]: r["silhouette"] for r in H.silhouettes(rows, labels).collect()}
+    for size in (2, 3):
+        assert got[size] == pytest.approx(silhouette(rows.join(labels.filter(F.col("size") == size).select("doc_id", "cluster"), "doc_id")).first()[0])
+    store = spark.sparkContext._jsc.sc().statusStore()
+    before = store.jobsList(None).size()
+    H.tune(vectors(spark, "/root/testdata/sf0.001"), Grid(min_samples=(1,)))
+    assert store.jobsList(None).size() - before < 150  # with rounds of joins, 542 for the two trees of sf0.01
