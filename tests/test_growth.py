@@ -4,6 +4,7 @@ import random
 import time
 
 import numpy as np
+import pytest
 
 from pyspark.sql import functions as F
 
@@ -112,3 +113,26 @@ def test_refine_loop_sends_its_catalog_once(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     assert sent < 20 * chars  # 15 without the catalog's repeats, 25 with them; terms of candidates are most of it
+
+
+@pytest.mark.parametrize("t", [0.85, 0.9, 0.95])
+def test_long_strings_are_told_apart_before_they_are_scored(t):
+    rng = np.random.default_rng(7)
+    words = ["".join(rng.choice(list("abcdeghilmnoprstu"), rng.integers(2, 10))) for _ in range(2_000)]
+    strings = [" ".join(rng.choice(words, rng.integers(90, 130))) for _ in range(60)]
+    for k in range(60):  # changed in scattered places, and moved by what is put in before
+        s = list(strings[k])
+        for at in rng.integers(0, len(s), int(rng.uniform(0, 0.25) * len(s))).tolist():
+            s[at] = str(rng.choice(["", "z", "ab"]))
+        strings.append("".join(s))
+    strings += ["a", "ab", "xy" * 400, "xy" * 401, "yx" * 402]
+    scored = {(i, int(j)) for i, at in similar._candidates((strings, strings), t, lambda i, part: np.arange(part.start, min(part.stop, len(strings))) > i) for j in at}
+    want = {(i, j) for j in range(len(strings)) for i in range(j) if indel_ratio(strings[i], strings[j]) >= t}
+    assert want <= scored and len(want) > 5
+    assert t < 0.9 or len(scored) < 3 * len(want) + 50
+
+
+def test_many_strings_make_few_parts(spark, monkeypatch):
+    monkeypatch.setattr(similar, "PART_STRINGS", 2)
+    df = spark.createDataFrame([(k, f"{k:064d}") for k in range(400)], "id long, s string")
+    assert similar._parts(df.select(F.lit(0).alias("side"), "id", "s")).count() <= 30  # 200 parts before, each sent to all
