@@ -129,10 +129,15 @@ def test_long_strings_are_told_apart_before_they_are_scored(t):
     scored = {(i, int(j)) for i, at in similar._candidates((strings, strings), t, lambda i, part: np.arange(part.start, min(part.stop, len(strings))) > i) for j in at}
     want = {(i, j) for j in range(len(strings)) for i in range(j) if indel_ratio(strings[i], strings[j]) >= t}
     assert want <= scored and len(want) > 5
+    for i, j in scored:
+        value = similar._ratio_from(strings[i], strings[j], t)
+        assert value == indel_ratio(strings[i], strings[j]) or value < t and (i, j) not in want
     assert t < 0.9 or len(scored) < 3 * len(want) + 50
 
 
-def test_many_strings_make_few_parts(spark, monkeypatch):
-    monkeypatch.setattr(similar, "PART_STRINGS", 2)
-    df = spark.createDataFrame([(k, f"{k:064d}") for k in range(400)], "id long, s string")
-    assert similar._parts(df.select(F.lit(0).alias("side"), "id", "s")).count() <= 30  # 200 parts before, each sent to all
+def test_many_strings_make_few_parts():
+    sizes = {43: (64 * 2_000_000, 2_000_000)}
+    assert similar._pieces(sizes, 3, 100)[43] <= 62  # 489 before, each sent to all others
+    few = {band: (300 * 1_000, 1_000) for band in range(50, 90)}
+    assert set(similar._pieces(few, 3, 100).values()) == {1} and set(similar._pieces(few, 3, 300).values()) == {2}
+    assert similar._pieces({43: (64 * 40, 40)}, 3, 100) == {43: 3} and similar._pieces({}, 3, 100) == {}
