@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.functions.fuzzy import indel_ratio, token_set_ratio
-from corpusmill.operators import similar
+from corpusmill.operators import matching, similar
 from corpusmill.operators.matching import resolve_in_catalog
 from corpusmill.operators.similar import Doubles, Written, alike
 from corpusmill.operators.spanning_tree import neighbour_graph
@@ -141,3 +141,18 @@ def test_many_strings_make_few_parts():
     few = {band: (300 * 1_000, 1_000) for band in range(50, 90)}
     assert set(similar._pieces(few, 3, 100).values()) == {1} and set(similar._pieces(few, 3, 300).values()) == {2}
     assert similar._pieces({43: (64 * 40, 40)}, 3, 100) == {43: 3} and similar._pieces({}, 3, 100) == {}
+
+
+def test_catalog_parts_are_as_large_as_keeps_tasks_busy(spark, monkeypatch):
+    assert matching._larger(334, 147, 64) == 8 and matching._larger(34, 15, 64) == 2 and matching._larger(3, 2, 64) == 1
+    rows = spark.range(400).selectExpr("id AS doc_id", "CAST(NULL AS string) AS doi", "concat(md5(CAST(id AS string)), ' ', md5(concat(id, 'x'))) AS title")
+    asked = rows.withColumn("title", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("A "), "title")).otherwise(F.concat(F.substring("title", 1, 60), F.lit("zzzzz"))))
+    found, sent = [], []
+    monkeypatch.setattr(matching, "TITLES", 8)
+    monkeypatch.setattr(matching, "CATALOG_TITLES", 16)
+    for times in (1, 8):
+        monkeypatch.setattr(matching, "LARGER", times)
+        before = _shuffled(spark)
+        found.append(sorted(tuple(r) for r in resolve_in_catalog(asked, rows).collect()))
+        sent.append(_shuffled(spark) - before)
+    assert found[0] == found[1] and len(found[0]) == 400 and sent[1] < sent[0] / 2
