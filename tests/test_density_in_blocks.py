@@ -28,3 +28,13 @@ def test_labels_within_send_no_pairs(spark):
     before = _shuffled(spark)
     assert {r["cluster"] for r in C.labels_within(points, 0.1, 3, 2).collect()} == {0}
     assert _shuffled(spark) - before < 30_000_000
+
+
+def test_labels_within_are_the_same_whatever_meets_at_a_time(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    some = rng.normal(0, 0.12, (260, 5)).round(2)
+    points = spark.createDataFrame([(int(i), x.tolist()) for i, x in zip(rng.permutation(300), np.concatenate([some, some[:40]]))], KIND)
+    want = {tuple(r) for r in C.density_labels(points, C.near_pairs(points, 0.12), 0.12, 3, 2).collect()}
+    monkeypatch.setattr(C, "AT_A_TIME", 16)
+    monkeypatch.setattr(C, "COLUMNS", 7)  # a matrix was as wide as all that meets
+    assert {tuple(r) for r in C.labels_within(points, 0.12, 3, 2).collect()} == want and len({c for _, c in want}) > 3
