@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+import heapq
 import math
+from collections import Counter
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -67,13 +71,40 @@ def single_text_keyphrases(docs: DataFrame, keys: list[str], text: str = "text",
     """(keys, keyphrases): of each text the ``most`` frequent words and pairs of words without stop words, ties by the alphabet.
 
     The inverse document frequency is the same for all terms of one text, so the sublinear frequency alone ranks them.
+    Rows with the same keys are one text.
     """
     clean = F.regexp_replace(F.regexp_replace(F.col(text), r"\[[0-9]+\]", ""), r"\s+", " ")
     words = tokens(F.regexp_replace(clean, r"([a-z])\s([a-z](?:\s|$))", "$1$2"), stop=stop_words(language))
-    tf = term_counts(docs, grams(words, 1, 2), keys)
+    kept = min(most, features)
+    again = cut(docs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*keys))
+    if again.isEmpty():
+        return _frequent_terms(docs.select(*keys, words.alias("words")), kept)
+    same = functools.reduce(lambda p, q: p & q, [F.col(f"d.{k}").eqNullSafe(F.col(f"a.{k}")) for k in keys])
+    side = lambda how: docs.alias("d").join(bounded(again).alias("a"), same, how)
+    tf = term_counts(side("left_semi"), grams(words, 1, 2), keys)
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("tf").desc(), "term"))
-    top = tf.withColumn("_r", rank).filter(F.col("_r") <= min(most, features))
-    return top.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "term"))), lambda s: s["term"]).alias("keyphrases"))
+    top = tf.withColumn("_r", rank).filter(F.col("_r") <= kept)
+    several = top.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "term"))), lambda s: s["term"]).alias("keyphrases"))
+    return _frequent_terms(side("left_anti").select(*keys, words.alias("words")), kept).unionByName(several)
+
+
+def _frequent_terms(rows: DataFrame, most: int) -> DataFrame:
+    """Instead of ``words`` the ``keyphrases``: the frequent words and pairs of each row by itself, so that no term is sent anywhere; rows without words go."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, found, column = [], [], batch.column("words")
+            for k in range(batch.num_rows):
+                if words := column[k].as_py():
+                    counts = Counter(words)
+                    counts.update(map(" ".join, pairwise(words)))
+                    at.append(k)
+                    found.append([t for _, t in heapq.nsmallest(most, ((-n, t) for t, n in counts.items()))])
+            out = batch.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*out.columns[:-1], pa.array(found, pa.list_(pa.string()))], [*batch.schema.names[:-1], "keyphrases"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    return rows.mapInArrow(run, f"{kinds}, keyphrases array<string>")
 
 
 def synthesised_keywords(papers: DataFrame, threshold: int = 10, most: int = 10, fill: bool = True) -> DataFrame:

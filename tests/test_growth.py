@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.functions.fuzzy import indel_ratio, token_set_ratio
-from corpusmill.operators import matching, similar
+from corpusmill.operators import matching, similar, textscore
 from corpusmill.operators.matching import resolve_in_catalog
 from corpusmill.operators.similar import Doubles, Written, alike
 from corpusmill.operators.spanning_tree import neighbour_graph
@@ -156,3 +156,16 @@ def test_catalog_parts_are_as_large_as_keeps_tasks_busy(spark, monkeypatch):
         found.append(sorted(tuple(r) for r in resolve_in_catalog(asked, rows).collect()))
         sent.append(_shuffled(spark) - before)
     assert found[0] == found[1] and len(found[0]) == 400 and sent[1] < sent[0] / 2
+
+
+def test_keyphrases_send_no_terms(spark):
+    text = " ".join(f"word{i * 7919 % 4001}" for i in range(8_000))
+    rows = [(k, f"{text} common{k} pair common{k} pair common{k}") for k in range(40)] + [(7, "zeta zeta zeta zeta zeta pair"), (None, "null null alpha"), (None, "alpha alpha"), (99, None), (98, "!")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    before = _shuffled(spark)
+    got = {r["doc_id"]: r["keyphrases"] for r in textscore.single_text_keyphrases(docs.filter("doc_id <> 7 AND doc_id < 98"), ["doc_id"]).collect()}
+    assert _shuffled(spark) - before < 100_000 and len(got) == 39
+    assert all(g[0] == f"common{k}" and {"pair", f"common{k} pair", f"pair common{k}"} <= set(g) and len(g) == 10 for k, g in got.items())
+    both = {r["doc_id"]: r["keyphrases"] for r in textscore.single_text_keyphrases(docs, ["doc_id"]).collect()}
+    assert both.keys() == set(range(40)) | {None} and both[None] == ["alpha", "null", "alpha alpha", "null alpha", "null null"]
+    assert all(both[k] == got[k] for k in got) and both[7][0] == "zeta"
