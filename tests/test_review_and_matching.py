@@ -176,3 +176,19 @@ def test_review_changes_as_tables(spark):
     moved = {("moved", "100", p, "-1", "100") for c, p in BASE if c == -1}
     assert got == moved | {("new", "100", None, None, None), ("dropped", "-1", None, None, None), ("label", "1", None, "One", "New"), ("description", "1", None, "told", "told more"), ("remap", "-1", None, "-1", "100")}
     assert tuple(review.change_counts(review.changes(original, before, original, before)).first()) == (0, 0, 0, 0, 0, False)
+
+
+def test_candidates_known_by_title_are_not_looked_for_by_abstract(spark, monkeypatch):
+    long = "quite a long abstract of a paper on trust among agents in markets, and on what they owe each other "
+    seeds = spark.createDataFrame([(k, k, f"10.1/{k}" if k < 3 else None, f"{'abcdefghi'[k] * 12} title", long + "z" * k) for k in range(9)], "doc_id long, ord long, doi string, title string, abstract string")
+    candidates = seeds.drop("ord").unionByName(spark.createDataFrame([(100, "10.1/1", "other", long), (101, None, "nothing like it", long + "yy"), (102, None, "", ""), (8, None, "again", long)], "doc_id long, doi string, title string, abstract string"))
+    asked, alike = [], matching.token_set_alike
+
+    def counted(left, right, t):
+        asked.append(left.count())
+        return alike(left, right, t)
+
+    monkeypatch.setattr(matching, "token_set_alike", counted)
+    got = {tuple(r) for r in matching.match_seeds(candidates, seeds).collect()}
+    assert {(0, "doi", 0), (100, "doi", 1), (3, "title", 3), (101, "abstract", 0), (8, "title", 8)} <= got and len(got) == 11
+    assert asked == [8, 1]  # 12 titles, 10 abstracts before
